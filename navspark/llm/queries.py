@@ -26,14 +26,14 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [op4_substring_dedup, op7_minhash_dedup]
 
-OP4_SQL = r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+OP4_SQL = r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT r, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
 g AS (SELECT s.r, s.i, sha256(array_to_string(w.words[s.i:s.i + 34], ' ')) AS h FROM s JOIN w ON s.r = w.r),
 b AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
 c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM b),
 d AS (SELECT r, list(k) AS gone FROM c GROUP BY r)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(len(d.gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN d.gone IS NULL THEN w.words ELSE list_transform(list_filter(list_zip(w.words, range(1, len(w.words) + 1)), z -> NOT list_contains(d.gone, z[2])), z -> z[1]) END, ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(CASE WHEN d.gone IS NULL THEN w.words ELSE list_transform(list_filter(list_zip(w.words, range(1, len(w.words) + 1)), lambda z: NOT list_contains(d.gone, z[2])), lambda z: z[1]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d ON w.r = d.r"""
 
 _SQL = {"op4_substring_dedup": OP4_SQL}
