@@ -1,0 +1,161 @@
+"""URL filter: rules by host and path, else logistic regression on hashed character n-grams."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: (host and path, verdict); a rule fits its host and all subdomains.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+#: The labelled URLs that the model is trained on.
+BLOCKED = """
+https://cheap-pills.test/buy-now http://www.pills-online.test/discount/viagra https://spam-farm.test/x/1 http://best-casino-bonus.test/free-spins
+https://casino-slots.test/win/jackpot http://free-movies-download.test/watch/hd http://replica-watches.test/cheap/rolex https://loan-fast-cash.test/apply-now
+http://hot-singles.test/chat/live-cams https://xxx-videos.test/free http://adult-cams.test/live https://porn-tube.test/video/88
+http://link-farm.test/dir/99 https://spammy-links.test/page/7 http://seo-spam.test/backlinks/buy https://click-here-win.test/prize/iphone
+http://crypto-doubler.test/invest/now https://forex-profit.test/signals/free http://cheap-meds.test/pharmacy/order https://pharma-discount.test/no-prescription
+http://torrent-crack.test/keygen/download https://warez-free.test/serial/key http://lottery-winner.test/claim https://miracle-diet.test/lose-weight-fast
+http://cheap-tickets-spam.test/deal https://bet-now.test/odds/bonus http://poker-online.test/bonus/code https://escort-city.test/girls
+http://malware-site.test/setup.exe https://phish-login.test/verify/account http://free-gift-card.test/generator https://spam-blog.test/p/12
+""".split()
+ALLOWED = """
+https://news.test/en/2024/05/city-council http://www.library.test/catalogue/books https://blog.test/en/travel-notes https://university.test/research/papers
+http://docs.test/guide/install https://wiki.test/article/history http://museum.test/collections/paintings https://weather.test/forecast/today
+https://m.journal.test/en/712 http://blog.writer.test/fr/825 https://www.school.test/de/lessons http://recipes.test/soup/tomato
+https://science.test/physics/quantum http://city-archive.test/records/1890 https://garden.test/plants/roses http://music.test/albums/classical
+https://sport.test/results/football http://travel.test/en/676 https://health.test/advice/sleep http://parliament.test/debates/2023
+https://gov.test/services/passport http://code.test/project/readme https://forum.test/topic/474.html http://magazine.test/es/feature
+https://film.test/reviews/drama http://photo.test/gallery/alps https://radio.test/shows/evening http://review.test/es/384
+https://m.daily.test/en/474.html http://art.test/fr/414 https://economy.test/en/450 http://teach.test/de/252
+""".split()
+
+BITS = 18
+GRAMS = (3, 4, 5)
+
+
+def split_url(url: str | None) -> tuple[str, str]:
+    """(host, path): after the first "://" up to /, ? or #, in lower case; then up to ? or #."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
+    path = rest[cut:]
+    end = min((i for i in (path.find(c) for c in "?#") if i >= 0), default=len(path))
+    return rest[:cut].translate(_LOWER), path[:end]
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+class Rules:
+    def __init__(self, rules=RULES):
+        self.by_host: dict[str, list[tuple[str, str, str]]] = {}
+        for rule, verdict in rules:
+            host, slash, path = rule.partition("/")
+            self.by_host.setdefault(host, []).append((slash + path, rule, verdict))
+        for found in self.by_host.values():
+            found.sort(key=lambda r: -len(r[0]))
+
+    def match(self, host: str, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule that fits."""
+        best = None
+        labels = host.split(".")
+        for i in range(len(labels)):
+            for start, rule, verdict in self.by_host.get(".".join(labels[i:]), ()):
+                if path.startswith(start) and (best is None or len(rule) > len(best[0])):
+                    best = rule, verdict
+        return best
+
+
+def hashed_grams(part: str, text: str) -> np.ndarray:
+    """Cells of the distinct character n-grams of a text between end marks; ``part`` keeps host and path apart."""
+    if not text:
+        return np.zeros(0, np.int64)
+    marked = f"^{text.lower()}$"
+    found = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return np.array(sorted({zlib.crc32((part + g).encode()) & ((1 << BITS) - 1) for g in found}), np.int64)
+
+
+@dataclass
+class Model:
+    host: np.ndarray
+    path: np.ndarray
+    bias: float
+
+    def __post_init__(self) -> None:
+        self._host = lru_cache(maxsize=100_000)(lambda h: _mean(self.host, hashed_grams("h", h)))
+
+    def __getstate__(self):
+        return {"host": self.host, "path": self.path, "bias": self.bias}
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def score(self, host: str, path: str) -> float:
+        """The probability that the URL is to be blocked."""
+        z = self.bias + self._host(host) + _mean(self.path, hashed_grams("p", path))
+        return float(0.5 * (1 + np.tanh(z / 2)))
+
+
+def _mean(weights: np.ndarray, cells: np.ndarray) -> float:
+    return float(weights[cells].sum() / np.sqrt(len(cells))) if len(cells) else 0.0
+
+
+def train(blocked: list[str] | None = None, allowed: list[str] | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
+    """Logistic regression by gradient descent on a small labelled table; it is fitted on the driver."""
+    rows = [(u, 1.0) for u in (BLOCKED if blocked is None else blocked)] + [(u, 0.0) for u in (ALLOWED if allowed is None else allowed)]
+    x, y = [], np.array([label for _, label in rows])
+    for url, _ in rows:
+        host, path = split_url(url)
+        x.append((hashed_grams("h", host), hashed_grams("p", path)))
+    model = Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0)
+    for _ in range(steps):
+        z = np.array([model.bias + _mean(model.host, h) + _mean(model.path, p) for h, p in x])
+        g = (0.5 * (1 + np.tanh(z / 2)) - y) / len(y)
+        model.host *= 1 - decay
+        model.path *= 1 - decay
+        for (h, p), d in zip(x, g):
+            if len(h):
+                model.host[h] -= 4 * d / np.sqrt(len(h))
+            if len(p):
+                model.path[p] -= 4 * d / np.sqrt(len(p))
+        model.bias -= g.sum()
+    return model
+
+
+def judged(pages: DataFrame, model: Model, columns: list[str], url_col: str = "url", rules=RULES) -> DataFrame:
+    """``columns`` of ``pages`` with host, path, rule, verdict and block_score.
+
+    A rule decides where one fits; else the model does, from a score of 0.5 on.
+    A null URL, or one without "://", has an empty host and path and is judged
+    by the model's bias.  Repeated rows are judged alike.  ``rules`` and model
+    are fixed parameters, sent to each executor once.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast((Rules(rules), model))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, scorer = shared.value
+        for batch in batches:
+            out = []
+            for url in batch.column("url").to_pylist():
+                host, path = split_url(url)
+                score = scorer.score(host, path)
+                rule, verdict = fixed.match(host, path) or (None, "block" if score >= 0.5 else "allow")
+                out.append((host, path, rule, verdict, score))
+            host, path, rule, verdict, score = zip(*out) if out else ((),) * 5
+            texts = [pa.array(list(c), pa.string()) for c in (host, path, rule, verdict)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *texts, pa.array(list(score), pa.float64())], names=["row", "host", "path", "rule", "verdict", "block_score"])
+
+    source = pages.select(F.struct(*columns).alias("row"), F.col(url_col).alias("url"))
+    added = T.StructType.fromDDL("host string, path string, rule string, verdict string, block_score double")
+    return source.mapInArrow(rows, T.StructType([source.schema["row"], *added.fields])).select("row.*", "host", "path", "rule", "verdict", "block_score")
