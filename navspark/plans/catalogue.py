@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from navspark.plans import panel_queries  # noqa: F401
+from navspark.plans import panel_queries, universe_queries  # noqa: F401
