@@ -145,28 +145,38 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500) -> Mode
     return Model(mean, scale, _adam(gradient, p.shape[1], steps), prior)
 
 
-def _sampled(docs: DataFrame, most: int) -> np.ndarray:
-    """Features of the ``most`` rows of least text hash."""
+def _least(keys: DataFrame, most: int) -> int | None:
+    """The ``most``-th least key, or the greatest if there are fewer."""
+    return keys.orderBy("key").limit(most).agg(F.max("key")).first()[0]
+
+
+def _features_of(docs: DataFrame, most: int) -> np.ndarray:
+    """Features of at most ``most`` rows (key, text), those of least key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], names=["x"])
 
-    chosen = docs.select("text").where("text is not null").orderBy(F.xxhash64("text"), F.length("text")).limit(most)
-    found = chosen.mapInArrow(rows, "x array<double>").collect()
+    found = docs.orderBy("key", F.length("text")).limit(most).select("text").mapInArrow(rows, "x array<double>").collect()
     return np.array([r.x for r in found]).reshape(len(found), N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on documents outside the held-out third: trusted positives by ``labels.quality``, all others as unlabelled.
 
-    Of either kind the ``most`` rows of least text hash are used; they are the
-    only rows that reach the driver, as feature vectors.
+    Of either kind the ``most`` rows of least hash of id and text are used; they
+    are the only rows that reach the driver, as feature vectors.  The hash is
+    found first, without moving texts, so only texts under it are joined.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out("doc_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull())
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     trusted = labels.where("quality = 1").select("doc_id").where("doc_id is not null").distinct()
-    return fit(_sampled(rows.join(trusted, "doc_id", "left_semi"), most), _sampled(rows, most))
+    sides = []
+    for kept in (lambda r: r.join(trusted, "doc_id", "left_semi"), lambda r: r):
+        bound = _least(kept(rows.select("doc_id", "key")), most)
+        sides.append(_features_of(kept(rows.where(F.col("key") <= bound)), most) if bound is not None else np.zeros((0, N_FEATURES)))
+    return fit(*sides)
 
 
 def held_out(id_col: str):
