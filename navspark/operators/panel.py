@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("asset").orderBy("date")
-SO_FAR = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
 
+def by_date() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("date")
 
-def trailing(n: int):
+
+def so_far() -> WindowSpec:
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def trailing(n: int) -> WindowSpec:
     """The last n rows of an asset, the row itself included."""
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def mean_per_date(rows: DataFrame) -> DataFrame:
@@ -56,32 +61,32 @@ def complete_dates(panel: DataFrame, n_assets: int) -> DataFrame:
 
 
 def simple_return(nav: Column) -> Column:
-    return F.try_divide(nav, F.lag(nav).over(BY_DATE)) - 1
+    return F.try_divide(nav, F.lag(nav).over(by_date())) - 1
 
 
 def padded(nav: Column) -> Column:
     """The last nav that is there."""
-    return F.last(nav, ignorenulls=True).over(SO_FAR)
+    return F.last(nav, ignorenulls=True).over(so_far())
 
 
 def returns(panel: DataFrame, pad: bool = True, log: bool = False) -> DataFrame:
     """``panel`` with ret; with ``pad`` a missing nav counts as the one before."""
     if pad:
         panel = panel.withColumn("nav", padded(F.col("nav")))
-    before = F.lag("nav").over(BY_DATE)
+    before = F.lag("nav").over(by_date())
     ratio = F.try_divide("nav", before)
     return panel.withColumn("ret", F.ln(F.when(ratio > 0, ratio)) if log else ratio - 1)
 
 
 def net_value(ret: Column) -> Column:
     """Compounded returns, where the first row is 1 by definition."""
-    grown = F.product(1 + F.coalesce(ret, F.lit(0.0))).over(SO_FAR)
-    return F.when(F.row_number().over(BY_DATE) == 1, 1.0).otherwise(grown)
+    grown = F.product(1 + F.coalesce(ret, F.lit(0.0))).over(so_far())
+    return F.when(F.row_number().over(by_date()) == 1, 1.0).otherwise(grown)
 
 
 def drawdown(nav: Column, start: float | None = None) -> Column:
     """Distance to the running maximum, which starts at ``start`` if given."""
-    peak = F.max(nav).over(SO_FAR)
+    peak = F.max(nav).over(so_far())
     if start is not None:
         peak = F.greatest(peak, F.lit(start))
     return F.when(peak > 0, F.try_divide(nav, peak) - 1)
@@ -89,7 +94,7 @@ def drawdown(nav: Column, start: float | None = None) -> Column:
 
 def normalised(nav: Column) -> Column:
     """nav over the asset's first positive one."""
-    first = F.first(F.when(nav > 0, nav), ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(F.when(nav > 0, nav), ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.try_divide(nav, first)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navspark.operators.panel import BY_DATE, SO_FAR, drawdown
+from navspark.operators.panel import by_date, drawdown, so_far
 
 DAYS = 252
 
@@ -13,7 +13,7 @@ DAYS = 252
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation in [-1, 1]; a constant series gives 0."""
     value = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0))
+    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def pairs(series: DataFrame, value: str = "ret") -> DataFrame:
@@ -48,7 +48,7 @@ def tail(series: DataFrame, share: float = 0.01, value: str = "ret") -> DataFram
 
 def performance(nav: DataFrame, days: int = DAYS) -> DataFrame:
     """Annual return and volatility, Sharpe, VaR99, ES99, maximum drawdown and Calmar of each asset's nav."""
-    rows = nav.withColumns({"ret": F.try_divide("nav", F.lag("nav").over(BY_DATE)) - 1, "dd": drawdown(F.col("nav"))})
+    rows = nav.withColumns({"ret": F.try_divide("nav", F.lag("nav").over(by_date())) - 1, "dd": drawdown(F.col("nav"))})
     base = rows.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.min("dd").alias("mdd"), F.count("ret").alias("n"))
     out = base.join(tail(rows), "asset")
     annual, vol = F.col("m") * days, F.col("s") * F.sqrt(F.lit(days))
@@ -158,7 +158,7 @@ def derived(panel: DataFrame, fees: DataFrame, start: str | None = None, end: st
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    before = F.lag("nav").over(BY_DATE)
+    before = F.lag("nav").over(by_date())
     rows = rows.withColumns({"ret": F.when((F.col("nav") > 0) & (before > 0), F.col("nav") / before - 1), "dd": drawdown(F.col("nav"))})
     agg = rows.groupBy("asset").agg(
         F.min_by("nav", F.when(F.col("nav") > 0, F.col("date"))).alias("base"), F.max_by("nav", "date").alias("last"), F.datediff(F.max("date"), F.min("date")).alias("span"),
@@ -179,9 +179,9 @@ def recovery(nav: DataFrame) -> DataFrame:
 
     Never recovered is null; a path that never falls has 0 and 0.
     """
-    rows = nav.withColumns({"i": F.row_number().over(BY_DATE), "peak": F.max("nav").over(SO_FAR)})
+    rows = nav.withColumns({"i": F.row_number().over(by_date()), "peak": F.max("nav").over(so_far())})
     rows = rows.withColumn("dd", F.when(F.col("peak") > 0, 1 - F.col("nav") / F.col("peak")))
-    rows = rows.withColumn("peak_i", F.max(F.when(F.col("nav") == F.col("peak"), F.col("i"))).over(SO_FAR))
+    rows = rows.withColumn("peak_i", F.max(F.when(F.col("nav") == F.col("peak"), F.col("i"))).over(so_far()))
     worst = rows.groupBy("asset").agg(F.max(F.struct("dd", (-F.col("i")).alias("i"), "peak", "peak_i")).alias("w")).select("asset", F.col("w.dd").alias("max_drawdown"), (-F.col("w.i")).alias("low_i"), F.col("w.peak").alias("peak"), F.col("w.peak_i").alias("peak_i"))
     back = rows.select("asset", "i", "nav").join(worst, "asset").groupBy("asset").agg(F.first("max_drawdown").alias("max_drawdown"), F.min(F.when((F.col("i") > F.col("low_i")) & (F.col("nav") >= F.col("peak")), F.col("i") - F.col("peak_i"))).alias("steps"))
     return back.select("asset", "max_drawdown", F.when(F.col("max_drawdown") == 0, 0).otherwise(F.col("steps")).cast("bigint").alias("recovery"))
@@ -206,7 +206,7 @@ def risk_metrics(series: DataFrame, days: int = DAYS, decay: float = 0.94, windo
     weight = F.when(F.col("k") == F.col("n"), F.pow(F.lit(1 - alpha), (F.col("n") - 1).cast("double"))).otherwise(alpha * F.pow(F.lit(1 - alpha), (F.col("k") - 1).cast("double")))
     sums = last.withColumn("w", weight).groupBy("asset").agg(F.sum(F.col("w") * F.col("r")).alias("m1"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("m2"), F.sum(F.col("w") * F.col("w")).alias("ww"))
     ewm = sums.select("asset", (F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("m2") - F.col("m1") * F.col("m1"), 1 - F.col("ww")))) * F.sqrt(F.lit(days))).alias("ewm_vol"))
-    path = rows.withColumn("v", F.product(1 + F.col("r")).over(SO_FAR)).withColumn("dd", drawdown(F.col("v"), 1.0))
+    path = rows.withColumn("v", F.product(1 + F.col("r")).over(so_far())).withColumn("dd", drawdown(F.col("v"), 1.0))
     base = path.groupBy("asset").agg(F.stddev_samp("r").alias("vol"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"), F.min("dd").alias("dd"))
     q = tail(rows, 1 - confidence / 100, "r")
     return base.join(ewm, "asset").join(q, "asset").select(

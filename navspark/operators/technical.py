@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navspark.operators.panel import BY_DATE, trailing
+from navspark.operators.panel import by_date, trailing
 from navspark.operators.stats import DAYS
 
 
@@ -64,5 +64,5 @@ def kdj(ohlc: DataFrame, n: int = 9, k_smooth: int = 3, d_smooth: int = 3) -> Da
 
 def percent_change(column: str) -> Column:
     """Change on the day before in percent, four decimals; none after a zero."""
-    before = F.lag(column).over(BY_DATE)
+    before = F.lag(column).over(by_date())
     return F.when(before != 0, F.round((F.col(column) / before - 1) * 100, 4))

@@ -102,7 +102,7 @@ def class_metrics(spark, folder):
     return v.rounded(s.performance(_class_nav(spark, folder).select("asset", "date", "nav")), 5)
 
 
-_CORR = "coalesce(greatest(-1, least(1, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0))), 0)"
+_CORR = "CASE WHEN stddev_pop(x) * stddev_pop(y) = 0 THEN 0 ELSE greatest(-1, least(1, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)))) END"
 
 
 @query(f"WITH {v.PADDED}, f AS (SELECT * FROM re WHERE ret IS NOT NULL), j AS (SELECT f.asset AS a, g.asset AS b, f.ret AS x, g.ret AS y FROM f JOIN f g ON f.date = g.date) SELECT a, b, round({_CORR}, 6) AS corr, round(covar_samp(x, y), 6) AS cov FROM j GROUP BY ALL")
