@@ -231,7 +231,7 @@ class Potentials:
         return np.exp(total), joint
 
 
-def fit(trees: Trees, state: np.ndarray, steps: int = 250, decay: float = 2e-3) -> Potentials:
+def fit(trees: Trees, state: np.ndarray, steps: int = 300, decay: float = 5e-5) -> Potentials:
     """Maximum likelihood of labelled trees, all nodes at once, by Adam."""
     child = np.flatnonzero(trees.parent >= 0)
     seen = np.zeros((KINDS, 2, 2))

@@ -88,7 +88,7 @@ def _article(rng: random.Random) -> str:
     return "".join(parts)
 
 
-def labelled(n: int = 240, seed: int = 1) -> list[str]:
+def labelled(n: int = 200, seed: int = 1) -> list[str]:
     """Pages whose blocks of text start with their label's mark."""
     rng, out = random.Random(seed), []
     wrappers = ["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article class="post">{}</article></div>', '<main><div class="entry-content">{}</div></main>', '<section class="story">{}</section>', '<div class="post-body">{}</div>']
