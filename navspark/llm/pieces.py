@@ -153,7 +153,7 @@ class Codec:
     """
 
     #: Characters of remembered words; beyond them a worker starts anew.
-    MEMORY = 32 << 20
+    MEMORY = 4 << 20
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -164,13 +164,14 @@ class Codec:
         self.tokenizer = build(self.spec)
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = _cuts_at_marks(self.spec) and self.spec.dummy_prefix and not (self.spec.charsmap or self.spec.strip_spaces)
-        self.surface = pa.array([p.replace(MARK, " ") for p, _, _ in self.spec.pieces])
-        self.plain = np.array([kind in (NORMAL, USER) for *_, kind in self.spec.pieces])
+        # A byte piece stands for its byte: bytes are joined first and read as text then.
+        self.surface = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces], pa.binary())
+        self.plain = np.array([kind in (NORMAL, USER, BYTE) for *_, kind in self.spec.pieces])
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.ends, self.equal, self.held = [], [0], [], 0
+        self.flat, self.ends, self.equal, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), 0
 
     def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,13 +182,14 @@ class Codec:
         if self.held > self.MEMORY:
             self._forget()
         new = [w for w in words if w not in self.known]
-        ids, equal = self._whole(new) if new else ([], [])
-        for word, x in zip(new, ids):
-            self.known[word] = len(self.known)
-            self.flat.extend(x)
-            self.ends.append(len(self.flat))
-        self.equal += equal
-        self.held += sum(map(len, new))
+        if new:
+            ids, equal = self._whole(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+            self.equal = np.concatenate((self.equal, np.array(equal, bool)))
+            self.held += sum(map(len, new))
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.BooleanArray]:
@@ -204,13 +206,13 @@ class Codec:
             lists = pc.split_pattern(plain.take(pa.array(easy)), " ")
             words = lists.flatten().dictionary_encode()
             place = self._learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            ends, flat = np.array(self.ends), np.array(self.flat, np.int32)
+            ends, flat = self.ends, self.flat
             low, size = ends[place], ends[place + 1] - ends[place]
             stop = np.cumsum(size)
             tokens = flat[np.arange(stop[-1]) + np.repeat(low - (stop - size), size)]
             edge = lists.offsets.to_numpy()
             cut = np.concatenate(([0], stop))[edge]
-            good = np.concatenate(([0], np.cumsum(~np.array(self.equal)[place])))[edge]
+            good = np.concatenate(([0], np.cumsum(~self.equal[place])))[edge]
             for k, text in enumerate(easy):
                 ids[text], parity[text] = tokens[cut[k] : cut[k + 1]], bool(good[k + 1] == good[k])
         if len(hard):
@@ -226,10 +228,16 @@ class Codec:
         plain = self.plain[values.to_numpy()]
         edge = np.concatenate(([0], np.cumsum(lengths)))
         odd = np.diff(np.concatenate(([0], np.cumsum(~plain)))[edge]) > 0
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), self.surface.take(values)), "")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), self.surface.take(values)), b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:  # some text has bytes that are no character
+            read = [_text(x) for x in joined.to_pylist()]
+            odd |= np.array([x is None for x in read])
+            text = pa.array([x or "" for x in read], pa.string())
         if self.spec.dummy_prefix:
-            joined = pc.replace_substring_regex(joined, "^ ", "")
-        out = pc.if_else(pc.is_valid(ids), joined, pa.scalar(None, pa.string()))
+            text = pc.replace_substring_regex(text, "^ ", "")
+        out = pc.if_else(pc.is_valid(ids), text, pa.scalar(None, pa.string()))
         if odd.any():
             at = np.flatnonzero(odd)
             texts = self.tokenizer.decode_batch(ids.take(pa.array(at)).to_pylist(), skip_special_tokens=False)
@@ -237,6 +245,13 @@ class Codec:
         return out
 
 
+def _text(data: bytes) -> str | None:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def _cuts_at_marks(spec: Spec) -> bool:
     return all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p, _, kind in spec.pieces if kind in (NORMAL, USER))
 
