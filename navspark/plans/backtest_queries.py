@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from navspark.operators import panel as p
 from navspark.operators import rebalance as r
 from navspark.plans import views as v
 from navspark.plans.registry import query
