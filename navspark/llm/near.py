@@ -13,22 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navspark.llm.components import components
+from navspark.llm.components import components, merged
 from navspark.llm.shared import staged
 from navspark.llm.words import Words, content_hash, grams, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
+#: Share of two sizes' sum that texts of SIMILARITY have in common.
+SHARED = SIMILARITY / (1 + SIMILARITY)
 NODE = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 #: A band's buckets get their star from one of so many orders of their members.
 ORDERS = 4
-#: Rounds of stars before the rest of a bucket is compared pair by pair.
-ROUNDS = 2
+#: A bucket of so many texts may be compared pair by pair: at most SMALL / 2 pairs a text.
+SMALL = 8
 
 
 def multisets(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +184,61 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_similarities, T.StructType([T.StructField("a", NODE), T.StructField("b", NODE), T.StructField("similarity", T.DoubleType())]))
 
 
+def _split(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, with their class and the bucket's least size."""
+    here = members.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "least")
+    buckets = here.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("size").alias("least"))
+    return here.join(buckets.where("low <> high").select("band", "key", "least"), ["band", "key"])
+
+
+def _pairs(here: DataFrame) -> DataFrame:
+    """(a, b) in one bucket but in different classes that their sizes let be similar."""
+    other = here.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("in"), F.col("size").alias("size_b"))
+    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("in")) & (F.least("size", "size_b") + 1e-6 >= SHARED * (F.col("size") + F.col("size_b")))
+    return here.join(other, ["band", "key"]).where(near).select(F.col("node").alias("a"), "b")
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    """(node, element, weight): the shingles of texts (node, text)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, element, weight = multisets(Words(part.column("text"), str.lower, unicode=True))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(weight)], names=["node", "element", "weight"])
+
+    return texts.select("node", "text").mapInArrow(rows, T.StructType([T.StructField("node", NODE), T.StructField("element", T.LongType()), T.StructField("weight", T.DoubleType())]))
+
+
+def _by_rare(members: DataFrame, label: DataFrame, tokens: DataFrame, spread: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b) pairs that may join classes which share a bucket.
+
+    Of two texts of different classes in a bucket at least one is outside the
+    bucket's largest class.  If such a text x is similar to a text y of the
+    bucket, what x does not share with y weighs at most size(x) - SHARED *
+    (size(x) + size(y)).  So y has one of x's shingles that stand, in the order
+    of rarity, behind no more than this weight: an equality join on rare
+    shingles finds every such pair, and the further back a shingle stands, the
+    smaller y must be.  A text whose own shingles alone weigh more drops out.
+    """
+    here = staged(_split(members, label), "apart")
+    sizes = here.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", "key", F.col("m.comp").alias("main"))
+    rest = here.join(largest, ["band", "key"]).where(F.col("comp") != F.col("main")).groupBy("node").agg(F.min("least").alias("least"))
+    every = here.groupBy("node").agg(F.first("comp").alias("comp"), F.first("size").alias("size")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    every = staged(every, "every")
+    rest = rest.join(every, "node").withColumn("spare", F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6).where("own <= spare")
+    mine = tokens.join(rest.select("node", "comp", "size", "own", "spare"), "node").join(spread.where("df > 1").select("element", "df"), "element")
+    before = F.sum("weight").over(Window.partitionBy("node").orderBy("df", "element").rowsBetween(Window.unboundedPreceding, -1))
+    rare = mine.withColumn("before", F.col("own") + F.coalesce(before, F.lit(0.0))).where("before <= spare")
+    rare = rare.select(F.col("node").alias("x"), F.col("comp").alias("in"), F.col("size").alias("size_x"), "before", "element")
+    others = tokens.join(every, "node").select("node", "comp", "size", "own", "element")
+    need = SHARED * (F.col("size") + F.col("size_x")) - 1e-6
+    can = (F.col("size_x") - F.col("before") >= need) & (F.col("size") - F.col("own") >= need) & (F.least("size", "size_x") >= need)
+    met = rare.join(others, "element").where((F.col("comp") != F.col("in")) & can)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, h1, h2, class_id, class_docs, class_texts, is_kept.
 
@@ -190,7 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     multisets have a weighted Jaccard similarity of at least 0.8 are linked;
     classes are the connected components, named by their least doc_id.  A bucket
     is never expanded into all its pairs: its members are compared with one of
-    them, and only members that stay in different classes are compared further.
+    them; where they stay in different classes, with the most typical of them,
+    the one with least shingles of its own; and then texts of different classes
+    where their rarest shingles meet, which every similar pair's do.
 
     Null or wordless texts, and rows without doc_id, are classes of their own
     (class_id is their doc_id).  Repeated rows fall into one class and share
@@ -203,41 +262,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = staged(
         signed.where("size > 0 and doc_id is not null")
         .groupBy(node.alias("node"))
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")),
         "nodes",
     )
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(members.join(shared, ["band", "key"]), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", F.col("node").alias("node of text"))
     texts = _hashed(docs, "text").join(wanted, ["doc_id", "node of text"]).groupBy("doc_id", "node of text").agg(F.max("text").alias("text"))
     texts = staged(texts.select(F.col("node of text").alias("node"), "text"), "texts")
 
-    tested = links = label = None
-    for turn in range(ROUNDS + 1):
-        here = members.withColumn("comp", F.col("node"))
-        if label is not None:
-            here = members.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            split = here.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
-            here = staged(here.join(split, ["band", "key"]), "split")
-        if turn < ROUNDS:
-            rank = F.struct(F.xxhash64("node", F.lit(turn), F.col("band") % ORDERS).alias("r"), F.col("node"), F.col("comp"))
-            centre = here.groupBy("band", "key").agg(F.min(rank).alias("c")).select("band", "key", F.col("c.node").alias("centre"), F.col("c.comp").alias("in"))
-            found = here.join(centre, ["band", "key"]).where(F.col("comp") != F.col("in")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        else:
-            other = here.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("in"))
-            found = here.join(other, ["band", "key"]).where((F.col("comp") != F.col("in")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = staged(found, "pairs")
-        if label is not None and found.isEmpty():
-            break
-        scored = staged(verified(found, texts), "scored")
-        tested = found if tested is None else tested.union(found)
-        good = scored.where(F.col("similarity") >= SIMILARITY)
-        links = good if links is None else links.union(good)
-        label = components(links, "a", "b")
+    # First each bucket's members are compared with one of them.
+    rank = F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("r"), F.col("node"))
+    centre = members.groupBy("band", "key").agg(F.min(rank).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
+    found = members.join(centre, ["band", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    tested = staged(found.distinct(), "pairs")
+    links = staged(verified(tested, texts).where(F.col("similarity") >= SIMILARITY), "links")
+    label = components(links, "a", "b")
+
+    # Of buckets that hold several classes, small ones are compared pair by pair, others with their most typical text.
+    here = staged(_split(members, label), "split")
+    many = here.where(F.col("n") > SMALL)
+    tokens = staged(_tokens(texts.join(many.select("node").distinct(), "node", "left_semi")), "tokens")
+    spread = tokens.groupBy("element").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.min("weight").alias("weight"))
+    own = staged(spread.where("df = 1").groupBy("node").agg(F.sum("weight").alias("own")), "own")
+    rank = F.struct(F.coalesce(F.col("own") / F.col("size"), F.lit(0.0)).alias("r"), F.col("node"), F.col("comp"))
+    typical = many.join(own, "node", "left").groupBy("band", "key").agg(F.min(rank).alias("c")).select("band", "key", F.col("c.node").alias("centre"), F.col("c.comp").alias("in"))
+    star = many.join(typical, ["band", "key"]).where(F.col("comp") != F.col("in")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    found = star.unionByName(_pairs(here.where(F.col("n") <= SMALL))).distinct().join(tested, ["a", "b"], "left_anti")
+    more = staged(found, "pairs")
+    tested = tested.unionByName(more)
+    links = staged(verified(more, texts).where(F.col("similarity") >= SIMILARITY), "links")
+    label = staged(merged(label, links, "a", "b"), "label")
+
+    # What large buckets still hold apart is compared where its rarest shingles meet.
+    found = staged(_by_rare(many.drop("comp"), label, tokens, spread, own).join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not found.isEmpty():
+        links = staged(verified(found, texts).where(F.col("similarity") >= SIMILARITY), "links")
+        label = merged(label, links, "a", "b")
 
     classes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(
