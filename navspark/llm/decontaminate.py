@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from navspark.llm.shared import staged
 from navspark.llm.words import Words, grams, mix, slices
