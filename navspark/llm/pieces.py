@@ -153,7 +153,7 @@ class Codec:
     """
 
     #: Characters of remembered words; beyond them a worker starts anew.
-    MEMORY = 4 << 20
+    MEMORY = 3 << 20
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -167,9 +167,9 @@ class Codec:
         # A byte piece stands for its byte: bytes are joined first and read as text then.
         self.surface = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces], pa.binary())
         self.plain = np.array([kind in (NORMAL, USER, BYTE) for *_, kind in self.spec.pieces])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.equal, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), 0
 
@@ -180,7 +180,7 @@ class Codec:
     def _learn(self, words: list[str]) -> np.ndarray:
         """The places of the words in the memory."""
         if self.held > self.MEMORY:
-            self._forget()
+            self.forget()
         new = [w for w in words if w not in self.known]
         if new:
             ids, equal = self._whole(new)
@@ -283,6 +283,7 @@ def encoded(docs: DataFrame, model: bytes, text_col: str = "text", threads: int
             for part in slices(batch, text_col):
                 ids, parity = tool.encode(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, tool.decode(ids), parity], names=[*part.schema.names, "piece ids", "piece text", "piece parity"])
+        tool.forget()  # the worker may serve other stages next
 
     added = [T.StructField("piece ids", T.ArrayType(T.IntegerType())), T.StructField("piece text", T.StringType()), T.StructField("piece parity", T.BooleanType())]
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *added]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that are tokenised at once; it bounds a task's memory, not its result.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 8192
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +36,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = min(stop, start + SLICE_ROWS)
         yield batch.slice(start, stop - start)
         start = stop
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers live on, and their executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
 
 
 class Words:
