@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.llm import decontaminate, html, labelled_pages, near, pieces, prints, quality, quotes, substring, urls, warc
+from navspark.llm.shared import staged
 
 #: The SentencePiece model of op5 and of the pipeline; NAVSPARK_PIECES overrides it.
 PIECES = os.environ.get("NAVSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -83,8 +84,23 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_read(spark, sf_dir, "pages"), urls.train(), ["page_id"])
 
 
+def mail(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: over each message the turn before it, quoted once, and the one before that, quoted twice.
+
+    Rows that share (conv_id, turn) are quoted by the least of their texts; a null text quotes nothing.
+    """
+    said = conversations.where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    out = conversations.select("conv_id", "turn", "role", "text")
+    for back in (2, 1):
+        mark = ">" * back + " "
+        quoted = F.concat(F.lit(mark), F.regexp_replace("said", r"\r?\n", "\n" + mark))
+        out = out.join(said.select("conv_id", (F.col("turn") + back).alias("turn"), quoted.alias(f"quoted {back}")), ["conv_id", "turn"], "left")
+    text = F.when(F.col("text").isNotNull(), F.concat_ws("\n", "quoted 2", "quoted 1", "text"))
+    return out.select("conv_id", "turn", "role", text.alias("text"))
+
+
 def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.linked(_read(spark, sf_dir, "conversations"))
+    found = quotes.linked(staged(mail(_read(spark, sf_dir, "conversations")), "mail"))
     return found.withColumn("text_md5", F.md5("text")).drop("text")
 
 
@@ -163,7 +179,13 @@ SELECT c.conv_id, c.turn, c.role, CAST(coalesce(num.n_quotes, 0) AS BIGINT) AS n
   CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, md5(c.said) AS text_md5
 FROM clean c LEFT JOIN num ON c.r = num.r LEFT JOIN par ON c.r = par.r LEFT JOIN root ON c.conv_id = root.conv_id AND c.turn = root.turn"""
 
-_SQL = {"op2_warc_revisits": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_quote_links": OP9_SQL}
+#: OP9_SQL on the conversations as mail.
+OP9_MAIL_SQL = OP9_SQL.replace("FROM conversations)", r"""FROM (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL THEN concat_ws(chr(10),
+    '>> ' || regexp_replace(b.said, '\r?\n', chr(10) || '>> ', 'g'), '> ' || regexp_replace(a.said, '\r?\n', chr(10) || '> ', 'g'), c.text) END AS text FROM conversations c
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY ALL) a ON c.conv_id = a.conv_id AND c.turn = a.turn
+  LEFT JOIN (SELECT conv_id, turn + 2 AS turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY ALL) b ON c.conv_id = b.conv_id AND c.turn = b.turn))""", 1)
+
+_SQL = {"op2_warc_revisits": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_quote_links": OP9_MAIL_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -481,6 +481,35 @@ def test_quotes_equal_sql(spark):
     assert rows(got.select(order)) == sorted(con.execute(f"select {', '.join(order)} from ({queries.OP9_SQL})").fetchall(), key=repr)
 
 
+def test_quotes_of_hot_passages_equal_sql(spark):
+    """A message that half of all others answer, a line that all repeat, and chains beside them."""
+    rng = random.Random(9)
+    talk = [(0, 0, "user", "Who comes along?")]
+    for c in range(1, 400):
+        talk += [(c, 0, "user", prose(rng, 6) + "\nThanks."), (c, 1, "user", "> Who comes along?\nI do.\nThanks." if c % 2 else f"> {talk[-1][3]}\n{prose(rng, 3)}\n> Thanks.\nYes.")]
+    df = spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")
+    con = duckdb.connect()
+    con.register("given", df.toArrow())
+    con.execute("create view conversations as select * from given")
+    got = quotes.linked(df).withColumn("text_md5", F.md5("text")).drop("text")
+    order = sorted(got.columns)
+    found = rows(got.select(order))
+    assert found == sorted(con.execute(f"select {', '.join(order)} from ({queries.OP9_SQL})").fetchall(), key=repr)
+    assert sum(r[order.index("parent_conv")] == 0 for r in found) == 200
+
+
+def test_mail_equals_sql(spark, folder):
+    got = queries.op9_quote_links(spark, folder)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    order = sorted(got.columns)
+    assert rows(got.select(order)) == sorted(con.execute(f"select {', '.join(order)} from ({queries.OP9_MAIL_SQL})").fetchall(), key=repr)
+    assert got.where("n_linked = 2").count() > 0
+    odd = spark.createDataFrame([(1, 0, "user", "a\r\nb"), (1, 0, "user", "c"), (1, 1, "user", None), (1, 2, "user", "d"), (None, 1, "user", "e")], "conv_id bigint, turn bigint, role string, text string")
+    assert sorted(r.text or "" for r in queries.mail(odd).collect()) == ["", ">> a\n>> b\nd", "a\r\nb", "c", "e"]
+    assert queries.mail(odd.limit(0)).count() == 0
+
+
 # 10. Fingerprints.
 
 
