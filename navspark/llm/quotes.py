@@ -9,8 +9,6 @@ from navspark.llm.shared import staged
 
 _MARKS = r"^(?:[ \t]*>)+"
 _WHITE = r"[ \t\r\n\f\x0B]+"
-#: A key of over 1 / HOT of a join's rows is hot; no more than HOT keys can be.
-HOT = 200
 
 
 def normalised(text: Column) -> Column:
@@ -18,20 +16,6 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), _WHITE, " "))
 
 
-def _left_joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``left`` with the columns of ``right``, which has one row of each key at most.
-
-    The rows of hot keys are not shuffled: there are at most HOT such keys, so
-    their rows of ``right`` are broadcast.  Other keys fill at most 1 / HOT of a
-    shuffle each.  Both tables are staged, for they are read more than once.
-    """
-    most = left.count() / HOT
-    hot = staged(left.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > most).select(*keys), "hot")
-    heavy = right.join(F.broadcast(hot), keys)
-    rest = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, "left")
-    return left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(heavy), keys, "left").unionByName(rest)
-
-
 def _lines(messages: DataFrame) -> DataFrame:
     """(message columns, pos, level, body) of each line; level is the number of leading quote marks."""
     lines = messages.select("message", F.posexplode(F.split("text", r"\r?\n", -1)).alias("pos", "line"))
@@ -81,8 +65,10 @@ def linked(
 
     Originals are first reduced to one row per passage hash and conversation,
     with partial minima before the shuffle, so a line that all messages share is
-    one row; passages that many messages quote, and messages that many answer,
-    are joined without a shuffle of their rows.
+    one row.  The quoting side of these joins may be skewed (a passage that a
+    third of all messages quote, a message that a third answer); it is the outer
+    side of left joins that no operator takes the partitioning of, so adaptive
+    execution splits it.
     """
     rows = messages.select(F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     quoting = F.col("text").rlike("(?m)" + _MARKS)
@@ -95,13 +81,13 @@ def linked(
         alone = F.lit(None).cast("bigint")
         return rows.select("conv_id", "turn", "role", "text", F.lit(0).cast("bigint").alias("n_quotes"), F.lit(0).cast("bigint").alias("n_linked"), alone.alias("parent_conv"), alone.alias("parent_turn"), F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.lit(0).cast("bigint").alias("depth"))
     runs = staged(runs, "quotes")
-    units = staged(_units(runs, True).withColumn("conv", F.col("message.conv_id")), "units")
+    units = _units(runs, True).withColumn("conv", F.col("message.conv_id"))
 
     saying = rows.where("conv_id is not null and turn is not null and text is not null").withColumn("said", clean).where("said <> ''")
     said = saying.select(F.struct("conv_id", "turn").alias("message"), F.lit(0).alias("run"), F.lit(0).alias("level"), F.lit(0).alias("pos"), F.split("said", r"\r?\n", -1).alias("bodies"))
     here = staged(_units(said, False).groupBy("hash", F.col("message.conv_id").alias("conv")).agg(F.min("message.turn").alias("here")), "said")
-    first = staged(here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv_id"), F.col("here").alias("turn"))).alias("first")), "first")
-    place = _left_joined(staged(_left_joined(units, here, ["hash", "conv"]), "units"), first, ["hash"])
+    first = here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv_id"), F.col("here").alias("turn"))).alias("first"))
+    place = units.join(here, ["hash", "conv"], "left").join(first, "hash", "left")
     me = F.struct("message.conv_id", "message.turn")
     origin = F.when(F.col("here") < F.col("message.turn"), F.struct(F.col("conv").alias("conv_id"), F.col("here").alias("turn"))).when(F.col("first") < me, F.col("first"))
     place = place.withColumn("origin", origin).where("origin is not null")
@@ -119,16 +105,26 @@ def linked(
 
 
 def _roots(found: DataFrame) -> DataFrame:
-    """(conv_id, turn, thread_conv, thread_turn, depth) of the linked messages, by pointer doubling."""
+    """(conv_id, turn, thread_conv, thread_turn, depth) of the linked messages, by pointer doubling.
+
+    Messages that have reached their root take no part in later rounds, but as what others point to.
+    """
     step = found.where("parent_conv is not null").groupBy("message.conv_id", "message.turn").agg(F.min(F.struct("parent_conv", "parent_turn")).alias("up"))
-    step = staged(step.select("conv_id", "turn", "up.parent_conv", "up.parent_turn", F.lit(1).cast("bigint").alias("depth")), "steps")
-    while True:
-        above = step.select(F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"), F.col("parent_conv").alias("next_conv"), F.col("parent_turn").alias("next_turn"), F.col("depth").alias("more"))
-        joined = _left_joined(step, above, ["parent_conv", "parent_turn"])
+    active = staged(step.select("conv_id", "turn", "up.parent_conv", "up.parent_turn", F.lit(1).cast("bigint").alias("depth"), F.lit(False).alias("ended")), "steps")
+    ended = active.where("ended")
+    while not active.isEmpty():
+        every = active.unionByName(ended)
+        above = every.select(
+            F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"), F.col("parent_conv").alias("next_conv"), F.col("parent_turn").alias("next_turn"),
+            F.col("depth").alias("more"), F.col("ended").alias("last"),
+        )
+        joined = active.join(above, ["parent_conv", "parent_turn"], "left")
         moved = staged(
-            joined.select("conv_id", "turn", F.coalesce("next_conv", "parent_conv").alias("parent_conv"), F.coalesce("next_turn", "parent_turn").alias("parent_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")), "steps",
+            joined.select(
+                "conv_id", "turn", F.coalesce("next_conv", "parent_conv").alias("parent_conv"), F.coalesce("next_turn", "parent_turn").alias("parent_turn"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("last", F.lit(True)).alias("ended"),
+            ), "steps",
         )
-        step = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    return step.select("conv_id", "turn", F.col("parent_conv").alias("thread_conv"), F.col("parent_turn").alias("thread_turn"), "depth")
+        ended = ended.unionByName(moved.where("ended"))
+        active = moved.where("not ended")
+    return ended.select("conv_id", "turn", F.col("parent_conv").alias("thread_conv"), F.col("parent_turn").alias("thread_turn"), "depth")
