@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from html import unescape
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,20 @@ from navspark.llm.words import slices
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*>", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style title textarea noscript iframe template svg math object select option canvas audio video xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes".split())  # the first end tag ends them, whatever stands before it
+NESTED = frozenset("template svg object select datalist canvas audio video annotation annotation-xml".split())  # hold elements, also of their own name
+OPAQUE = RAW | NESTED
+MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced maction msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul xmp".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 
-TAGS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header hgroup", "footer", "aside", "form fieldset button legend dialog", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption address details summary", "body"]
+TAGS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header hgroup", "footer", "aside", "form fieldset button legend dialog option optgroup", "table tbody thead tfoot tr td th caption", "blockquote pre xmp figure figcaption address details summary", "body"]
 _TAG_GROUP = {tag: i for i, group in enumerate(TAGS) for tag in group.split()}
 #: Words of class, id and role that tell a block's part in the page.
 NAMES = [
@@ -74,6 +78,43 @@ def _describe(tag: str, attributes: str) -> tuple[tuple[int, ...], int, bool]:
     return (group, *(N_TAGS + i for i in found), N_TAGS + N_NAMES), kind, hidden
 
 
+class _Ends:
+    """Where the opaque elements of one page end; the page is scanned at most once for each kind of element."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.endless: set[str] = set()
+        self.nested: dict[int, int] | None = None
+
+    def raw(self, tag: str, at: int) -> int | None:
+        """End of a raw element whose start tag ends at ``at``; without an end tag, the page's end for script and style, else None."""
+        end = None if tag in self.endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(self.html, at)
+        if end:
+            return end.end()
+        self.endless.add(tag)
+        return len(self.html) if tag in ("script", "style") else None
+
+    def of(self, tag: str, at: int) -> int | None:
+        """End of an opaque element whose start tag ends at ``at``; None if it has no end tag of its own."""
+        if tag in RAW:
+            return self.raw(tag, at)
+        if self.nested is None:
+            self.nested, opened, here = {}, {t: [] for t in NESTED}, at
+            opened[tag].append(at)
+            while m := _TOKEN.search(self.html, here):
+                here = m.end()
+                name = (m[2] or "").lower()
+                if m[1]:
+                    if opened.get(name):
+                        self.nested[opened[name].pop()] = here
+                elif m[2] and not m[3].endswith("/"):
+                    if name in RAW:
+                        here = self.raw(name, here) or here
+                    elif name in NESTED:
+                        opened[name].append(here)
+        return self.nested.get(at)
+
+
 class Pages:
     """The trees of many pages, one after another; node 0 of each is its root."""
 
@@ -99,8 +140,9 @@ class Pages:
         self.first.append(len(self.leaves))
         stack = [("#root", self._node(-1, 1, (len(TAGS),)))]
         run: list[str] = []
-        linked = in_link = 0
+        linked = in_link = in_math = 0
         at, html = 0, html or ""
+        ends = _Ends(html)
 
         def close_run() -> None:
             nonlocal linked
@@ -139,18 +181,22 @@ class Pages:
             if m[1]:
                 if tag == "a":
                     in_link = 0
+                elif tag == "math":
+                    in_math = 0
                 elif tag not in INLINE:
-                    pop_to({tag}, set())
+                    if tag in ("select", "datalist", "optgroup"):
+                        pop_to({"option"}, set())
+                    pop_to({"optgroup"} if tag in ("select", "datalist") else {tag}, set())
                 continue
-            if tag in OPAQUE:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if tag in OPAQUE and (in_math or not tag.startswith("annotation")):
                 if not m[3].endswith("/"):
-                    at = end.end() if end else len(html)
-                if tag not in ("svg", "math"):
+                    at = ends.of(tag, at) or at
+                if tag != "svg" and not in_math:
                     close_run()
                 continue
             if tag in INLINE:
                 in_link = int(tag == "a") or in_link
+                in_math = int(tag == "math" and not m[3].endswith("/")) or in_math
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -159,6 +205,8 @@ class Pages:
                     run.append(" ")
                 continue
             close_run()
+            while stack[-1][0] == "option" or (stack[-1][0] == "optgroup" and tag != "option"):
+                stack.pop()
             if tag in CLOSES_P:
                 pop_to({"p"}, {"table", "td", "th", "button"})
             if tag in CLOSES:
@@ -170,6 +218,10 @@ class Pages:
             if hidden:
                 active, kind = (*active, N_TAGS + 5), 2
             stack.append((tag, self._node(stack[-1][1], kind, active)))
+            end = _XMP_END.search(html, at) if tag == "xmp" else None
+            if end:  # its marks are text
+                run.append(escape(html[at : end.start()], quote=False))
+                at = end.start()
         close_run()
 
     def arrays(self) -> Trees:

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and their behaviour on odd input."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -104,6 +105,61 @@ def test_html_page():
     assert html.extract([PAGE, None, "", "plain text only.", "<p>a < b &lt; c</p>"], labelled_pages.train())[:3] == ["Title & more\nFirst line goes on.\nSecond é x.\nShort.", "", ""]
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>First line of the story.</p><p>Second line of the story.</p></article>"
+STORY = "Title of it\nFirst line of the story.\nSecond line of the story."
+OPTIONS = "<option value=a>Apple<option value=b>Pear"
+
+
+@functools.cache
+def pages_model():
+    return labelled_pages.train()
+
+
+def page_text(page):
+    return html.extract([page], pages_model())[0]
+
+
+@pytest.mark.parametrize("tag", ["iframe", "object", "video", "audio", "canvas", "noscript", "svg", "template", "textarea", "title", "noembed", "noframes", "select", "datalist"])
+def test_html_opaque_without_end_tag(tag):
+    assert page_text(f"<body><{tag} id=x>{ARTICLE}") == STORY
+    assert page_text(f"<body><{tag} id=x></{tag} >{ARTICLE}") == STORY
+    if tag in html.NESTED:  # a later element's end tag is not its own
+        assert page_text(f"<body><{tag} id=x>{ARTICLE}<{tag}>Fallback</{tag}>") == STORY
+        assert page_text(f"<body><{tag}>One <{tag}>two</{tag}> three.</{tag}>{ARTICLE}") == STORY
+
+
+@pytest.mark.parametrize("tag", ["script", "style"])
+def test_html_script_without_end_tag(tag):
+    assert page_text(f"<body>{ARTICLE}<{tag}>var t = 1;<p>No text of the page.</p><{tag}>var u = 2;<p>Nor this.</p>") == STORY
+
+
+@pytest.mark.parametrize("start", ["<datalist>{}</datalist>", "<select>{}</select>", "<select>{}", "<datalist>{}", "{}</select>", "<select><optgroup label=o>{}</optgroup>", "<optgroup label=o>{}"])
+def test_html_options_without_end_tag(start):
+    before = start.format(OPTIONS)
+    assert page_text(f"<body>{before}{ARTICLE}") == STORY
+    assert page_text(f"<body>{before}{ARTICLE}<select><option>Plum</option></select>") == STORY
+
+
+def test_html_options_are_blocks():
+    trees = html.Pages()
+    trees.add("<div><optgroup><option>a<option>b</optgroup><optgroup><option>c</select>d</div>")
+    assert trees.texts == ["a", "b", "c", "d"]
+    assert [trees.depth[n] for n in trees.leaves] == [4, 4, 4, 2]
+
+
+def test_html_math_and_xmp():
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding=tex>E=mc^2</annotation></semantics></math>"
+    page = f"<body><article><h1>Title of it</h1><p>Energy is {formula} at rest.</p><xmp>Write <b>bold</b> &amp; so on in a page.</xmp><p>Second line of the story.</p></article>"
+    assert page_text(page) == "Title of it\nEnergy is E=mc2 at rest.\nWrite <b>bold</b> &amp; so on in a page.\nSecond line of the story."
+    assert page_text(f"<body><xmp>{ARTICLE}") == page_text(f"<body><math>{ARTICLE}") == STORY
+
+
+def test_html_many_opaque_starts():
+    trees = html.Pages()
+    trees.add("<iframe><video>" * 100_000 + "one</video>two")
+    assert trees.texts == ["two"]
+
+
 def test_html_marginals_are_exact():
     trees = html.Pages()
     trees.add("<article><p>one</p><div>two<p>three</p></div></article>")
