@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,14 +101,15 @@ def _adam(gradient, size: int, steps: int, rate: float = 0.03) -> np.ndarray:
     return w
 
 
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> float:
     """Share of positives among the unlabelled rows.
 
     A region of the feature space that holds positives only has in the
     unlabelled rows ``prior`` times its share of the positives, any other region
     more.  So the prior is the least ratio of the two shares over regions above
     a threshold of a positive-against-unlabelled score; the score is fitted on
-    one half of the rows, the shares are taken on the other.
+    one half of the rows, the shares are taken on the other; those of the
+    unlabelled rows by ``above(score's weights, thresholds)`` if it is given.
     """
     a, b, c, d = p[::2], p[1::2], u[::2], u[1::2]
 
@@ -116,23 +117,31 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
         return -a.T @ _sigmoid(-a @ w) / len(a) + c.T @ _sigmoid(c @ w) / len(c) + 1e-2 * w
 
     w = _adam(gradient, p.shape[1], 300)
-    top, rest = np.sort(b @ w), d @ w
+    top = np.sort(b @ w)
     shares = np.linspace(0.90, 0.99, 10)
-    ratios = [float((rest >= top[int((1 - s) * (len(top) - 1))]).mean() / s) for s in shares]
-    return float(np.clip(min(ratios), 0.05, 0.99))
+    cuts = np.array([top[int((1 - s) * (len(top) - 1))] for s in shares])
+    found = above(w, cuts) if above else ((d @ w)[:, None] >= cuts).mean(axis=0)
+    return float(np.clip((found / shares).min(), 0.05, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500) -> Model:
-    """Minimise the non-negative unbiased risk with logistic loss; without rows the model answers one half."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, moments: tuple[np.ndarray, np.ndarray] | None = None, above: Callable[[Model], Callable] | None = None) -> Model:
+    """Minimise the non-negative unbiased risk with logistic loss; without rows the model answers one half.
+
+    ``moments``, the features' mean and standard deviation, and ``above``, which
+    makes of the standardisation what ``class_prior`` takes, stand for more
+    unlabelled rows than are given.
+    """
     if len(positive) < 4 or len(unlabelled) < 4:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.5)
-    both = np.concatenate((positive, unlabelled))
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+    if moments is None:
+        both = np.concatenate((positive, unlabelled))
+        moments = both.mean(axis=0), both.std(axis=0)
+    mean, scale = (m.copy() for m in moments)
     constant = scale < 1e-9
     mean[constant], scale[constant] = 0.0, 1.0
     scale = np.maximum(scale, 1e-3)
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    prior = class_prior(p, u)
+    prior = class_prior(p, u, above and above(Model(mean, scale, np.zeros(N_FEATURES), 0.5)))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         fp, fu = p @ w, u @ w
@@ -150,24 +159,77 @@ def _least(keys: DataFrame, most: int) -> int | None:
     return keys.orderBy("key").limit(most).agg(F.max("key")).first()[0]
 
 
-def _features_of(docs: DataFrame, most: int) -> np.ndarray:
-    """Features of at most ``most`` rows (key, text), those of least key."""
+def _features_of(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and keys of at most ``most`` rows (key, text), those of least key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], names=["x"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], names=["key", "x"])
+
+    found = docs.orderBy("key", F.length("text")).limit(most).select("key", "text").mapInArrow(rows, "key bigint, x array<double>").collect()
+    return np.array([r.x for r in found]).reshape(len(found), N_FEATURES), np.array([r.key for r in found], np.int64)
+
+
+def _sums(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], tuple], merge: Callable[[tuple, tuple], tuple]) -> tuple | None:
+    """``of(features, keys)`` of all rows (key, text), a tuple of a count and two arrays, merged in each task and then over the tasks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if part.num_rows:
+                    one = of(features(part.column("text")), part.column("key").to_numpy())
+                    total = one if total is None else merge(total, one)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([float(total[0])]), *(pa.array([list(t)], pa.list_(pa.float64())) for t in total[1:])], names=["n", "a", "b"])
+
+    total = None
+    for r in docs.select("key", "text").mapInArrow(rows, "n double, a array<double>, b array<double>").collect():
+        one = (r.n, np.array(r.a), np.array(r.b))
+        total = one if total is None else merge(total, one)
+    return total
+
+
+def _moments(x: np.ndarray, keys: np.ndarray) -> tuple:
+    return len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
+
+
+def _merged_moments(one: tuple, two: tuple) -> tuple:
+    n, step = one[0] + two[0], two[1] - one[1]
+    return n, one[1] + step * (two[0] / n), one[2] + two[2] + step**2 * (one[0] * two[0] / n)
+
+
+def _added(one: tuple, two: tuple) -> tuple:
+    return tuple(a + b for a, b in zip(one, two))
+
+
+def _shares(rows: DataFrame, fitted_on: np.ndarray) -> Callable[[Model], Callable]:
+    """Shares of all rows above thresholds of a score; rows of the keys that the score was fitted on are left out while there are others."""
+
+    def above(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def shares(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+            def count(x: np.ndarray, keys: np.ndarray) -> tuple:
+                over = (((x - model.mean) / model.scale) @ w)[:, None] >= cuts
+                fresh = ~np.isin(keys, fitted_on)
+                return fresh.sum(), np.append(over[fresh].sum(axis=0), 0.0), np.append(over.sum(axis=0), len(x))
+
+            n, fresh, every = _sums(rows, count, _added)
+            return fresh[:-1] / n if n else every[:-1] / every[-1]
+
+        return shares
 
-    found = docs.orderBy("key", F.length("text")).limit(most).select("text").mapInArrow(rows, "x array<double>").collect()
-    return np.array([r.x for r in found]).reshape(len(found), N_FEATURES)
+    return above
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on documents outside the held-out third: trusted positives by ``labels.quality``, all others as unlabelled.
 
-    Of either kind the ``most`` rows of least hash of id and text are used; they
-    are the only rows that reach the driver, as feature vectors.  The hash is
-    found first, without moving texts, so only texts under it are joined.
+    The features' mean and scale and the class prior's shares are taken over all
+    of these documents.  The risk is summed over the ``most`` rows of least hash
+    of id and text of either kind; they are the only rows that reach the driver,
+    as feature vectors.  The hash is found first, without moving texts, so only
+    texts under it are joined.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull())
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
@@ -175,8 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
     sides = []
     for kept in (lambda r: r.join(trusted, "doc_id", "left_semi"), lambda r: r):
         bound = _least(kept(rows.select("doc_id", "key")), most)
-        sides.append(_features_of(kept(rows.where(F.col("key") <= bound)), most) if bound is not None else np.zeros((0, N_FEATURES)))
-    return fit(*sides)
+        sides.append(_features_of(kept(rows.where(F.col("key") <= bound)), most) if bound is not None else (np.zeros((0, N_FEATURES)), np.zeros(0, np.int64)))
+    (positive, _), (unlabelled, keys) = sides
+    if min(len(positive), len(unlabelled)) < 4:
+        return fit(positive, unlabelled)
+    n, mean, squares = _sums(rows, _moments, _merged_moments)
+    return fit(positive, unlabelled, moments=(mean, np.sqrt(squares / n)), above=_shares(rows, keys[::2]))
 
 
 def held_out(id_col: str):

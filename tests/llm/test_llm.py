@@ -406,6 +406,27 @@ def test_quality_ignores_held_out_labels(spark, folder):
     assert np.array_equal(quality.train(docs, labels).weights, quality.train(docs, flipped).weights)
 
 
+def test_quality_moments_and_prior_of_all_rows(spark, folder, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    outside = docs.where(~quality.held_out("doc_id") & F.col("text").isNotNull())
+    x = quality.features(pa.array([r.text for r in outside.select("text").collect()]))
+    seen = []
+
+    def prior(p, u, above=None):
+        seen.append((len(u), above(np.eye(quality.N_FEATURES)[-3], np.array([-1.0, 0.0, 1.0]))))
+        return 0.9
+
+    monkeypatch.setattr(quality, "class_prior", prior)
+    fitted = quality.train(docs, labels, most=40)
+    changing = x.std(axis=0) >= 1e-9
+    assert np.allclose(fitted.mean[changing], x.mean(axis=0)[changing]) and np.allclose(fitted.scale[changing], np.maximum(x.std(axis=0), 1e-3)[changing])
+    keys = outside.select(F.xxhash64("doc_id", "text").alias("key"), "text").collect()
+    gone = set(sorted({r.key for r in keys})[:40:2])
+    left = quality.features(pa.array([r.text for r in keys if r.key not in gone]))
+    z = ((left - fitted.mean) / fitted.scale)[:, -3]
+    assert len(seen) == 1 and seen[0][0] == 40 and len(left) > 40 and np.allclose(seen[0][1], [(z >= c).mean() for c in (-1, 0, 1)])
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, (2000, 3)), rng.normal(-2, 1, (600, 3))
