@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navspark.llm.shared import staged
+from navspark.llm.shared import Scratch, staged
+
+#: The edges of one node are worked on by so many groups, so a hub of any size is many small ones.
+GROUPS = 512
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each edge seen from u, with the least node among u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("u", "m"))
+    """(u, v, m): each edge seen from u, with the least node among u and its neighbours.
+
+    Both the minimum and its way back to the edges go over groups of u's edges,
+    so no task gets all edges of a hub.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(GROUPS)).cast("int"))
+    some = dealt.groupBy("u", "part").agg(F.min("v").alias("low"))
+    every = some.groupBy("u").agg(F.min("low").alias("m"))
+    back = some.select("u", "part").join(every, "u")
+    return dealt.join(back, ["u", "part"]).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,15 +49,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Nodes may be of any ordered type.  Self edges and repeated edges are fine,
     an edge with a null end is none.  Each round is a few shuffles of the edges
-    and is written to the shared folder; the number of rounds grows with the
-    logarithm of the longest path, and nothing but a yes or no reaches the driver.
+    and is written to the shared folder, where it replaces the one before; the
+    number of rounds grows with the logarithm of the longest path, and nothing
+    but a yes or no reaches the driver.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    while True:
-        edges = staged(_small_star(_large_star(edges)), "star")
-        if _is_stars(edges):
-            break
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), "v").distinct()).toDF("node", "component")
+    with Scratch() as rounds:
+        while True:
+            edges = rounds.staged(_small_star(_large_star(edges)), "star")
+            rounds.clear(but=1)
+            if _is_stars(edges):
+                break
+        return staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), "v").distinct()).toDF("node", "component"), "components")
 
 
 def merged(label: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:

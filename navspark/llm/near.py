@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from navspark.llm.components import components, merged
-from navspark.llm.shared import staged
+from navspark.llm.shared import Scratch, staged
 from navspark.llm.words import Words, content_hash, grams, mix, slices
 
 SHINGLE = 5
@@ -26,11 +25,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Share of two sizes' sum that texts of SIMILARITY have in common.
 SHARED = SIMILARITY / (1 + SIMILARITY)
-NODE = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-#: A band's buckets get their star from one of so many orders of their members.
+#: A band's buckets get their star from one of so many orders of their members; a power of two.
 ORDERS = 4
 #: A bucket of so many texts may be compared pair by pair: at most SMALL / 2 pairs a text.
 SMALL = 8
+#: A mixed bucket gets so many typical texts as further centres.
+TYPICAL = 4
+#: Pairs of one centre that are verified in one group, and the most groups that a centre is copied to.
+GROUP, GROUPS = 256, 4096
 
 
 def multisets(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,17 +110,40 @@ def dart_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_te
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    keys = np.zeros((len(signatures), bands), np.uint64)
+    """(texts, bands) hashes of a band and its ``rows`` coordinates; the lowest bits are the band's order."""
+    keys = np.tile(mix(np.arange(bands, dtype=np.uint64)), (len(signatures), 1))
     with np.errstate(over="ignore"):
         for i in range(rows):
             keys = mix(keys ^ signatures[:, i::rows][:, :bands])
-    return keys
+    return (keys & ~np.uint64(ORDERS - 1)) | (np.arange(bands) % ORDERS).astype(np.uint64)
+
+
+def occurrences(text: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, element) rows of a set for each multiset: the k-th occurrence of a shingle is an element of its own.
+
+    So the Jaccard similarity of the sets is the multisets' weighted one.
+    """
+    times = weight.astype(np.int64)
+    row = np.repeat(np.arange(len(text)), times)
+    again = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    out = element[row]
+    more = again > 0
+    with np.errstate(over="ignore"):
+        out[more] = mix(out[more] ^ (again[more].astype(np.uint64) << np.uint64(48))) >> np.uint64(16)
+    return text[row], out
+
+
+def _raw(text: str) -> Column:
+    return F.xxhash64(F.col(text))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2, size, bands) of each row; ``h1, h2`` hash the word sequence, ``size`` is 0 without words."""
-    schema = "doc_id bigint, h1 bigint, h2 bigint, size bigint, bands array<bigint>"
-    types = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, raw, h1, h2, size, k0, k1, ...) of each row.
+
+    ``raw`` hashes the text as it is, ``h1, h2`` its word sequence; ``size`` is
+    the number of shingles, 0 without words; ``k0, k1, ...`` are the keys of its bands.
+    """
+    names = ["doc_id", "raw", "h1", "h2", "size", *(f"k{i}" for i in range(BANDS))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,15 +151,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = Words(part.column("text"), str.lower, unicode=True)
                 text, element, weight = multisets(words)
                 n = part.num_rows
-                keys = band_keys(dart_minhash(text, element, weight, n, BANDS * ROWS), BANDS, ROWS)
+                keys = band_keys(dart_minhash(text, element, weight, n, BANDS * ROWS), BANDS, ROWS).view(np.int64)
                 size = np.bincount(text, weights=weight, minlength=n).astype(np.int64)
-                bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, keys.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(content_hash(words, 1).view(np.int64)), pa.array(content_hash(words, 2).view(np.int64)), pa.array(size), bands], schema=types
-                )
+                hashed = [pa.array(content_hash(words, seed).view(np.int64)) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("raw"), *hashed, pa.array(size), *(pa.array(keys[:, i].copy()) for i in range(BANDS))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, schema)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _raw(text_col).alias("raw"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sign, ", ".join(f"{n} bigint" for n in names))
 
 
 def weighted_jaccard(a: dict, b: dict) -> float:
@@ -144,193 +167,224 @@ def weighted_jaccard(a: dict, b: dict) -> float:
     return shared / total if total else 0.0
 
 
-def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_b"):
-            n = part.num_rows
-            both = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
-            text, element, weight = multisets(Words(both, str.lower, unicode=True))
-            total = np.bincount(text, weights=weight, minlength=2 * n)
-            pair = text % n
-            order = np.lexsort((element, pair))
-            pair, element, weight = pair[order], element[order], weight[order]
-            same = (pair[1:] == pair[:-1]) & (element[1:] == element[:-1])
-            shared = np.bincount(pair[1:][same], weights=np.minimum(weight[1:], weight[:-1])[same], minlength=n)
-            union = total[:n] + total[n:] - shared
-            score = np.divide(shared, union, out=np.zeros(n), where=union > 0)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score)], names=["a", "b", "similarity"])
-
-
-def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the columns "node of text", the word sequence's hash, and "words of text"."""
-    node_type = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, elements) of texts (node, h1, text) whose word sequence has the hash ``h1``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                words = Words(part.column(text_col), str.lower, unicode=True)
-                node = pa.StructArray.from_arrays([pa.array(content_hash(words, s).view(np.int64)) for s in (1, 2)], fields=list(node_type))
-                yield pa.RecordBatch.from_arrays([*part.columns, node, pa.array(words.lengths)], names=[*part.schema.names, "node of text", "words of text"])
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), str.lower, unicode=True)
+                text, element = occurrences(*multisets(words))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=part.num_rows)))).astype(np.int32)
+                sets = pa.ListArray.from_arrays(ends, element.view(np.int64))
+                own = pa.array(content_hash(words, 1).view(np.int64) == part.column("h1").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "elements"]).filter(own)
+
+    return texts.select("node", "h1", "text").mapInArrow(rows, "node bigint, elements array<bigint>")
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("node of text", NODE), T.StructField("words of text", T.LongType())])
-    return docs.mapInArrow(hashed, schema)
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity) of distinct node pairs (a, b, n), from the whole sets (node, elements).
+
+    ``n`` is the size of the bucket that a is the centre of.  A centre's pairs
+    are dealt to groups of about GROUP, and its set is copied to each group once,
+    so the centre of a large bucket is no hot key.
+    """
+    groups = F.least(F.lit(GROUPS), F.ceil(F.col("n") / GROUP))
+    dealt = pairs.withColumn("group", F.pmod(F.xxhash64("b"), groups).cast("int"))
+    left = dealt.select("a", "group").distinct().join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a")
+    right = dealt.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    score = shared / (F.size("of_a") + F.size("of_b") - shared)
+    return right.join(left, ["a", "group"]).select("a", "b", score.alias("similarity"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of distinct node pairs, from the whole texts (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similarities, T.StructType([T.StructField("a", NODE), T.StructField("b", NODE), T.StructField("similarity", T.DoubleType())]))
+def _fits(a: str, b: str) -> Column:
+    """Whether two sizes let their texts be similar."""
+    return F.least(a, b) + 1e-6 >= SHARED * (F.col(a) + F.col(b))
 
 
-def _split(members: DataFrame, label: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that hold several classes, with their class and the bucket's least size."""
-    here = members.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "least")
-    buckets = here.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("size").alias("least"))
-    return here.join(buckets.where("low <> high").select("band", "key", "least"), ["band", "key"])
+    return _mixed(members.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "least"), scratch)
 
 
-def _pairs(here: DataFrame) -> DataFrame:
-    """(a, b) in one bucket but in different classes that their sizes let be similar."""
-    other = here.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("in"), F.col("size").alias("size_b"))
-    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("in")) & (F.least("size", "size_b") + 1e-6 >= SHARED * (F.col("size") + F.col("size_b")))
-    return here.join(other, ["band", "key"]).where(near).select(F.col("node").alias("a"), "b")
+def _mixed(here: DataFrame, scratch: Scratch) -> DataFrame:
+    buckets = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("size").alias("least"))
+    buckets = scratch.staged(buckets.where("low <> high").select("key", "least"), "mixed")
+    return scratch.staged(here.join(buckets, "key"), "apart")
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """(node, element, weight): the shingles of texts (node, text)."""
+def _pairs(here: DataFrame) -> DataFrame:
+    """(a, b, n) in one bucket but in different classes that their sizes let be similar."""
+    one = here.select("key", F.col("node").alias("a"), F.col("comp").alias("of"), F.col("size").alias("size_a"), "n")
+    other = here.select("key", F.col("node").alias("b"), F.col("comp").alias("in"), F.col("size").alias("size_b"))
+    return one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("of") != F.col("in")) & _fits("size_a", "size_b")).select("a", "b", "n")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                text, element, weight = multisets(Words(part.column("text"), str.lower, unicode=True))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(weight)], names=["node", "element", "weight"])
 
-    return texts.select("node", "text").mapInArrow(rows, T.StructType([T.StructField("node", NODE), T.StructField("element", T.LongType()), T.StructField("weight", T.DoubleType())]))
+def _tokens(sets: DataFrame) -> DataFrame:
+    """A row per element."""
+    return sets.withColumn("element", F.explode("elements")).drop("elements")
 
 
-def _by_rare(members: DataFrame, label: DataFrame, tokens: DataFrame, spread: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b) pairs that may join classes which share a bucket.
+def _by_rare(here: DataFrame, members: DataFrame, sets: DataFrame, spread: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, n) pairs that may join classes which share a bucket.
 
     Of two texts of different classes in a bucket at least one is outside the
     bucket's largest class.  If such a text x is similar to a text y of the
-    bucket, what x does not share with y weighs at most size(x) - SHARED *
-    (size(x) + size(y)).  So y has one of x's shingles that stand, in the order
-    of rarity, behind no more than this weight: an equality join on rare
-    shingles finds every such pair, and the further back a shingle stands, the
-    smaller y must be.  A text whose own shingles alone weigh more drops out.
+    bucket, what x does not share with y are at most size(x) - SHARED *
+    (size(x) + size(y)) elements.  So y has one of x's elements that stand, in
+    the order of rarity, behind no more than these: an equality join on rare
+    elements finds every such pair, and the further back an element stands, the
+    smaller y must be.  A text with more elements of its own, on either side,
+    drops out of the bucket, which may leave it with one class, or a greater
+    least size.  Of the pairs that meet, those that share no bucket go.
     """
-    here = staged(_split(members, label), "apart")
-    sizes = here.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", "key", F.col("m.comp").alias("main"))
-    rest = here.join(largest, ["band", "key"]).where(F.col("comp") != F.col("main")).groupBy("node").agg(F.min("least").alias("least"))
-    every = here.groupBy("node").agg(F.first("comp").alias("comp"), F.first("size").alias("size")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    every = staged(every, "every")
+    here = here.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    for _ in range(2):
+        here = here.where(F.col("own") <= F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6).drop("least")
+        here = _mixed(here, scratch)
+    sizes = scratch.staged(here.groupBy("key", "comp").agg(F.count("*").alias("k")), "sizes")
+    largest = sizes.join(sizes.groupBy("key").agg(F.max("k").alias("k")), ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main"))
+    largest = scratch.staged(largest, "largest")
+    rest = here.join(largest, "key").where(F.col("comp") != F.col("main")).groupBy("node").agg(F.min("least").alias("least"))
+    every = scratch.staged(here.groupBy("node").agg(*(F.max(c).alias(c) for c in ("comp", "size", "own"))), "every")
     rest = rest.join(every, "node").withColumn("spare", F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6).where("own <= spare")
-    mine = tokens.join(rest.select("node", "comp", "size", "own", "spare"), "node").join(spread.where("df > 1").select("element", "df"), "element")
-    before = F.sum("weight").over(Window.partitionBy("node").orderBy("df", "element").rowsBetween(Window.unboundedPreceding, -1))
-    rare = mine.withColumn("before", F.col("own") + F.coalesce(before, F.lit(0.0))).where("before <= spare")
-    rare = rare.select(F.col("node").alias("x"), F.col("comp").alias("in"), F.col("size").alias("size_x"), "before", "element")
-    others = tokens.join(every, "node").select("node", "comp", "size", "own", "element")
-    need = SHARED * (F.col("size") + F.col("size_x")) - 1e-6
-    can = (F.col("size_x") - F.col("before") >= need) & (F.col("size") - F.col("own") >= need) & (F.least("size", "size_x") >= need)
+    mine = _tokens(sets.join(rest, "node")).join(spread.select("element", "df"), "element")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("df", "element")) - 1
+    rare = mine.withColumn("before", F.col("own") + before).where("before <= spare")
+    rare = rare.select(F.col("node").alias("a"), F.col("comp").alias("in"), F.col("size").alias("size_a"), "before", "element")
+    others = _tokens(sets.join(every, "node")).select(F.col("node").alias("b"), "comp", "size", "own", "element")
+    need = SHARED * (F.col("size") + F.col("size_a")) - 1e-6
+    can = (F.col("size_a") - F.col("before") >= need) & (F.col("size") - F.col("own") >= need) & (F.least("size", "size_a") >= need)
     met = rare.join(others, "element").where((F.col("comp") != F.col("in")) & can)
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    # Both ends of a pair may have found it.
+    met = scratch.staged(met.select("a", "b").distinct(), "met")
+    twice = met.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a > b")
+    met = met.join(twice, ["a", "b"], "left_anti")
+    at = members.select("node", "key")
+    together = met.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["b", "key"], "left_semi")
+    return together.select("a", "b").distinct().withColumn("n", F.lit(16 * GROUP))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, h1, h2, class_id, class_docs, class_texts, is_kept.
+    """One row per input row: doc_id, raw, h1, h2, class_id, class_docs, class_texts, n_links, is_kept.
 
     Texts that are equal word for word (case and white space aside) are one node.
     Nodes that share one of 20 bands of four minima and whose five-word shingle
     multisets have a weighted Jaccard similarity of at least 0.8 are linked;
     classes are the connected components, named by their least doc_id.  A bucket
     is never expanded into all its pairs: its members are compared with one of
-    them; where they stay in different classes, with the most typical of them,
-    the one with least shingles of its own; and then texts of different classes
-    where their rarest shingles meet, which every similar pair's do.
+    them; where they stay in different classes, with a few typical ones, those
+    with least shingles of their own; and then texts of different classes
+    where their rarest shingles meet, which every similar pair's do.  ``n_links``
+    counts the other texts that the row's text was found similar to on this way.
 
     Null or wordless texts, and rows without doc_id, are classes of their own
     (class_id is their doc_id).  Repeated rows fall into one class and share
-    ``is_kept``; ``is_kept`` marks the row of least (doc_id, h1, h2) of a class.
-    Other input columns are ignored.
+    ``is_kept``; ``is_kept`` marks the rows of least (doc_id, h1, h2) of a class.
+    ``raw`` is xxhash64 of the text as it is.  Other input columns are ignored;
+    an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(signatures(docs, "doc_id", "text"), "signatures")
-    node = F.struct("h1", "h2")
-    nodes = staged(
-        signed.where("size > 0 and doc_id is not null")
-        .groupBy(node.alias("node"))
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")),
-        "nodes",
-    )
-    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(members.join(shared, ["band", "key"]), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", F.col("node").alias("node of text"))
-    texts = _hashed(docs, "text").join(wanted, ["doc_id", "node of text"]).groupBy("doc_id", "node of text").agg(F.max("text").alias("text"))
-    texts = staged(texts.select(F.col("node of text").alias("node"), "text"), "texts")
-
-    # First each bucket's members are compared with one of them.
-    rank = F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("r"), F.col("node"))
-    centre = members.groupBy("band", "key").agg(F.min(rank).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
-    found = members.join(centre, ["band", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    tested = staged(found.distinct(), "pairs")
-    links = staged(verified(tested, texts).where(F.col("similarity") >= SIMILARITY), "links")
-    label = components(links, "a", "b")
-
-    # Of buckets that hold several classes, small ones are compared pair by pair, others with their most typical text.
-    here = staged(_split(members, label), "split")
-    many = here.where(F.col("n") > SMALL)
-    tokens = staged(_tokens(texts.join(many.select("node").distinct(), "node", "left_semi")), "tokens")
-    spread = tokens.groupBy("element").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.min("weight").alias("weight"))
-    own = staged(spread.where("df = 1").groupBy("node").agg(F.sum("weight").alias("own")), "own")
-    rank = F.struct(F.coalesce(F.col("own") / F.col("size"), F.lit(0.0)).alias("r"), F.col("node"), F.col("comp"))
-    typical = many.join(own, "node", "left").groupBy("band", "key").agg(F.min(rank).alias("c")).select("band", "key", F.col("c.node").alias("centre"), F.col("c.comp").alias("in"))
-    star = many.join(typical, ["band", "key"]).where(F.col("comp") != F.col("in")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    found = star.unionByName(_pairs(here.where(F.col("n") <= SMALL))).distinct().join(tested, ["a", "b"], "left_anti")
-    more = staged(found, "pairs")
-    tested = tested.unionByName(more)
-    links = staged(verified(more, texts).where(F.col("similarity") >= SIMILARITY), "links")
-    label = staged(merged(label, links, "a", "b"), "label")
-
-    # What large buckets still hold apart is compared where its rarest shingles meet.
-    found = staged(_by_rare(many.drop("comp"), label, tokens, spread, own).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not found.isEmpty():
-        links = staged(verified(found, texts).where(F.col("similarity") >= SIMILARITY), "links")
-        label = merged(label, links, "a", "b")
-
-    classes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(
-        F.min(F.struct("doc_id", "node")).alias("first"), F.sum("n").alias("class_docs"), F.count("*").alias("class_texts")
-    )
-    named = staged(classes.select("node", "component").join(least, "component").select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "first", "class_docs", "class_texts"), "classes")
+    keys = [f"k{i}" for i in range(BANDS)]
+    with Scratch() as scratch:
+        put = scratch.staged
+        same = signed.where("size > 0 and doc_id is not null").groupBy("h1", "h2")
+        nodes = same.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("raw").alias("raw"), *(F.max(c).alias(c) for c in ["size", *keys]))
+        # Written once, so the numbers stay; they are as long as a hash is, and sort faster than two.
+        nodes = put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        members = nodes.select("node", "size", F.explode(F.array(*keys)).alias("key"))
+        # The least of a bijective hash picks a bucket's centre; bands of one order pick alike.
+        rank = F.xxhash64(F.col("key").bitwiseAND(ORDERS - 1), F.col("node"))
+        shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", rank).alias("centre"), F.min_by("size", rank).alias("size_of_centre")).where("n > 1")
+        shared = put(shared, "shared")
+        members = put(members.join(shared, "key"), "members")
+        wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("raw", "node", "h1")
+        texts = docs.where("text is not null").groupBy(_raw("text").alias("raw")).agg(F.first("text").alias("text"))
+        sets = put(shingle_sets(texts.join(wanted, "raw")), "sets")
+
+        # First each bucket's members are compared with one of them.
+        found = members.where((F.col("node") != F.col("centre")) & _fits("size", "size_of_centre"))
+        tested = put(found.groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n")), "pairs")
+        links = put(verified(tested, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+        label = components(links, "a", "b")
+
+        # Of buckets that hold several classes, small ones are compared pair by pair, others with their most typical text.
+        members = members.drop("centre", "size_of_centre")
+        here = _apart(members, label, scratch)
+        if not here.isEmpty():
+            many = here.where(F.col("n") > SMALL)
+            tokens = _tokens(sets.join(many.select("node").distinct(), "node", "left_semi"))
+            counted = put(tokens.groupBy("element").agg(F.count("*").alias("df"), F.min("node").alias("node")), "spread")
+            own = put(counted.where("df = 1").groupBy("node").agg(F.count("*").alias("own")), "own")
+            spread = counted.where("df > 1")
+            few = F.floor(F.coalesce(F.col("own") / F.col("size"), F.lit(0.0)) * 20)
+            ranked = put(many.join(own, "node", "left").withColumn("few", few).drop("own"), "ranked")
+            least = put(ranked.groupBy("key").agg(F.min("few").alias("few")), "least")
+            orders = [F.xxhash64(F.lit(i), F.col("key").bitwiseAND(ORDERS - 1), F.col("node")) for i in range(TYPICAL)]
+            centres = ranked.join(least, ["key", "few"]).groupBy("key").agg(*(F.min_by(F.struct("node", "comp", "size"), o).alias(f"c{i}") for i, o in enumerate(orders)))
+            centres = centres.select("key", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(TYPICAL))))).alias("c"))
+            centres = put(centres.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("in"), F.col("c.size").alias("size_of_centre")), "typical")
+            star = many.join(centres, "key").where((F.col("comp") != F.col("in")) & _fits("size", "size_of_centre"))
+            found = star.select(F.col("centre").alias("a"), F.col("node").alias("b"), "n").unionByName(_pairs(here.where(F.col("n") <= SMALL)))
+            found = found.groupBy("a", "b").agg(F.max("n").alias("n"))
+            more = put(_untested(found, tested), "pairs")
+            tested = tested.unionByName(more)
+            new = put(verified(more, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+            label, links = put(merged(label, new, "a", "b"), "label"), links.unionByName(new)
+
+            # What large buckets still hold apart is compared where its rarest shingles meet.
+            here = _apart(many.drop("comp"), label, scratch)
+            if not here.isEmpty():
+                found = put(_untested(_by_rare(here, members, sets, spread, own, scratch), tested), "pairs")
+                if not found.isEmpty():
+                    new = put(verified(found, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+                    label, links = put(merged(label, new, "a", "b"), "label"), links.unionByName(new)
+
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
+        degree = ends.select("e.*").distinct().groupBy("node").agg(F.count("*").alias("n_links"))
+        named = nodes.select("node", "doc_id", "h1", "h2", "n").join(label, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = put(named.withColumn("n_links", F.coalesce("n_links", F.lit(0))), "named")
+        least = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.sum("n").alias("class_docs"), F.count("*").alias("class_texts"))
+        classes = put(named.join(put(least, "least"), "component"), "classes")
+        # Of one doc_id with several texts in a class, the least hash is kept.
+        first = classes.where("doc_id = least").groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("first"))
+        classes = classes.join(put(first, "first"), "component").withColumn("is_first", (F.col("doc_id") == F.col("least")) & (F.struct("h1", "h2") == F.col("first")))
+        classes = staged(classes.select("h1", "h2", "least", "class_docs", "class_texts", "n_links", "is_first"), "classes")
     linked = (F.col("size") > 0) & F.col("doc_id").isNotNull()
-    joined = signed.withColumn("linked", linked).join(named, ["h1", "h2"], "left")
-    mine = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.node.h1") == F.col("h1")) & (F.col("first.node.h2") == F.col("h2"))
+    joined = signed.drop(*keys).withColumn("linked", linked).join(classes, ["h1", "h2"], "left")
     return joined.select(
-        "doc_id", "h1", "h2",
-        F.when(F.col("linked"), F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        "doc_id", "raw", "h1", "h2",
+        F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("linked"), F.col("class_docs")).otherwise(1).alias("class_docs"),
         F.when(F.col("linked"), F.col("class_texts")).otherwise(1).alias("class_texts"),
-        F.when(F.col("linked"), mine).otherwise(True).alias("is_kept"),
+        F.when(F.col("linked"), F.col("n_links")).otherwise(0).alias("n_links"),
+        F.when(F.col("linked"), F.col("is_first") & (F.col("doc_id") == F.col("least"))).otherwise(True).alias("is_kept"),
+        (~F.col("linked")).alias("is_lone"),
     )
 
 
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs that were not tested yet, in either direction."""
+    turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(tested.select("a", "b").unionByName(turned), ["a", "b"], "left_anti")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate class, all columns as they were.
 
-    Null and wordless texts and rows without id all stay.  Of repeated rows one stays.
+    Null and wordless texts and rows without id all stay.  Of repeated rows, and
+    of rows of one id whose texts differ in case or white space only, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("is_kept and doc_id is not null").groupBy("doc_id", F.struct("h1", "h2").alias("node of text")).agg(F.count("*").alias("n"))
-    kept = staged(kept.withColumnRenamed("doc_id", "id of kept"), "kept")
-    rows = _hashed(docs, text_col)
-    lone = F.col(id_col).isNull() | (F.col("words of text") == 0)
-    same = (F.col(id_col).cast("bigint") == F.col("id of kept")) & (rows["node of text"] == kept["node of text"])
-    out = rows.where(~lone).join(kept.where("n = 1"), same, "left_semi").select(docs.columns).unionByName(rows.where(lone).select(docs.columns))
-    if kept.where("n > 1").isEmpty():
+    found = near_duplicates(docs, id_col, text_col).where("is_kept")
+    kept = found.where("not is_lone").groupBy("doc_id", "h1", "h2").agg(F.min("raw").alias("raw"), F.count("*").alias("n"))
+    lone = found.where("is_lone").select("doc_id", "raw").distinct().withColumn("n", F.lit(1))
+    kept = staged(kept.select("doc_id", "raw", "n").unionByName(lone).toDF("id of kept", "raw of kept", "times"), "kept")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("id of kept")) & (_raw(text_col) == F.col("raw of kept"))
+    out = docs.join(kept.where("times = 1"), same, "left_semi")
+    if kept.where("times > 1").isEmpty():
         return out
-    again = rows.where(~lone).join(kept.where("n > 1"), same, "left_semi").dropDuplicates([id_col, "node of text"])
-    return out.unionByName(again.select(docs.columns))
+    again = docs.join(kept.where("times > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return out.unionByName(again)

@@ -35,14 +35,44 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Scratch:
+    """Staged tables of one computation, removed when it ends; only what its result still reads should be staged outside."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def clear(self, but: int = 0) -> None:
+        """Remove the tables, but for the last ``but``."""
+        cut = len(self.paths) - but
+        for spark, path in self.paths[:cut]:
+            _remove(spark, path)
+        del self.paths[:cut]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and rows that came from a shuffle keep the same contents in every later job.
     """
+    out, path = _written(df, name)
+    atexit.register(_remove, df.sparkSession, path)
+    return out
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/navspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
