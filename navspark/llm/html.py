@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import escape, unescape
 
 import numpy as np
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from navspark.llm.words import slices
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*>", re.I)
+# Every quantifier is possessive and every "<" with a letter behind it is a token, up to the page's end if need be: reading is linear, whatever is left open.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?)?""")
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Element groups of the HTML standard.
@@ -32,12 +34,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe noembed noframes".split())  # the first end tag ends them, whatever stands before it
 NESTED = frozenset("template svg object select datalist canvas audio video annotation annotation-xml".split())  # hold elements, also of their own name
 OPAQUE = RAW | NESTED
+FOREIGN = frozenset("svg math annotation annotation-xml".split())  # only these can close themselves by a slash
 MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced maction msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul xmp".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 
-TAGS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header hgroup", "footer", "aside", "form fieldset button legend dialog option optgroup", "table tbody thead tfoot tr td th caption", "blockquote pre xmp figure figcaption address details summary", "body"]
+TAGS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header hgroup", "footer", "aside", "form fieldset button legend dialog option optgroup", "table tbody thead tfoot tr td th caption", "blockquote pre xmp figure figcaption address details summary"]
 _TAG_GROUP = {tag: i for i, group in enumerate(TAGS) for tag in group.split()}
 #: Words of class, id and role that tell a block's part in the page.
 NAMES = [
@@ -56,26 +59,84 @@ _NAMES = [re.compile(rf"(?:^|[\s_-])(?:{n})(?=$|[\s_-])") for n in NAMES]
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 N_TAGS, N_NAMES, N_LEAF = len(TAGS) + 1, len(NAMES), 5
-N_FEATURES = N_TAGS + N_NAMES + 1 + N_LEAF
+#: The last feature marks the root of a page of one or two blocks of text.
+N_FEATURES = N_TAGS + N_NAMES + 1 + N_LEAF + 1
 #: Parent-child potentials differ by the child: a text, a block, a block that is named or tagged as no content.
 KINDS = 3
 _APART = {_TAG_GROUP[t] for t in ("nav", "header", "footer", "aside", "form")}
 
 
-@lru_cache(maxsize=50_000)
-def _describe(tag: str, attributes: str) -> tuple[tuple[int, ...], int, bool]:
-    """(active features, kind, hidden) of a block element."""
+#: Elements deeper than this hang on the last element above it, as in browsers.
+DEPTH = 512
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+
+
+def _names_of(attributes: str) -> tuple[str, bool]:
+    """(class, id and role, hidden) of an element."""
+    if not _TELLING.search(attributes):
+        return "", False
     names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
             names.append(_CAMEL.sub("-", value).lower())
         hidden |= key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "").lower())
-    text = " ".join(names)
+    return " ".join(names), hidden
+
+
+def _unseen(attributes: str) -> bool:
+    """Whether an element within a line is hidden or an advert."""
+    names, hidden = _names_of(attributes)
+    return hidden or bool(names and _NAMES[0].search(names))
+
+
+@lru_cache(maxsize=10_000)
+def _describe(tag: str, text: str) -> tuple[tuple[int, ...], int]:
+    """(active features, kind) of a block element, by its tag and names."""
     group = _TAG_GROUP.get(tag, len(TAGS))
     found = [i for i, n in enumerate(_NAMES) if n.search(text)] if text else []
     kind = 2 if group in _APART or any(i not in (8,) for i in found) else 1
-    return (group, *(N_TAGS + i for i in found), N_TAGS + N_NAMES), kind, hidden
+    return (group, *(N_TAGS + i for i in found), N_TAGS + N_NAMES), kind
+
+
+#: For the elements that end others: those that they end, and those whose borders stop them.
+_SCOPES = [({"p"}, {"table", "td", "th", "button"}), *((set(names), set(stop)) for names, stop in dict.fromkeys((tuple(sorted(n)), tuple(sorted(s))) for n, s in CLOSES.values()))]
+_SCOPE_OF = {tag: next(i for i, s in enumerate(_SCOPES) if s == scope) for tag, scope in CLOSES.items()}
+_OPENS = {tag: [i for i, (names, _) in enumerate(_SCOPES) if tag in names] for names, _ in _SCOPES for tag in names}
+_STOPS = {tag: [i for i, (names, stop) in enumerate(_SCOPES) if tag in stop and tag not in names] for _, stop in _SCOPES for tag in stop}
+
+
+class _Stack:
+    """The open elements; the nearest of a name, or of a scope's names, is found in constant time."""
+
+    def __init__(self, root: int) -> None:
+        self.tags, self.nodes = ["#root"], [root]
+        self.scopes: list[tuple[int, ...]] = [(0,) * len(_SCOPES)]  # of each scope, the place of the nearest element that it ends, or 0
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        at, scope = len(self.tags), self.scopes[-1]
+        if tag in _OPENS or tag in _STOPS:
+            new = list(scope)
+            for i in _STOPS.get(tag, ()):
+                new[i] = 0
+            for i in _OPENS.get(tag, ()):
+                new[i] = at
+            scope = tuple(new)
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.scopes.append(scope)
+        self.places.setdefault(tag, []).append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all within."""
+        for tag in self.tags[at:]:
+            self.places[tag].pop()
+        del self.tags[at:], self.nodes[at:], self.scopes[at:]
+
+    def nearest(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
 
 class _Ends:
@@ -88,12 +149,19 @@ class _Ends:
 
     def raw(self, tag: str, at: int) -> int | None:
         """End of a raw element whose start tag ends at ``at``; without an end tag, the page's end for script and style, else None."""
-        end = None if tag in self.endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(self.html, at)
+        end = None if tag in self.endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(self.html, at)
         if end:
             return end.end()
         self.endless.add(tag)
         return len(self.html) if tag in ("script", "style") else None
 
+    def xmp(self, at: int) -> re.Match | None:
+        """End tag of an xmp element."""
+        end = None if "xmp" in self.endless else _XMP_END.search(self.html, at)
+        if end is None:
+            self.endless.add("xmp")
+        return end
+
     def of(self, tag: str, at: int) -> int | None:
         """End of an opaque element whose start tag ends at ``at``; None if it has no end tag of its own."""
         if tag in RAW:
@@ -107,7 +175,7 @@ class _Ends:
                 if m[1]:
                     if opened.get(name):
                         self.nested[opened[name].pop()] = here
-                elif m[2] and not m[3].endswith("/"):
+                elif m[2] and not (name in FOREIGN and m[3].endswith("/")):
                     if name in RAW:
                         here = self.raw(name, here) or here
                     elif name in NESTED:
@@ -129,6 +197,8 @@ class Pages:
         self.first: list[int] = []  # of each page, its first leaf
 
     def _node(self, parent: int, kind: int, active: tuple[int, ...]) -> int:
+        if parent >= 0 and self.depth[parent] >= DEPTH:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kind.append(kind)
@@ -138,9 +208,11 @@ class Pages:
     def add(self, html: str | None) -> None:
         """Parse one page; a broken page gives what a reader could still see of it."""
         self.first.append(len(self.leaves))
-        stack = [("#root", self._node(-1, 1, (len(TAGS),)))]
+        stack = _Stack(self._node(-1, 1, (len(TAGS),)))
         run: list[str] = []
         linked = in_link = in_math = 0
+        unseen: tuple[str, int] | None = None  # the hidden element within a line, and the elements open around it
+        again = 0  # open elements of its name within it
         at, html = 0, html or ""
         ends = _Ends(html)
 
@@ -149,26 +221,25 @@ class Pages:
             if run:
                 text = _SPACE.sub(" ", unescape("".join(run))).strip()
                 if text:
-                    self.leaves.append(self._node(stack[-1][1], 0, ()))
+                    self.leaves.append(self._node(stack.nodes[-1], 0, ()))
                     self.texts.append(text)
                     self.links.append(min(linked, len(text)))
                 run.clear()
             linked = 0
 
-        def pop_to(names: set[str], barrier: set[str]) -> bool:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    close_run()
-                    del stack[i:]
-                    return True
-                if stack[i][0] in barrier:
-                    return False
-            return False
+        def close(place: int) -> bool:
+            nonlocal unseen
+            if place:
+                close_run()
+                stack.cut(place)
+                if unseen and len(stack.tags) < unseen[1]:
+                    unseen = None
+            return place > 0
 
         while True:
             m = _TOKEN.search(html, at)
             text = html[at : m.start() if m else len(html)]
-            if text:
+            if text and not unseen:
                 run.append(text)
                 if in_link:
                     linked += len(text)
@@ -183,20 +254,28 @@ class Pages:
                     in_link = 0
                 elif tag == "math":
                     in_math = 0
-                elif tag not in INLINE:
+                if unseen and tag == unseen[0]:
+                    again -= 1
+                    unseen = unseen if again else None
+                if tag not in INLINE:
                     if tag in ("select", "datalist", "optgroup"):
-                        pop_to({"option"}, set())
-                    pop_to({"optgroup"} if tag in ("select", "datalist") else {tag}, set())
+                        close(stack.nearest("option"))
+                    close(stack.nearest("optgroup" if tag in ("select", "datalist") else tag))
                 continue
+            closed = tag in FOREIGN and m[3].endswith("/")
             if tag in OPAQUE and (in_math or not tag.startswith("annotation")):
-                if not m[3].endswith("/"):
+                if not closed:
                     at = ends.of(tag, at) or at
                 if tag != "svg" and not in_math:
                     close_run()
                 continue
             if tag in INLINE:
                 in_link = int(tag == "a") or in_link
-                in_math = int(tag == "math" and not m[3].endswith("/")) or in_math
+                in_math = int(tag == "math" and not closed) or in_math
+                if unseen:
+                    again += tag == unseen[0]
+                elif tag not in MATH and m[3] and _unseen(m[3]):
+                    unseen, again = (tag, len(stack.tags)), 1
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -205,24 +284,27 @@ class Pages:
                     run.append(" ")
                 continue
             close_run()
-            while stack[-1][0] == "option" or (stack[-1][0] == "optgroup" and tag != "option"):
-                stack.pop()
+            while stack.tags[-1] == "option" or (stack.tags[-1] == "optgroup" and tag != "option"):
+                close(len(stack.tags) - 1)
             if tag in CLOSES_P:
-                pop_to({"p"}, {"table", "td", "th", "button"})
+                close(stack.scopes[-1][0])
             if tag in CLOSES:
-                while pop_to(*CLOSES[tag]):
+                while close(stack.scopes[-1][_SCOPE_OF[tag]]):
                     pass
-            if tag in ("html", "head"):
+            if tag in ("html", "head", "body"):  # all stand for the root
                 continue
-            active, kind, hidden = _describe(tag, m[3])
+            names, hidden = _names_of(m[3])
+            active, kind = _describe(tag, names)
             if hidden:
                 active, kind = (*active, N_TAGS + 5), 2
-            stack.append((tag, self._node(stack[-1][1], kind, active)))
-            end = _XMP_END.search(html, at) if tag == "xmp" else None
+            stack.push(tag, self._node(stack.nodes[-1], kind, active))
+            end = ends.xmp(at) if tag == "xmp" else None
             if end:  # its marks are text
                 run.append(escape(html[at : end.start()], quote=False))
                 at = end.start()
         close_run()
+        if len(self.leaves) - self.first[-1] <= 2:
+            self.active[stack.nodes[0]] += (N_FEATURES - 1,)
 
     def arrays(self) -> Trees:
         n = len(self.parent)
@@ -248,6 +330,12 @@ class Trees:
     kind: np.ndarray
     features: np.ndarray
 
+    @cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The nodes of each depth."""
+        order = np.argsort(self.depth, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1)
+
 
 @dataclass
 class Potentials:
@@ -258,10 +346,9 @@ class Potentials:
 
     def marginals(self, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
         """(node, state) and (node, parent state, state) marginals by two passes of messages."""
-        n = len(trees.parent)
+        n, levels = len(trees.parent), trees.levels
         own = np.zeros((n, 2))
         own[:, 1] = trees.features @ self.unary
-        levels = [np.flatnonzero(trees.depth == d) for d in range(int(trees.depth.max()) + 1)]
         pair, parent = self.pair[trees.kind], trees.parent
         up, inside = np.zeros((n, 2)), own.copy()
         for level in reversed(levels[1:]):  # from the leaves to the roots
@@ -283,7 +370,7 @@ class Potentials:
         return np.exp(total), joint
 
 
-def fit(trees: Trees, state: np.ndarray, steps: int = 300, decay: float = 5e-5) -> Potentials:
+def fit(trees: Trees, state: np.ndarray, steps: int = 200, decay: float = 5e-5) -> Potentials:
     """Maximum likelihood of labelled trees, all nodes at once, by Adam."""
     child = np.flatnonzero(trees.parent >= 0)
     seen = np.zeros((KINDS, 2, 2))

@@ -88,15 +88,63 @@ def _article(rng: random.Random) -> str:
     return "".join(parts)
 
 
-def labelled(n: int = 200, seed: int = 1) -> list[str]:
+def _bare(rng: random.Random) -> str:
+    """A page of nothing but its text."""
+    t = lambda long=True: _text(rng, YES, long)
+    return rng.choice([
+        lambda: t(),
+        lambda: t(),
+        lambda: t() + "<br>" + _sentence(rng, 4, 12) + "<br><br>" + _sentence(rng, 4, 12),
+        lambda: f"{YES} {_sentence(rng, 2, 8)}",
+        lambda: f"{t(False)}<p>{t(False)}",
+        lambda: f"<p>{YES} {' '.join(rng.choice(_WORDS) for _ in range(rng.randint(2, 9)))}</p>",
+        lambda: "".join(f"<p>{t()}</p>" for _ in range(rng.randint(1, 5))),
+        lambda: f"<h1>{t(False)}</h1>" + "".join(f"<p>{t()}</p>" for _ in range(rng.randint(1, 5))),
+        lambda: f"<center><h2>{t(False)}</h2></center>{t()}<hr>{t()}<p>{t()}",
+        lambda: "<pre>" + t() + "</pre>",
+        lambda: "".join(f"<div>{t()}</div>" for _ in range(rng.randint(1, 5))),
+        lambda: f"<div><div><div><p>{t()}</p><p>{t()}</p></div></div></div>",
+        lambda: f"<ul><li>{t()}</li><li>{t()}</li></ul><p>{t()}</p>",
+    ])()
+
+
+def _plain_links(rng: random.Random, n: int, between: str = " | ") -> str:
+    return NO + " " + between.join(f'<a href="/{i}">{_sentence(rng, 1, 3)}</a>' for i in range(n))
+
+
+def _unnamed(rng: random.Random) -> str:
+    """A page whose elements say nothing of their part: links, text, a closing line."""
+    t = lambda long=True: _text(rng, YES, long)
+    body = lambda: f"<h1>{t(False)}</h1>" * (rng.random() < 0.7) + "".join(f"<p>{t()}</p>" for _ in range(rng.randint(2, 6)))
+    links, close = _plain_links(rng, rng.randint(3, 8)), f"{NO} Copyright {rng.randint(1996, 2024)} {_sentence(rng, 2, 5)} All rights reserved."
+    listed = "<ul>" + _links(rng, rng.randint(3, 8)) + "</ul>"
+    return rng.choice([
+        lambda: f"<div>{links}</div><div>{body()}</div><div>{close}</div>",
+        lambda: f"<div><div>{listed}</div><div><div>{body()}</div></div></div><div><p>{close}</p></div>",
+        lambda: f"<table><tr><td>{links}</td></tr><tr><td>{body()}</td></tr><tr><td>{close}</td></tr></table>",
+        lambda: f"<table width=100%><tr><td valign=top>{_plain_links(rng, 5, '<br>')}</td><td>{body()}</td></tr></table><center>{close}</center>",
+        lambda: f"<table><tr><td>{listed}<td><div>{t()}</div><div>{t()}</div><div>{t()}</div></table>",
+        lambda: f"<center>{links}</center><hr>{body()}<hr><center>{close}</center>",
+        lambda: f"<div>{links}</div><div>{t()}<br><br>{_sentence(rng, 5, 14)}</div><div>{t()}</div><p>{_plain_links(rng, 3)}</p>",
+        lambda: f"{links}{body()}<p>{_plain_links(rng, 4)}</p>",
+    ])()
+
+
+def labelled(n: int = 300, seed: int = 1) -> list[str]:
     """Pages whose blocks of text start with their label's mark."""
     rng, out = random.Random(seed), []
-    wrappers = ["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article class="post">{}</article></div>', '<main><div class="entry-content">{}</div></main>', '<section class="story">{}</section>', '<div class="post-body">{}</div>']
+    wrappers = ["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article class="post">{}</article></div>', '<main><div class="entry-content">{}</div></main>', '<section class="story">{}</section>', '<div class="post-body">{}</div>', "<div>{}</div>", "{}", '<div id="x1"><div class="col">{}</div></div>', "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"]
     for _ in range(n):
-        inner = rng.choice(wrappers).format(_article(rng))
-        body = "".join(_outer(rng)) + inner + "".join(_after(rng))
-        if rng.random() < 0.3:
-            body = f'<div class="{rng.choice(["wrapper", "page", "container"])}">{body}</div>'
+        kind = rng.random()
+        if kind < 0.2:
+            body = _bare(rng)
+        elif kind < 0.35:
+            body = _unnamed(rng)
+        else:
+            inner = rng.choice(wrappers).format(_article(rng))
+            body = "".join(_outer(rng)) + inner + "".join(_after(rng))
+            if rng.random() < 0.3:
+                body = f'<div class="{rng.choice(["wrapper", "page", "container"])}">{body}</div>'
         out.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>")
     return out
 
