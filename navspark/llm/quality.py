@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navspark.llm.words import Words, slices
+from navspark.llm.shared import Scratch
+from navspark.llm.words import Words, mix, slices
 
-#: Most rows of trusted positives, and of unlabelled text, that the model is fitted on.
+#: Most rows of trusted positives that the model is fitted on, and of unlabelled ones that its first fit and its curvature come from.
 SAMPLE = 4000
+#: Passes over all unlabelled rows that carry the fit on from the sample.
+PASSES = 4
+#: One-sided bound of the shares that the class prior is read from, in standard errors (99 %), and the splits that it is the median of.
+BOUND, SPLITS = 2.33, 4
 
 #: Classes of bytes whose successions are counted.
 CLASSES = 13
@@ -35,16 +40,21 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
-N_FEATURES = CLASSES * CLASSES + 6
+#: Weight of the squared weights in the risk.
+DECAY = 1e-3
+N_SHAPE = CLASSES * CLASSES + 6
+#: Cells of hashed words, and what their standardised shares are shrunk by beside the other features.
+WORD_CELLS, WORD_WEIGHT = 128, 0.3
+N_FEATURES = N_SHAPE + WORD_CELLS
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """(rows, N_FEATURES): shares of byte-class successions, and repetition and length of words."""
+    """(rows, N_FEATURES): shares of byte-class successions, repetition and length of words, shares of hashed words."""
     n = len(texts)
     out = np.zeros((n, N_FEATURES))
     if not n:
         return out
-    words = Words(texts)
+    words = Words(texts, str.lower)
     raw = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + n + 1]
     data = raw.buffers()[2]
@@ -72,6 +82,8 @@ def features(texts: pa.Array) -> np.ndarray:
     out[:, at + 3] = np.log1p(sizes / some)
     out[:, at + 4] = length == 0
     out[:, at + 5] = 1.0
+    cell = text.astype(np.int64) * WORD_CELLS + (mix(words.hashes) % np.uint64(WORD_CELLS)).astype(np.int64)
+    out[:, N_SHAPE:] = np.sqrt(np.bincount(cell, minlength=n * WORD_CELLS).reshape(n, WORD_CELLS) / some[:, None])
     return out
 
 
@@ -101,7 +113,7 @@ def _adam(gradient, size: int, steps: int, rate: float = 0.03) -> np.ndarray:
     return w
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> float:
+def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int] | None] | None = None) -> float:
     """Share of positives among the unlabelled rows.
 
     A region of the feature space that holds positives only has in the
@@ -109,140 +121,205 @@ def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.nd
     more.  So the prior is the least ratio of the two shares over regions above
     a threshold of a positive-against-unlabelled score; the score is fitted on
     one half of the rows, the shares are taken on the other; those of the
-    unlabelled rows by ``above(score's weights, thresholds)`` if it is given.
+    unlabelled rows by ``above(scores' weights, thresholds)``, which gives the
+    shares of one split a row and the rows that they are of, where it can.
+    The least of noisy ratios is no estimate on few rows, and a prior too high
+    leaves too few negatives, so the upper bound of one share and the lower of
+    the other are compared; on many rows they are the shares.  The median of a
+    few splits is taken.
     """
-    a, b, c, d = p[::2], p[1::2], u[::2], u[1::2]
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        return -a.T @ _sigmoid(-a @ w) / len(a) + c.T @ _sigmoid(c @ w) / len(c) + 1e-2 * w
-
-    w = _adam(gradient, p.shape[1], 300)
-    top = np.sort(b @ w)
     shares = np.linspace(0.90, 0.99, 10)
-    cuts = np.array([top[int((1 - s) * (len(top) - 1))] for s in shares])
-    found = above(w, cuts) if above else ((d @ w)[:, None] >= cuts).mean(axis=0)
-    return float(np.clip((found / shares).min(), 0.05, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, moments: tuple[np.ndarray, np.ndarray] | None = None, above: Callable[[Model], Callable] | None = None) -> Model:
+    weights, cuts, caught, others = [], [], [], []
+    for k in range(SPLITS):
+        rng = np.random.default_rng(k)
+        i, j = rng.permutation(len(p)), rng.permutation(len(u))
+        a, b, c, d = p[i[::2]], p[i[1::2]], u[j[::2]], u[j[1::2]]
+
+        def gradient(w: np.ndarray) -> np.ndarray:
+            return -a.T @ _sigmoid(-a @ w) / len(a) + c.T @ _sigmoid(c @ w) / len(c) + 1e-2 * w
+
+        w = _adam(gradient, p.shape[1], 300)
+        top = np.sort(b @ w)
+        weights.append(w)
+        cuts.append([top[int((1 - s) * (len(top) - 1))] for s in shares])
+        others.append(((d @ w)[:, None] >= cuts[-1]).mean(axis=0))
+    found, n = (above and above(np.array(weights), np.array(cuts))) or (np.array(others), len(u) // 2)
+    low = found - BOUND * np.sqrt(found * (1 - found) / n)
+    high = np.minimum(1, shares + BOUND * np.sqrt(shares * (1 - shares) / (len(p) // 2)))
+    return float(np.clip(np.median((low / high).min(axis=1)), 0.05, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, every: _Rows | None = None) -> Model:
     """Minimise the non-negative unbiased risk with logistic loss; without rows the model answers one half.
 
-    ``moments``, the features' mean and standard deviation, and ``above``, which
-    makes of the standardisation what ``class_prior`` takes, stand for more
-    unlabelled rows than are given.
+    ``every`` stands for more unlabelled rows than are given: the features' mean
+    and scale and the prior's shares are theirs, and the fit is carried on with
+    their part of the risk, by Newton steps with the given rows' curvature.
     """
     if len(positive) < 4 or len(unlabelled) < 4:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.5)
-    if moments is None:
+    if every:
+        mean, scale = every.moments()
+    else:
         both = np.concatenate((positive, unlabelled))
-        moments = both.mean(axis=0), both.std(axis=0)
-    mean, scale = (m.copy() for m in moments)
-    constant = scale < 1e-9
+        mean, scale = both.mean(axis=0), both.std(axis=0)
+    constant = scale < 1e-6
     mean[constant], scale[constant] = 0.0, 1.0
     scale = np.maximum(scale, 1e-3)
+    scale[N_SHAPE:] /= WORD_WEIGHT
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    prior = class_prior(p, u, above and above(Model(mean, scale, np.zeros(N_FEATURES), 0.5)))
+    prior = class_prior(p, u, every and every.above(mean, scale))
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w, u @ w
+    def turned(w: np.ndarray, rows_risk: float, rows_gradient: np.ndarray) -> np.ndarray:
+        """The gradient, given the mean of log(1 + exp(f)) over unlabelled rows and its gradient."""
+        fp = p @ w
         right = -prior * (p.T @ _sigmoid(-fp)) / len(p)
-        wrong = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        wrong = rows_gradient - prior * (p.T @ _sigmoid(fp)) / len(p)
+        risk = rows_risk - prior * np.logaddexp(0, fp).mean()
         # Below zero the negative part is overfitted: step back on it alone.
-        return (right + wrong if risk >= 0 else -wrong) + 1e-3 * w
+        return (right + wrong if risk >= 0 else -wrong) + DECAY * w
+
+    def carried_on(w: np.ndarray) -> np.ndarray:
+        """The weights of least non-negative risk over all rows among ``w`` and those of a few Newton steps from it."""
+        best, least = w, np.inf
+        for _ in range(PASSES):
+            risk, slope = every.risk(mean, scale, w)
+            negative = risk - prior * np.logaddexp(0, p @ w).mean()
+            total = prior * np.logaddexp(0, -(p @ w)).mean() + max(0.0, negative) + DECAY / 2 * w @ w
+            if total > least:
+                w = (best + w) / 2
+                continue
+            best, least = w, total
+            if negative <= 0:
+                break
+            share = _sigmoid(u @ w)
+            curve = (u * (share * (1 - share))[:, None]).T @ u / len(u) + 10 * DECAY * np.eye(len(w))
+            w = w - 0.5 * np.linalg.solve(curve, turned(w, risk, slope))
+        return best
 
-    return Model(mean, scale, _adam(gradient, p.shape[1], steps), prior)
+    def gradient(w: np.ndarray) -> np.ndarray:
+        fu = u @ w
+        return turned(w, np.logaddexp(0, fu).mean(), u.T @ _sigmoid(fu) / len(u))
 
+    w = _adam(gradient, p.shape[1], steps)
+    return Model(mean, scale, carried_on(w) if every else w, prior)
 
-def _least(keys: DataFrame, most: int) -> int | None:
-    """The ``most``-th least key, or the greatest if there are fewer."""
-    return keys.orderBy("key").limit(most).agg(F.max("key")).first()[0]
 
+class _Rows:
+    """Features of all unlabelled rows as a written table (key, x); sums over it are made in the tasks."""
 
-def _features_of(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and keys of at most ``most`` rows (key, text), those of least key."""
+    def __init__(self, table: DataFrame, fitted_on: np.ndarray):
+        self.table, self.fitted_on = table, fitted_on
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], names=["key", "x"])
+    def _sums(self, of: Callable[[np.ndarray, np.ndarray], tuple], merge: Callable[[tuple, tuple], tuple]) -> tuple:
+        """``of(features, keys)`` of all rows, a tuple of a count and two arrays, merged in each task and then over the tasks."""
 
-    found = docs.orderBy("key", F.length("text")).limit(most).select("key", "text").mapInArrow(rows, "key bigint, x array<double>").collect()
-    return np.array([r.x for r in found]).reshape(len(found), N_FEATURES), np.array([r.key for r in found], np.int64)
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    one = of(_matrix(part.column("x")), part.column("key").to_numpy())
+                    total = one if total is None else merge(total, one)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([float(total[0])]), *(pa.array([list(t)], pa.list_(pa.float64())) for t in total[1:])], names=["n", "a", "b"])
 
+        total = None
+        for r in self.table.mapInArrow(rows, "n double, a array<double>, b array<double>").collect():
+            one = (r.n, np.array(r.a), np.array(r.b))
+            total = one if total is None else merge(total, one)
+        return total
 
-def _sums(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], tuple], merge: Callable[[tuple, tuple], tuple]) -> tuple | None:
-    """``of(features, keys)`` of all rows (key, text), a tuple of a count and two arrays, merged in each task and then over the tasks."""
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        def of(x: np.ndarray, keys: np.ndarray) -> tuple:
+            return len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for part in slices(batch, "text"):
-                if part.num_rows:
-                    one = of(features(part.column("text")), part.column("key").to_numpy())
-                    total = one if total is None else merge(total, one)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([float(total[0])]), *(pa.array([list(t)], pa.list_(pa.float64())) for t in total[1:])], names=["n", "a", "b"])
+        def merge(one: tuple, two: tuple) -> tuple:
+            n, step = one[0] + two[0], two[1] - one[1]
+            return n, one[1] + step * (two[0] / n), one[2] + two[2] + step**2 * (one[0] * two[0] / n)
+
+        n, mean, squares = self._sums(of, merge)
+        return mean, np.sqrt(squares / n)
+
+    def above(self, mean: np.ndarray, scale: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int] | None]:
+        """Shares of the rows above thresholds of scores, but for those that the scores were fitted on; None if few others are left."""
+
+        fitted_on = self.fitted_on
 
-    total = None
-    for r in docs.select("key", "text").mapInArrow(rows, "n double, a array<double>, b array<double>").collect():
-        one = (r.n, np.array(r.a), np.array(r.b))
-        total = one if total is None else merge(total, one)
-    return total
+        def shares(weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int] | None:
+            def count(x: np.ndarray, keys: np.ndarray) -> tuple:
+                over = (((x - mean) / scale) @ weights.T)[:, :, None] >= cuts[None]
+                fresh = ~np.isin(keys, fitted_on)
+                return fresh.sum(), over[fresh].sum(axis=0, dtype=float).ravel(), np.zeros(1)
 
+            n, found, _ = self._sums(count, _added)
+            return ((found / n).reshape(cuts.shape), int(n)) if n >= len(fitted_on) else None
+
+        return shares
 
-def _moments(x: np.ndarray, keys: np.ndarray) -> tuple:
-    return len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
+    def risk(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean of log(1 + exp(f)) over the rows, and its gradient."""
 
+        def of(x: np.ndarray, keys: np.ndarray) -> tuple:
+            z = (x - mean) / scale
+            f = z @ w
+            return len(x), z.T @ _sigmoid(f), np.array([np.logaddexp(0, f).sum()])
 
-def _merged_moments(one: tuple, two: tuple) -> tuple:
-    n, step = one[0] + two[0], two[1] - one[1]
-    return n, one[1] + step * (two[0] / n), one[2] + two[2] + step**2 * (one[0] * two[0] / n)
+        n, gradient, total = self._sums(of, _added)
+        return float(total[0]) / n, gradient / n
 
 
 def _added(one: tuple, two: tuple) -> tuple:
     return tuple(a + b for a, b in zip(one, two))
 
 
-def _shares(rows: DataFrame, fitted_on: np.ndarray) -> Callable[[Model], Callable]:
-    """Shares of all rows above thresholds of a score; rows of the keys that the score was fitted on are left out while there are others."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
 
-    def above(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        def shares(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-            def count(x: np.ndarray, keys: np.ndarray) -> tuple:
-                over = (((x - model.mean) / model.scale) @ w)[:, None] >= cuts
-                fresh = ~np.isin(keys, fitted_on)
-                return fresh.sum(), np.append(over[fresh].sum(axis=0), 0.0), np.append(over.sum(axis=0), len(x))
 
-            n, fresh, every = _sums(rows, count, _added)
-            return fresh[:-1] / n if n else every[:-1] / every[-1]
+def _featured(rows: DataFrame) -> DataFrame:
+    """(key, x) of rows (key, text)."""
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = features(part.column("text")).astype(np.float32)
+                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES, x.ravel())
+                yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "x"])
+
+    return rows.select("key", "text").mapInArrow(featured, "key bigint, x array<float>")
 
-        return shares
 
-    return above
+def _least(keys: DataFrame, most: int) -> list[int]:
+    """The ``most`` least keys, repeated ones once."""
+    return sorted(r.key for r in keys.select("key").distinct().orderBy("key").limit(most).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on documents outside the held-out third: trusted positives by ``labels.quality``, all others as unlabelled.
 
-    The features' mean and scale and the class prior's shares are taken over all
-    of these documents.  The risk is summed over the ``most`` rows of least hash
-    of id and text of either kind; they are the only rows that reach the driver,
-    as feature vectors.  The hash is found first, without moving texts, so only
-    texts under it are joined.
+    The features of all these documents are written once; their mean and scale,
+    the class prior's shares and the unlabelled part of the risk are sums over
+    all of them.  At most ``most`` trusted positives are fitted on, those of
+    least hash of id and text; as many unlabelled rows give the first fit and
+    the curvature of the later steps.  Only these reach the driver, as feature
+    vectors.  Repeated rows count once among the positives.  Null texts and
+    an empty table are fitted on nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull())
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     trusted = labels.where("quality = 1").select("doc_id").where("doc_id is not null").distinct()
-    sides = []
-    for kept in (lambda r: r.join(trusted, "doc_id", "left_semi"), lambda r: r):
-        bound = _least(kept(rows.select("doc_id", "key")), most)
-        sides.append(_features_of(kept(rows.where(F.col("key") <= bound)), most) if bound is not None else (np.zeros((0, N_FEATURES)), np.zeros(0, np.int64)))
-    (positive, _), (unlabelled, keys) = sides
-    if min(len(positive), len(unlabelled)) < 4:
-        return fit(positive, unlabelled)
-    n, mean, squares = _sums(rows, _moments, _merged_moments)
-    return fit(positive, unlabelled, moments=(mean, np.sqrt(squares / n)), above=_shares(rows, keys[::2]))
+    keys = rows.select("doc_id", "key")
+    with Scratch() as scratch:
+        table = scratch.staged(_featured(rows), "features")
+        sides = []
+        for found in (_least(keys.join(trusted, "doc_id", "left_semi"), most), _least(keys, most)):
+            x = {r.key: r.x for r in table.where(F.col("key").isin(found)).dropDuplicates(["key"]).collect()} if found else {}
+            sides.append(np.array([x[k] for k in found], float).reshape(len(found), N_FEATURES))
+        positive, unlabelled = sides
+        if min(len(positive), len(unlabelled)) < 4:
+            return fit(positive, unlabelled)
+        return fit(positive, unlabelled, every=_Rows(table, np.array(found)))
 
 
 def held_out(id_col: str):
