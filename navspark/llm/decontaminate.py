@@ -1,10 +1,12 @@
 """Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact verification.
 
-For every benchmark item of L words, windows of L words are hashed to 64 bits.
-Cut into RADIUS + 1 blocks, two fingerprints within RADIUS bits agree in a whole
-block, so an equality join on blocks finds every pair within the radius.  Each
-is then verified by the weighted Jaccard similarity of its five-word shingles.
-Windows without any shingle of an item have similarity 0 and are not hashed.
+For every benchmark item of L words, windows of L words are hashed to 128 bits.
+Cut into BLOCKS blocks, two fingerprints within RADIUS bits differ in at most
+RADIUS // BLOCKS bits of some block.  So the index holds every item under all
+values within so many bits of its blocks, and an equality join on blocks finds
+every pair within the radius.  Each is then verified by the weighted Jaccard
+similarity of its five-word shingles.  Windows without any shingle of an item
+have similarity 0 and are not hashed.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark.llm.shared import staged
@@ -23,10 +26,12 @@ from navspark.llm.words import Words, grams, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 two fingerprints differ in 10 of 64 bits on average, with a deviation of 3.
-RADIUS = 20
-#: Items of one pass; the passes over the documents grow with the benchmark, a pass's index does not.
-ITEMS = 20_000
+#: At similarity 0.8 two fingerprints differ in 19.4 of 128 bits on average, with a deviation of 4.1: 7 in 1,000 such pairs are beyond the radius, at 0.85 fewer than 1.
+RADIUS = 29
+#: Blocks of the two 64-bit halves together.
+BLOCKS = 10
+#: Items and words of one pass; the passes over the documents grow with the benchmark, a pass's index does not.
+ITEMS, WORDS = 20_000, 4_000_000
 
 _DROPPED = re.compile(r"[^\w]+|_+")
 
@@ -43,17 +48,23 @@ def _width(length: int, shingle: int) -> int:
 class Items:
     """The index of one block of benchmark items."""
 
-    def __init__(self, rows: list[tuple[int, str]], shingle: int = SHINGLE):
+    def __init__(self, rows: list[tuple[int, str]], shingle: int = SHINGLE, seen: dict[int, int] | None = None, total: int | None = None):
+        """``seen`` counts the items of the whole benchmark that have a shingle, for shingles of several, ``total`` its items; by default these rows are all."""
         words = Words(pa.array([t for _, t in rows], pa.string()), normal, unicode=True)
         self.shingle, self.items = shingle, []
         for (item, _), at, n in zip(rows, words.starts, words.lengths):
             if n:
                 width = _width(int(n), shingle)
                 self.items.append((item, int(n), width, grams(words.hashes[at : at + n], width, seed=20 + width)))
-        seen = Counter(h for *_, hashes in self.items for h in set(hashes.tolist()))
+        own = Counter(h for *_, hashes in self.items for h in set(hashes.tolist()))
+        seen, total = (own, len(self.items)) if seen is None else (seen, total)
         #: An item's shingle weighs the less, the more items have it; all others weigh as one item's.
-        self.rare = float(np.log1p(len(self.items)))
-        self.weight = {h: float(np.log1p(len(self.items) / n)) for h, n in seen.items()}
+        self.rare = float(np.log1p(total))
+        self.weight = {h: float(np.log1p(total / n)) for h, n in seen.items()}
+        self.vocabulary_of(own)
+
+    def vocabulary_of(self, own: Counter) -> None:
+        """The shingles that documents are scanned for, and the lengths of the items that have them."""
         self.vocabulary, self.lengths = {}, {}
         for width in {w for _, _, w, _ in self.items}:
             of: dict[int, set] = {}
@@ -81,11 +92,14 @@ class Items:
         return at[same], entry[same]
 
     def simhashes(self, hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """SimHash of ``n`` shingles from each start on."""
-        bits = ((mix(hashes)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
-        sums = np.concatenate((np.zeros((1, 64)), np.cumsum(bits * self.weights(hashes)[:, None], axis=0)))
-        total = sums[starts + n] - sums[starts]
-        return ((total > 1e-9).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        """(starts, 2) SimHashes of ``n`` shingles from each start on, two times 64 bits."""
+        weights, halves = self.weights(hashes)[:, None], []
+        for seed in (0, 1):
+            bits = ((mix(hashes ^ np.uint64(seed * 0x5DEECE66D))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
+            sums = np.concatenate((np.zeros((1, 64)), np.cumsum(bits * weights, axis=0)))
+            total = sums[starts + n] - sums[starts]
+            halves.append(((total > 1e-9).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+        return np.stack(halves, axis=1)
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         x, y = Counter(a.tolist()), Counter(b.tolist())
@@ -141,16 +155,55 @@ def contaminated(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    passes = max(1, -(-bench.count() // most_items))
+    n, size = bench.agg(F.count("*"), F.sum(F.length("text"))).first()
+    passes = max(1, -(-n // most_items), -(-(size or 0) // (6 * WORDS)))
+    if passes == 1:
+        return _one_pass(docs, Items([(r.item_id, r.text) for r in bench.collect()], shingle), spark, similarity, radius)
+    shingles = staged(_shingles(bench.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int")), shingle), "benchmark")
+    total = shingles.count()
+    counts = staged(shingles.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")), "counts")
+    # A shingle of one item weighs as one of none, so every pass needs only those that several items share.
+    several = {r.shingle & ((1 << 64) - 1): r.n for r in counts.where("n > 1").collect()}
     out = None
     for k in range(passes):
-        # A block's rows are bounded by most_items, give or take the hash's unevenness.
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        found = _one_pass(docs, Items([(r.item_id, r.text) for r in rows], shingle), spark, similarity, radius)
+        # A pass's rows are bounded by most_items, give or take the hash's unevenness.
+        mine = shingles.where(F.col("pass") == k)
+        rows = mine.select("item_id", "text").collect()
+        items = Items([(r.item_id, r.text) for r in rows], shingle, several, total)
+        found = _one_pass(docs, items, spark, similarity, radius)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _shingles(bench: DataFrame, shingle: int) -> DataFrame:
+    """``bench`` (item_id, text, pass) with the shingles of the items that have words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), normal, unicode=True)
+                lists = [grams(words.hashes[at : at + n], _width(int(n), shingle), seed=20 + _width(int(n), shingle)).view(np.int64) if n else None for at, n in zip(words.starts, words.lengths)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*part.schema.names, "shingles"])
+
+    return bench.mapInArrow(rows, "item_id bigint, text string, pass int, shingles array<bigint>").where("shingles is not null")
+
+
+#: First bits of the blocks of one half, and its end.
+_EDGES = np.linspace(0, 64, BLOCKS // 2 + 1).astype(int).tolist()
+
+
+def _blocks(low: str, high: str) -> Column:
+    """The blocks of a fingerprint as numbers."""
+    cut = lambda c, a, b: F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    return F.array(*(cut(half, a, b) for half in (low, high) for a, b in zip(_EDGES, _EDGES[1:])))
+
+
+def _masks(flips: int) -> list[int]:
+    """All numbers of the widest block's length with at most so many bits; those beyond a narrower block meet no value."""
+    width = max(b - a for a, b in zip(_EDGES, _EDGES[1:]))
+    return [sum(1 << i for i in bits) for k in range(flips + 1) for bits in combinations(range(width), k)]
+
+
 def _one_pass(docs: DataFrame, items: Items, spark, similarity: float, radius: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
 
@@ -166,29 +219,31 @@ def _one_pass(docs: DataFrame, items: Items, spark, similarity: float, radius: i
                             *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)),
                             pa.array([r[4].view(np.int64) for r in rows], pa.list_(pa.int64())),
                             pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                            pa.array([r[6].view(np.int64) for r in rows], pa.list_(pa.int64())),
+                            *(pa.array([r[6][:, i].copy().view(np.int64) for r in rows], pa.list_(pa.int64())) for i in (0, 1)),
                         ],
-                        names=["doc_id", "key1", "key2", "n_words", "n_shingles", "first", "shingles", "starts", "prints"],
+                        names=["doc_id", "key1", "key2", "n_words", "n_shingles", "first", "shingles", "starts", "low", "high"],
                     )
 
-    schema = "doc_id bigint, key1 bigint, key2 bigint, n_words bigint, n_shingles bigint, first bigint, shingles array<bigint>, starts array<bigint>, prints array<bigint>"
+    schema = "doc_id bigint, key1 bigint, key2 bigint, n_words bigint, n_shingles bigint, first bigint, shingles array<bigint>, starts array<bigint>, low array<bigint>, high array<bigint>"
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key1"), F.xxhash64("text", F.lit(1)).alias("key2"), "text")
     regions = staged(keyed.mapInArrow(scan, schema).withColumn("region", F.monotonically_increasing_id()), "regions")
 
     local = []
     for item, n, width, hashes in items.items:
-        local.append((item, n, int(items.simhashes(hashes, np.array([0]), len(hashes)).view(np.int64)[0]), hashes.view(np.int64).tolist()))
-    index = spark.createDataFrame(local, "item_id bigint, n_words bigint, print bigint, item array<bigint>")
-
-    blocks = np.linspace(0, 64, radius + 2).astype(int)
-    cut = lambda c: F.array(*(F.shiftrightunsigned(c, int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1)) for a, b in zip(blocks, blocks[1:])))
-    windows = regions.select("region", "n_words", F.explode(F.arrays_zip("starts", "prints")).alias("w")).select("region", "n_words", F.col("w.starts").alias("start"), F.col("w.prints").alias("window"))
-    windows = windows.select("*", F.posexplode(cut(F.col("window"))).alias("block", "value"))
-    keys = index.select("item_id", "n_words", "print", F.posexplode(cut(F.col("print"))).alias("block", "value"))
-    distance = F.bit_count(F.col("window").bitwiseXOR(F.col("print")))
+        low, high = items.simhashes(hashes, np.array([0]), len(hashes))[0].view(np.int64).tolist()
+        local.append((item, n, low, high, hashes.view(np.int64).tolist()))
+    index = spark.createDataFrame(local, "item_id bigint, n_words bigint, item_low bigint, item_high bigint, item array<bigint>")
+
+    windows = regions.select("region", "n_words", F.explode(F.arrays_zip("starts", "low", "high")).alias("w"))
+    windows = windows.select("region", "n_words", F.col("w.starts").alias("start"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
+    windows = windows.select("*", F.posexplode(_blocks("low", "high")).alias("block", "value"))
+    keys = index.select("item_id", "n_words", "item_low", "item_high", F.posexplode(_blocks("item_low", "item_high")).alias("block", "own"))
+    probes = F.array(*(F.lit(m) for m in _masks(radius // BLOCKS)))
+    keys = keys.withColumn("mask", F.explode(probes)).select("item_id", "n_words", "item_low", "item_high", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    distance = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
     near = windows.join(keys, ["n_words", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= radius)
     near = near.select("region", "start", "item_id", "n_words", "distance").distinct()
-    pairs = near.join(regions.drop("starts", "prints", "n_words"), "region").join(index.drop("print", "n_words"), "item_id")
+    pairs = near.join(regions.drop("starts", "low", "high", "n_words"), "region").join(index.select("item_id", "item"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
