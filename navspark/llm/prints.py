@@ -2,9 +2,10 @@
 
 Two moduli, 2^31 - 1 each with a base of its own, give every span of a text a
 62-bit hash in constant time from prefix arrays.  The fingerprint of a text is
-its length, its whole hash and, for each of 64 classes of the spans of 16
-code points, a byte of the least span hash; the share of equal bytes estimates
-the Jaccard similarity of the texts' spans.
+its length, its whole hash and, for each of 64 classes of its spans of 16 code
+points, a byte of the least span hash; the share of equal bytes estimates the
+Jaccard similarity of the texts' spans.  Texts of n < 256 code points, which have
+few spans, add the first 256 - n spans of 4.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ P = (1 << 31) - 1
 #: Bases of the two moduli.
 BASES = (911382323, 972663749)
 SPAN = 16
+#: Texts of under SOME code points add spans of SHORT.
+SHORT, SOME = 4, 256
 SLOTS = 64
 
 
@@ -33,6 +37,10 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= P, x - P, x)
 
 
+#: Powers that a worker keeps; 32 bytes each.
+MOST_POWERS = 1 << 20
+
+
 class _Powers:
     """Powers of both bases and of their inverses, grown on demand."""
 
@@ -41,10 +49,14 @@ class _Powers:
         self.roots = [*BASES, *(pow(b, P - 2, P) for b in BASES)]
 
     def upto(self, n: int) -> list[np.ndarray]:
+        kept = self.tables
         while len(self.tables[0]) <= n:
             size = len(self.tables[0])
             self.tables = [np.concatenate((t, _mod(t * pow(r, size, P)))) for t, r in zip(self.tables, self.roots)]
-        return self.tables
+        grown = self.tables
+        if len(grown[0]) > MOST_POWERS and len(kept[0]) <= MOST_POWERS:
+            self.tables = kept  # those of a very long text go with it
+        return grown
 
 
 _POWERS = _Powers()
@@ -101,9 +113,10 @@ class PrefixHash:
         n = len(self.points)
         slots = np.full(SLOTS, np.iinfo(np.int64).max)
         if n:
-            span = min(SPAN, n)
+            span, short = min(SPAN, n), min(SHORT, n)
+            found = [self.spans(np.arange(n - span + 1), span), self.spans(np.arange(max(0, min(n - short + 1, SOME - n))), short)]
             with np.errstate(over="ignore"):
-                mixed = self.spans(np.arange(n - span + 1), span).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = np.concatenate(found).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(29))) & np.uint64((1 << 62) - 1)
             value = mixed.view(np.int64)
             np.minimum.at(slots, value & (SLOTS - 1), value >> 6)
@@ -138,50 +151,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stands on several rows, the one of least text hash is the next document of
     others; all of them have the same next one.  Nulls: a null text is empty,
     rows of null doc_id come behind the smallest id and have the same next one
-    as that.  A lone doc_id is its own next document.
-
-    The table is dealt by ranges of doc_id, with the documents at the edges
-    sent to both neighbours; bounds and edges, ``parts`` numbers each, are all
-    that reaches the driver.
+    as that.  A lone doc_id is its own next document; without any doc_id each
+    row is its own.  Other columns are ignored, an empty table gives an empty
+    result, and very long texts are hashed whole.
+
+    The table is dealt by ranges of doc_id; an id that fills several ranges, and
+    the rows without one, are dealt to more parts by text hash.  Each part gets
+    the document below its least id; bounds and edges, ``parts`` numbers each,
+    are all that reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # Range k holds ids above cuts[k - 1], up to cuts[k]; null ids are in the first.
-    whole = F.lit(cuts).cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(whole, lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    edges = sorted((r.p, r.last) for r in rows.select("doc_id", place.alias("p")).where("doc_id is not null").groupBy("p").agg(F.max("doc_id").alias("last")).collect())
-    if edges:
-        after = {last: edges[(k + 1) % len(edges)][0] for k, (_, last) in enumerate(edges)}
-    else:
-        after = {}
-    follow = F.lit(None).cast("int")
-    if after:
-        follow = F.try_element_at(F.create_map(*(F.lit(x) for kv in after.items() for x in kv)).cast("map<bigint,int>"), F.col("doc_id"))
-    own = F.struct(place.cast("int").alias("p"), F.lit(False).alias("edge"))
-    other = F.struct(follow.alias("p"), F.lit(True).alias("edge"))
-    dealt = rows.withColumn("to", F.explode(F.array(own, other))).where("to.p is not null")
-    dealt = dealt.select("to.p", "to.edge", "doc_id", "text").repartition(max(1, parts), "p")
-    dealt = dealt.sortWithinPartitions("p", F.desc("edge"), F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    smallest = edges[0][0] if edges else 0
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    parts = max(1, parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = np.array(sorted(rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []) if parts > 1 else [], np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Range k holds ids above cut k - 1 up to cut k; an id that is several cuts has as many ranges."""
+        none = ids.isna().to_numpy()
+        known = ids.fillna(0).to_numpy(np.int64)
+        low, high = np.searchsorted(cuts, known, side="left"), np.searchsorted(cuts, known, side="right")
+        low, wide = np.where(none, 0, low), np.where(none, parts, np.maximum(high - low, 1))
+        return pd.Series((low + hashes.to_numpy(np.int64).view(np.uint64) % wide.astype(np.uint64)).astype(np.int32))
+
+    @F.pandas_udf("boolean")
+    def is_cut(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.isin(ids.to_numpy(np.int64), cuts))
+
+    placed = rows.withColumn("p", place("doc_id", "h"))
+    ids = placed.where("doc_id is not null").select("p", "doc_id").withColumn("below", F.when(~is_cut("doc_id"), F.col("doc_id")))
+    ends = ids.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("below").alias("below")).collect()
+    known = np.array(sorted({x for r in ends for x in (r.high, r.below) if x is not None}), np.int64)
+    needs = []  # (part, id whose document it needs, whether its rows without id do)
+    if len(known):
+        greatest = int(known[-1])
+        for r in ends:
+            at = int(np.searchsorted(known, r.low))
+            needs.append((r.p, int(known[at - 1]) if at else greatest, False))
+        needs += [(p, greatest, True) for p in range(parts)]
+    needed = spark.createDataFrame(needs, "p int, doc_id bigint, lone boolean")
+    heads = rows.where(F.col("doc_id").isin(sorted({n[1] for n in needs}))).groupBy("doc_id").agg(F.min_by("text", "h").alias("text"))
+    # Only rows without id need the greatest one everywhere.
+    lone = placed.where("doc_id is null").select("p").distinct()
+    needed = needed.where("not lone").unionByName(needed.where("lone").join(lone, "p", "left_semi"))
+    edges = heads.join(needed, "doc_id").select("p", F.when(F.col("lone"), 0).otherwise(1).alias("kind"), "doc_id", "text", F.lit(0).cast("bigint").alias("h"))
+    dealt = placed.select("p", F.when(F.col("doc_id").isNull(), 2).otherwise(3).alias("kind"), "doc_id", "text", "h").unionByName(edges)
+    dealt = dealt.repartition(parts, "p").sortWithinPartitions("p", "kind", "doc_id", "h").drop("h")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, before, head = None, None, None  # part; last smaller document; first row of the id in hand
+        current = first = before = head = None  # part; document of the greatest id; last smaller one; first row of the id in hand
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for p, edge, doc, text in zip(*(part.column(c).to_pylist() for c in ("p", "edge", "doc_id", "text"))):
+                for p, kind, doc, text in zip(*(part.column(c).to_pylist() for c in ("p", "kind", "doc_id", "text"))):
                     if p != current:
-                        current, before, head = p, None, None
-                    if edge:  # the rows of one id; the first has the least text hash
-                        before = before or _Document(doc, text)
-                        continue
+                        current, first, before, head = p, None, None, None
                     own = _Document(doc, text)
-                    if doc is not None and (head is None or head.doc != doc):
-                        before, head = head or before, own
-                    out.append(own.against(before or own))
+                    if kind == 0:
+                        first = own
+                    elif kind == 1:
+                        before = own
+                    elif kind == 2:
+                        out.append(own.against(first or own))
+                    else:
+                        if head is None or head.doc != doc:
+                            before, head = head or before, own
+                        out.append(own.against(before or own))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * len(_TYPES), _TYPES.types)], schema=_TYPES)
 
     return dealt.mapInArrow(walk, _SCHEMA)
