@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,7 @@ class Spec:
     dummy_prefix: bool = True
     strip_spaces: bool = True
     mark_spaces: bool = True
+    unknown: str = " \u2047 "
 
 
 def parse(data: bytes) -> Spec:
@@ -83,6 +85,7 @@ def parse(data: bytes) -> Spec:
             spec.kind = trainer.get(3, UNIGRAM)
             spec.suffix_mark = bool(trainer.get(24, 0))
             spec.byte_fallback = bool(trainer.get(35, 0))
+            spec.unknown = trainer[44].decode() if 44 in trainer else spec.unknown
         elif number == 3:
             normaliser = dict(_fields(value))
             spec.charsmap = normaliser.get(2, b"")
@@ -159,6 +162,7 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         import sentencepiece
+        from tokenizers import decoders
 
         self.spec, self.threads = parse(data), threads
         self.tokenizer = build(self.spec)
@@ -167,6 +171,8 @@ class Codec:
         # A byte piece stands for its byte: bytes are joined first and read as text then.
         self.surface = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces], pa.binary())
         self.plain = np.array([kind in (NORMAL, USER, BYTE) for *_, kind in self.spec.pieces])
+        self.special = {i: self.spec.unknown if kind == UNKNOWN else "" for i, (_, _, kind) in enumerate(self.spec.pieces) if kind in (UNKNOWN, CONTROL)}
+        self.inner = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.forget()
 
     def forget(self) -> None:
@@ -240,11 +246,24 @@ class Codec:
         out = pc.if_else(pc.is_valid(ids), text, pa.scalar(None, pa.string()))
         if odd.any():
             at = np.flatnonzero(odd)
-            texts = self.tokenizer.decode_batch(ids.take(pa.array(at)).to_pylist(), skip_special_tokens=False)
+            lists = ids.take(pa.array(at)).to_pylist()
+            texts = self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+            texts = [self._with_specials(x) if any(i in self.special for i in x) else t for x, t in zip(lists, texts)]
             out = pc.replace_with_mask(out, pa.array(odd), pa.array(texts, pa.string()))
         return out
 
 
+    def _with_specials(self, ids: list[int]) -> str:
+        """Decoding of ids among which are unknown pieces, which have a surface of their own, or control pieces, which have none."""
+        out, opens = [], self.spec.dummy_prefix
+        for special, run in groupby(ids, lambda i: i in self.special):
+            text = "".join(self.special[i] for i in run) if special else self.inner.decode([self.spec.pieces[i][0] for i in run])
+            if opens and text:
+                text, opens = text if special else text.removeprefix(" "), False
+            out.append(text)
+        return "".join(out)
+
+
 def _text(data: bytes) -> str | None:
     try:
         return data.decode()

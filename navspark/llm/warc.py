@@ -34,6 +34,16 @@ def _strong(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def moment(records: DataFrame, ts_col: str) -> Column:
+    """A time column as a whole number that orders it: as it is, or in microseconds."""
+    kind = dict(records.dtypes)[ts_col]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(ts_col).cast("bigint")
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return (F.col(ts_col) * 1_000_000).cast("bigint")
+    return F.unix_micros(F.col(ts_col).try_cast("timestamp"))
+
+
 def resolved(
     records: DataFrame, id_col: str = "record_id", url_col: str = "url", ts_col: str = "ts", kind_col: str = "kind", headers_col: str = "headers", payload_col: str = "payload",
 ) -> DataFrame:
@@ -47,7 +57,9 @@ def resolved(
     "missing" without an earlier response, or without URL or time.  Resolved and
     unverified revisits have the response's payload and its headers, with those
     of the revisit that a 304 may update; the others have their own headers and
-    no payload.  Repeated revisits are resolved alike; ids and payloads may be
+    no payload.  ``ts`` is a number of any unit, a timestamp, a date, or a text
+    that casts to a timestamp, as WARC dates do; other texts are no time.
+    Payloads of any length are moved whole.  Repeated revisits are resolved alike; ids and payloads may be
     null; an empty table gives an empty result.  Other columns are ignored.
 
     A URL's time line is cut into pieces of time, so a URL that holds a third
@@ -55,26 +67,26 @@ def resolved(
     carried over by a second window over at most ``PIECES`` rows a URL.
     """
     rows = records.select(
-        F.col(id_col).alias("record_id"), canonical_url(F.col(url_col)).alias("canonical"), F.col(ts_col).alias("ts"), F.col(kind_col).alias("kind"),
+        F.col(id_col).alias("record_id"), canonical_url(F.col(url_col)).alias("canonical"), F.col(ts_col).alias("ts"), moment(records, ts_col).alias("tick"), F.col(kind_col).alias("kind"),
         lower_keys(F.col(headers_col)).alias("headers"), F.col(payload_col).alias("payload"),
     )
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    low, high = rows.agg(F.min("tick"), F.max("tick")).first()
     width = max(1, ((high - low) // PIECES + 1) if low is not None else 1)
-    piece = F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)).cast("int")
-    timed = rows.where("canonical is not null and ts is not null").withColumn("piece", piece)
+    piece = F.expr(f"(tick - {low or 0}L) div {width}L").cast("int")
+    timed = rows.where("canonical is not null and tick is not null").withColumn("piece", piece)
 
-    moments = timed.where("kind in ('response', 'revisit')").select("canonical", "piece", "ts", F.when(F.col("kind") == "response", F.col("ts")).alias("at"))
-    moments = moments.groupBy("canonical", "piece", "ts").agg(F.max("at").alias("at"))
-    before = Window.partitionBy("canonical", "piece").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    moments = timed.where("kind in ('response', 'revisit')").select("canonical", "piece", "tick", F.when(F.col("kind") == "response", F.col("tick")).alias("at"))
+    moments = moments.groupBy("canonical", "piece", "tick").agg(F.max("at").alias("at"))
+    before = Window.partitionBy("canonical", "piece").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
     inside = moments.withColumn("found", F.last("at", ignorenulls=True).over(before))
     earlier = Window.partitionBy("canonical").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = moments.groupBy("canonical", "piece").agg(F.max("at").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).drop("last")
-    matched = inside.join(carried, ["canonical", "piece"]).select("canonical", "ts", F.coalesce("found", "carried").alias("at"))
+    matched = inside.join(carried, ["canonical", "piece"]).select("canonical", "tick", F.coalesce("found", "carried").alias("at"))
 
     revisits = rows.where("kind = 'revisit'").withColumnRenamed("headers", "own").drop("kind", "payload")
-    revisits = revisits.join(matched, ["canonical", "ts"], "left")
+    revisits = revisits.join(matched, ["canonical", "tick"], "left")
     answer = F.struct(F.col("record_id").alias("response_id"), "headers", "payload")
-    best = timed.where("kind = 'response'").groupBy("canonical", F.col("ts").alias("at")).agg(F.max_by(answer, F.coalesce(F.col("record_id"), F.lit(-1))).alias("answer"))
+    best = timed.where("kind = 'response'").groupBy("canonical", F.col("tick").alias("at")).agg(F.max_by(answer, F.coalesce(F.col("record_id"), F.lit(-1))).alias("answer"))
     joined = revisits.join(best, ["canonical", "at"], "left")
     stored = F.col("answer.headers")
     tag, other = _strong(F.col("own")["etag"]), _strong(stored["etag"])
