@@ -49,18 +49,20 @@ def rebalance_dates(dates: DataFrame, mode: str, which: str = "nth", unit: str =
     return ends.withColumn("target", target).select(F.coalesce(F.array_min(F.filter("all", lambda d: d >= F.col("target"))), F.col("last")).alias("date"))
 
 
-def gated(dates: DataFrame, candidates: DataFrame, mode: str | None = "all", length: int | None = None) -> DataFrame:
-    """Candidates with enough rows up to them: two, or ``length`` in mode rollingN; else the first date with enough and the candidates behind it."""
+def gated(dates: DataFrame, candidates: DataFrame, mode: str | None = "all", length: int | None = None, strict: bool = True) -> DataFrame:
+    """Candidates with enough rows up to them: two, or ``length`` in mode rollingN; else the first date with enough and the candidates behind it.
+
+    Fewer dates than that are a ValueError, for which the dates are counted at
+    once; if not ``strict``, they give no row, and nothing runs here.
+    """
     required = max(2, int(length or 0)) if (mode or "all").lower() == "rollingn" else 2
+    if strict and dates.select("date").distinct().limit(required).count() < required:
+        raise ValueError("too few rows for any rebalancing window")
     numbered = dates.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
     good = candidates.join(numbered.where(F.col("k") >= required), "date").select("date")
-    if not good.isEmpty():
-        return good
-    fallback = numbered.where(F.col("k") == required).select("date")
-    if fallback.isEmpty():
-        raise ValueError("too few rows for any rebalancing window")
-    behind = candidates.crossJoin(F.broadcast(fallback.withColumnRenamed("date", "f"))).where("date > f").select("date")
-    return fallback.union(behind).distinct()
+    # One row says whether the fallback counts; candidates behind it would be good themselves, so it stands alone.
+    none = good.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(required).alias("k"))
+    return good.unionByName(numbered.join(F.broadcast(none), "k").select("date"))
 
 
 def paths(panel: DataFrame, weights: DataFrame, rebalances: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +104,11 @@ def paths(panel: DataFrame, weights: DataFrame, rebalances: DataFrame | None = N
     level = segments.join(growth, ["strategy", "segment"], "left").withColumn("level", F.coalesce(F.product(F.coalesce("growth", F.lit(1.0))).over(before), F.lit(1.0)))
     level = level.select("strategy", "segment", "start", "until", "level")
 
-    at = level.join(dates, (F.col("date") >= F.col("start")) & (F.col("until").isNull() | (F.col("date") < F.col("until")))).select("strategy", "segment", "level", "date")
+    # The segments' starts are carried along the dates of each strategy.
+    starts = level.select("strategy", F.col("start").alias("date"), F.struct("segment", "level").alias("s"))
+    days = names.join(starts.select("strategy").distinct(), "strategy", "left_semi").crossJoin(F.broadcast(dates))
+    at = days.join(starts, ["strategy", "date"], "left").withColumn("s", F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.where("s is not null").select("strategy", "s.segment", "s.level", "date")
     rows = at.join(base.select("strategy", "segment", "asset", "w", "base"), ["strategy", "segment"]).join(panel.select("asset", "date", "nav"), ["asset", "date"], "left")
     share = F.when(F.col("w") > 0, F.coalesce(F.col("w") * F.try_divide("nav", "base"), F.lit(0.0))).otherwise(0.0)
     path = rows.groupBy("strategy", "date").agg((F.first("level") * F.when(F.sum("w") > 0, F.sum(share)).otherwise(1.0)).alias("value"))

@@ -120,20 +120,37 @@ def fuzzy_top(products: DataFrame, text: str, k: int = 10) -> DataFrame:
     return products.where(at > 0).withColumn("score", (at - 1) + len(word) * 0.2).orderBy("score", "pos").limit(k)
 
 
+#: Length of the strings by which names that hold others are found.
+GRAM = 6
+
+
+def _grams(name: str) -> Column:
+    """A row for each distinct string of GRAM characters; none for shorter names."""
+    starts = F.when(F.length(name) >= GRAM, F.sequence(F.lit(1), F.length(name) - GRAM + 1))
+    return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(GRAM)))))
+
+
 def resolve(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Requested (req_code, req_name) with the product they mean.
 
     An exact code comes first, then a code without suffix, an exact name, a name
     that holds the requested one; each time the first in table order.  The first
-    three are equality joins; only requests that stay without a match, few
-    texts that a user typed, are compared with all names.
+    three are equality joins.  Names that hold a requested one hold all its
+    strings of GRAM characters, so what stays is met with the names that have
+    its rarest one; only requests shorter than that are compared with all.
     """
     p = products.select("pos", "ts_code", "name")
     by = lambda key, other, rank: requests.join(p.withColumn("k", other), key == F.col("k")).drop("k").withColumn("match_rank", F.lit(rank))
     exact = by(F.col("req_code"), F.col("ts_code"), 0).unionByName(by(strip_suffix(F.col("req_code")), strip_suffix(F.col("ts_code")), 1)).unionByName(by(F.col("req_name"), F.col("name"), 2))
     best = exact.groupBy("req_code", "req_name").agg(F.min(F.struct("match_rank", "pos", "ts_code", "name")).alias("m"))
     rest = requests.join(best, ["req_code", "req_name"], "left_anti")
-    part = rest.join(p, F.contains("name", F.col("req_name")), "left").groupBy("req_code", "req_name").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct(F.lit(3).alias("match_rank"), "pos", "ts_code", "name"))).alias("m"))
+    named = p.select("*", _grams("name").alias("gram"))
+    wanted = rest.distinct().select("req_code", "req_name", _grams("req_name").alias("gram"))
+    rarest = wanted.join(named.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("req_code", "req_name").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    near = rarest.join(named, "gram").where(F.contains("name", F.col("req_name"))).drop("gram")
+    short = rest.where(F.length("req_name") < GRAM).join(p, F.contains("name", F.col("req_name")))
+    part = near.unionByName(short).groupBy("req_code", "req_name").agg(F.min(F.struct(F.lit(3).alias("match_rank"), "pos", "ts_code", "name")).alias("m"))
+    part = rest.join(part, ["req_code", "req_name"], "left").select("req_code", "req_name", "m").distinct()
     return best.unionByName(part).select("req_code", "req_name", "m.match_rank", F.col("m.ts_code").alias("ts_code"), F.col("m.name").alias("name"))
 
 

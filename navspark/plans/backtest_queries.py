@@ -60,23 +60,22 @@ for _mode, _unit in r.PERIODS.items():
 @query(f"WITH {_DATES}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM dt), c AS (SELECT min(date) AS date FROM dt GROUP BY date_trunc('month', date)) SELECT c.date FROM c JOIN k ON c.date = k.date WHERE k >= 60")
 def rebalance_gate(spark, folder):
     dates = _dates(spark, folder)
-    return r.gated(dates, r.rebalance_dates(dates, "monthly", "first"), "rollingN", 60)
+    return r.gated(dates, r.rebalance_dates(dates, "monthly", "first"), "rollingN", 60, strict=False)
 
 
 @query(f"WITH {_DATES}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM dt WHERE date < DATE '1995-01-20' AND date >= DATE '1995-01-02') SELECT date FROM k WHERE k = 10")
 def rebalance_gate_fallback(spark, folder):
     dates = _dates(spark, folder).where("date >= date'1995-01-02' and date < date'1995-01-20'")
-    return r.gated(dates, r.rebalance_dates(dates, "monthly", "first"), "rollingN", 10)
+    return r.gated(dates, r.rebalance_dates(dates, "monthly", "first"), "rollingN", 10, strict=False)
 
 
 _WEIGHTS = (("even", "AUTOMOBILE", 1.0), ("even", "BUILDING", 1.0), ("even", "FURNITURE", 1.0), ("tilted", "AUTOMOBILE", 0.6), ("tilted", "MACHINERY", 0.3), ("tilted", "HOUSEHOLD", 0.0))
 _VALUES = ", ".join(f"('{s}', '{a}', {x})" for s, a, x in _WEIGHTS)
-#: A whole year of the padded panel.
-_YEAR = f"{v.PADDED}, pn AS (SELECT asset, date, nav FROM pa WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31')"
+_PANEL = f"{v.PADDED}, pn AS (SELECT asset, date, nav FROM pa)"
 
 
 def _panel(spark, folder):
-    return v.padded_returns(spark, folder).where("date between date'1997-01-01' and date'1997-12-31'").select("asset", "date", "nav")
+    return v.padded_returns(spark, folder).select("asset", "date", "nav")
 
 
 def _weights(spark):
@@ -84,11 +83,14 @@ def _weights(spark):
 
 
 def _segment_sql(rebalances: str) -> str:
-    return f"""{_YEAR}, rb AS ({rebalances}), w AS (SELECT s, a, x / sum(x) OVER (PARTITION BY s) AS w FROM (VALUES {_VALUES}) t(s, a, x)),
+    return f"""{_PANEL}, rb AS ({rebalances}), w AS (SELECT s, a, CAST(x AS DOUBLE) AS x FROM (VALUES {_VALUES}) t(s, a, x)),
 sg AS (SELECT date AS start, row_number() OVER (ORDER BY date) AS k, lead(date) OVER (ORDER BY date) AS until FROM rb),
-gr1 AS (SELECT w.s, sg.k, sum(w.w * e.nav / b.nav) AS g FROM sg JOIN w ON true JOIN pn b ON b.asset = w.a AND b.date = sg.start JOIN pn e ON e.asset = w.a AND e.date = sg.until GROUP BY ALL),
+us AS (SELECT w.s, w.a, sg.k, sg.start, sg.until, b.nav AS b, CASE WHEN b.nav IS NOT NULL AND b.nav <> 0 THEN w.x ELSE 0 END AS u FROM sg CROSS JOIN w LEFT JOIN pn b ON b.asset = w.a AND b.date = sg.start),
+hd AS (SELECT *, coalesce(u / nullif(sum(u) OVER (PARTITION BY s, k), 0), 0) AS w FROM us),
+gr1 AS (SELECT h.s, h.k, CASE WHEN sum(h.w) > 0 THEN sum(CASE WHEN h.w > 0 THEN coalesce(h.w * e.nav / h.b, 0) ELSE 0 END) ELSE 1 END AS g FROM hd h LEFT JOIN pn e ON e.asset = h.a AND e.date = h.until WHERE h.until IS NOT NULL GROUP BY h.s, h.k),
 lv AS (SELECT n.s, sg.k, sg.start, sg.until, coalesce(product(coalesce(g, 1)) OVER (PARTITION BY n.s ORDER BY sg.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS level FROM sg CROSS JOIN (SELECT DISTINCT s FROM w) n LEFT JOIN gr1 ON gr1.s = n.s AND gr1.k = sg.k),
-path AS (SELECT lv.s AS strategy, t.date, any_value(level) * sum(w.w * t.nav / b.nav) AS value FROM lv JOIN w ON w.s = lv.s JOIN pn t ON t.asset = w.a AND t.date >= lv.start AND (lv.until IS NULL OR t.date < lv.until) JOIN pn b ON b.asset = w.a AND b.date = lv.start GROUP BY ALL)"""
+path AS (SELECT lv.s AS strategy, t.date, any_value(level) * CASE WHEN sum(h.w) > 0 THEN sum(CASE WHEN h.w > 0 THEN coalesce(h.w * p.nav / h.b, 0) ELSE 0 END) ELSE 1 END AS value
+  FROM lv JOIN (SELECT DISTINCT date FROM pn) t ON t.date >= lv.start AND (lv.until IS NULL OR t.date < lv.until) JOIN hd h ON h.s = lv.s AND h.k = lv.k LEFT JOIN pn p ON p.asset = h.a AND p.date = t.date GROUP BY lv.s, t.date)"""
 
 
 _FIRST = "SELECT min(date) AS date FROM pn"
@@ -120,7 +122,7 @@ def backtest_fixed20(spark, folder):
     return v.rounded(_backtest(spark, folder, "fixed", interval=20)[0])
 
 
-@query(f"WITH {_segment_sql(_MONTHS)} SELECT lv.s AS strategy, lv.start AS date, w.a AS asset, round(w.w, 6) AS weight, round(level, 6) AS value FROM lv JOIN w ON w.s = lv.s")
+@query(f"WITH {_segment_sql(_MONTHS)} SELECT lv.s AS strategy, lv.start AS date, h.a AS asset, round(h.w, 6) AS weight, round(level, 6) AS value FROM lv JOIN hd h ON h.s = lv.s AND h.k = lv.k")
 def backtest_markers(spark, folder):
     return v.rounded(_backtest(spark, folder, "monthly", which="first")[1])
 

@@ -47,11 +47,11 @@ def product_detail(spark, folder):
     return v.rounded(c.detail(universe(spark, folder), prices, " 15.sz ").select("ts_code", "name", "start_date", "date", "close"))
 
 
-@query(f"""WITH {UNIVERSE}, a AS (SELECT pos, market FROM universe WHERE pos % 3 = 0), b AS (SELECT pos, market FROM universe WHERE pos % 5 = 0), al AS (SELECT * FROM a UNION ALL SELECT * FROM b), di AS (SELECT * FROM a UNION SELECT * FROM b)
+@query(f"""WITH {UNIVERSE}, a AS (SELECT pos, market FROM universe WHERE market <> 'O'), b AS (SELECT pos, market FROM universe WHERE status = '上市'), al AS (SELECT * FROM a UNION ALL SELECT * FROM b), di AS (SELECT * FROM a UNION SELECT * FROM b)
 SELECT 'all' AS op, count(*) AS n, CAST(sum(pos) AS BIGINT) AS s FROM al UNION ALL SELECT 'distinct', count(*), CAST(sum(pos) AS BIGINT) FROM di UNION ALL SELECT 'without', count(*), CAST(sum(pos) AS BIGINT) FROM a WHERE pos NOT IN (SELECT pos FROM b)""")
 def set_operations(spark, folder):
-    u = universe(spark, folder).select("pos", "market")
-    a, b = u.where("pos % 3 = 0"), u.where("pos % 5 = 0")
+    u = universe(spark, folder)
+    a, b = (u.where(chosen).select("pos", "market") for chosen in ("market <> 'O'", "status = '上市'"))
     parts = {"all": a.unionByName(b), "distinct": a.union(b).distinct(), "without": c.without_keys(a, b, "pos")}
     out = None
     for name, rows in parts.items():

@@ -56,9 +56,9 @@ def nav_last_per_date(spark, folder):
     return v.rounded(p.last_per_date(rows, "o_orderkey"))
 
 
-@query(f"WITH {v.PADDED} SELECT asset, date, round(ret, 6) AS ret FROM re WHERE date >= DATE '1996-01-01'")
+@query(f"WITH {v.PADDED} SELECT asset, date, round(ret, 6) AS ret FROM re")
 def returns_simple_pad(spark, folder):
-    return v.rounded(v.padded_returns(spark, folder).where("date >= date'1996-01-01'").select("asset", "date", "ret"))
+    return v.rounded(v.padded_returns(spark, folder).select("asset", "date", "ret"))
 
 
 @query(f"WITH {v.GRID} SELECT asset, date, round(nav / nullif(lag(nav) {_W}, 0) - 1, 6) AS ret FROM gr")

@@ -89,13 +89,13 @@ _SCORE = f"""{UNIVERSE}, iv AS (SELECT pos AS id, 'issue' AS k, issue_amount AS
 sc AS (SELECT id, w, round(CASE WHEN up THEN (x - min(x) OVER (PARTITION BY k)) ELSE (max(x) OVER (PARTITION BY k) - x) END / (max(x) OVER (PARTITION BY k) - min(x) OVER (PARTITION BY k)) * 100, 2) AS y FROM iv WHERE x IS NOT NULL)"""
 
 
-@query(f"WITH {_SCORE} SELECT id, round(sum(y * w) / 1.0, 4) AS score FROM sc GROUP BY id ORDER BY score DESC, id LIMIT 50")
+@query(f"WITH {_SCORE} SELECT id, round(sum(y * w) / 1.0, 4) AS score FROM sc GROUP BY id")
 def scoring_plan(spark, folder):
     u = universe(spark, folder)
     item = lambda k, c: F.struct(F.lit(k).alias("indicator"), F.col(c).cast("double").alias("value"))
     values = u.select(F.col("pos").alias("id"), F.explode(F.array(item("issue", "issue_amount"), item("fee", "m_fee"), item("return", "exp_return"))).alias("i")).select("id", "i.indicator", "i.value")
     plan = spark.createDataFrame([("issue", 0.5, True), ("fee", 0.3, False), ("return", 0.2, True)], "indicator string, weight double, higher_is_better boolean")
-    return v.rounded(scoring.scores(values, plan), 4).orderBy(F.desc("score"), "id").limit(50)
+    return v.rounded(scoring.scores(values, plan), 4)
 
 
 @query(f"WITH {UNIVERSE} SELECT pos AS id FROM universe WHERE market IN ('E', 'O') AND year(list_date) BETWEEN 2010 AND 2015 AND (contains(lower(name), '1') OR contains(lower(code), '1') OR contains(lower(coalesce(management, '')), '1'))")
@@ -104,10 +104,10 @@ def scoring_filter(spark, folder):
     return scoring.filtered(u, categories=["E", "O"], years=(2010, 2015), keyword=" 1 ").select(F.col("pos").alias("id"))
 
 
-@query(f"""WITH {UNIVERSE}, g AS (SELECT pos, market, row_number() OVER (PARTITION BY market ORDER BY pos) AS k, count(*) OVER (PARTITION BY market) AS n FROM universe WHERE pos <= 20)
+@query(f"""WITH {UNIVERSE}, g AS (SELECT pos, market, row_number() OVER (PARTITION BY market ORDER BY pos) AS k, count(*) OVER (PARTITION BY market) AS n FROM universe)
 SELECT pos, market, (10000 // n + CASE WHEN k <= 10000 - (10000 // n) * n THEN 1 ELSE 0 END) / 100.0 AS percent FROM g""")
 def equal_weights(spark, folder):
-    return weights.equal_percents(universe(spark, folder).where("pos <= 20"), "market", "pos").select("pos", "market", "percent")
+    return weights.equal_percents(universe(spark, folder), "market", "pos").select("pos", "market", "percent")
 
 
 @query(f"WITH {UNIVERSE} SELECT market AS asset_name, code AS etf_code, name AS etf_name, m_fee AS etf_weight, pos FROM universe")
@@ -134,9 +134,9 @@ def ingest_append_dedupe(spark, folder):
     return ingest.appended([even, odd], ["l_partkey", "l_suppkey"], "pos")
 
 
-@query("SELECT p_partkey AS id, CAST(120 AS BIGINT) AS days, true AS ok FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey AS id, CAST(120 AS BIGINT) AS days, true AS ok FROM part")
 def synthetic_prices(spark, folder):
-    rows = ingest.synthetic_prices(table(spark, folder, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("issue_amount")), "2024-01-02", 120)
+    rows = ingest.synthetic_prices(table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("issue_amount")), "2024-01-02", 120)
     good = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.weekday("date") < 5) & (F.col("volume") > 0)
     return rows.groupBy("id").agg(F.count("*").alias("days"), F.min(good).alias("ok"))
 

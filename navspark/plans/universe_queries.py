@@ -131,7 +131,7 @@ def product_lookup(spark, folder):
 
 
 @query(f"""WITH {UNIVERSE}, q AS (SELECT CASE pos % 4 WHEN 0 THEN ts_code WHEN 1 THEN code || '.OF' WHEN 2 THEN 'none' || code ELSE 'other' || code END AS req_code,
-  CASE pos % 4 WHEN 2 THEN name WHEN 3 THEN substring(name, 2, 60) ELSE 'x' END AS req_name FROM universe WHERE pos % 10 = 3 OR pos % 10 = 6),
+  CASE pos % 4 WHEN 2 THEN name WHEN 3 THEN substring(name, 2, 60) ELSE 'x' END AS req_name FROM universe),
 m AS (SELECT q.*, u.pos, u.ts_code, u.name, CASE WHEN q.req_code = u.ts_code THEN 0 WHEN split_part(q.req_code, '.', 1) = split_part(u.ts_code, '.', 1) THEN 1 WHEN q.req_name = u.name THEN 2
   WHEN contains(u.name, q.req_name) THEN 3 END AS match_rank FROM q LEFT JOIN universe u ON q.req_code = u.ts_code OR split_part(q.req_code, '.', 1) = split_part(u.ts_code, '.', 1) OR contains(u.name, q.req_name))
 SELECT req_code, req_name, match_rank, ts_code, name FROM (SELECT *, row_number() OVER (PARTITION BY req_code, req_name ORDER BY match_rank, pos) AS k FROM (SELECT DISTINCT * FROM m)) WHERE k = 1""")
@@ -140,7 +140,7 @@ def code_resolution(spark, folder):
     k = F.col("pos") % 4
     code = F.when(k == 0, F.col("ts_code")).when(k == 1, F.concat("code", F.lit(".OF"))).when(k == 2, F.concat(F.lit("none"), "code")).otherwise(F.concat(F.lit("other"), "code"))
     name = F.when(k == 2, F.col("name")).when(k == 3, F.substring("name", 2, 60)).otherwise("x")
-    asked = p.where("pos % 10 = 3 or pos % 10 = 6").select(code.alias("req_code"), name.alias("req_name"))
+    asked = p.select(code.alias("req_code"), name.alias("req_name"))
     return u.resolve(asked, p)
 
 

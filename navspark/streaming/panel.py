@@ -8,14 +8,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """New Parquet files of a folder as a stream; naive times become timestamps, which watermarks need."""
+    """New Parquet files of a folder as a stream, by ascending modification time; naive times become timestamps, which watermarks need."""
     schema = spark.read.parquet(folder).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """(asset, date, nav) by day of event time; state of days older than the watermark is dropped, later rows for them are ignored."""
+    """(asset, date, nav) by day of event time; state of days older than the watermark is dropped.
+
+    Rows that arrive more than ``late`` behind the latest one seen are lost, so
+    files must come in about the order of their rows.
+    """
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), F.col("event_type").alias("asset"))
     return grouped.agg(F.sum("value").alias("nav"), F.count("*").alias("n")).select("asset", F.to_date("window.start").alias("date"), "nav", "n")
 

@@ -1,6 +1,7 @@
 """Edge values of kernels, windows, calendars, weights, language, storage and streaming."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -196,6 +197,8 @@ def test_files(spark, tmp_path):
 
 def test_streamed_panel_equals_batch(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/events.parquet").repartitionByRange(4, "ts").write.parquet(f"file://{tmp_path}/in")
+    for k, name in enumerate(sorted(tmp_path.glob("in/part-*"))):  # files come in the order of their times, which may be one for all here
+        os.utime(name, (1_700_000_000 + k, 1_700_000_000 + k))
     rows = streaming.daily(streaming.event_stream(spark, f"file://{tmp_path}/in"))
     query = streaming.write_panel(rows, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     query.awaitTermination(120)
