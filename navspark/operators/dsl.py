@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -263,12 +264,17 @@ def _since(start: Column) -> Column:
     return F.transform(F.filter("rows", lambda r: r["date"] > start), lambda r: r["ret"])
 
 
-def evaluate(returns: DataFrame, chosen: Profile) -> DataFrame:
-    """(asset, indicator, period, value) of returns (asset, date, ret), each over the period up to the asset's last date."""
+def evaluate(returns: DataFrame, chosen: Profile, names: Sequence[str] | None = None) -> DataFrame:
+    """(asset, indicator, period, value) of returns (asset, date, ret), each over the period up to the asset's last date.
+
+    Only indicators of ``names`` are computed, if they are given.
+    """
     rows = returns.where("ret is not null").groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "ret"))).alias("rows"))
     rows = rows.withColumn("last", F.element_at("rows", -1)["date"])
     items = []
     for i in chosen.indicators:
+        if names is not None and i.name not in names:
+            continue
         tree = parse(i.expression)
         for period in i.periods:
             start = _start(F.col("last"), period)

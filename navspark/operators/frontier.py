@@ -110,6 +110,36 @@ def best_of_buckets(points: DataFrame, buckets: int) -> DataFrame:
     return points.crossJoin(F.broadcast(ends)).groupBy(at.alias("bucket")).agg(F.min_by(F.struct("candidate", "w", "ret", "risk"), F.struct("risk", "candidate")).alias("p")).select("bucket", "p.*")
 
 
+def explored(
+    seeds: DataFrame, moments: DataFrame, assets: Sequence[str], low: Sequence[float] | None = None, high: Sequence[float] | None = None, groups: Sequence[tuple[Sequence[str], float, float]] = (),
+    rounds: int = 3, buckets: int = 20, size: float = 0.1, tries: int = 8, step: float | None = None, days: int = DAYS,
+) -> DataFrame:
+    """(candidate, w, ret, risk): all feasible points of an exploration.
+
+    Seeds are moved into their bounds and dropped where a group's limits do not
+    hold.  Each round takes the least risky point of each of ``buckets`` return
+    ranges and walks from it, ``tries`` steps of a size that halves with the
+    rounds; with ``step``, weights end on its multiples where these satisfy all
+    limits.  The rounds' points are a union, so a round walks from a bounded
+    number of rows, whatever the number of seeds.
+    """
+    n = len(assets)
+    low, high = list(low or [0.0] * n), list(high or [1.0] * n)
+    inside = lambda w: F.forall(F.arrays_zip(w.alias("x"), F.array(*map(F.lit, low)).alias("l"), F.array(*map(F.lit, high)).alias("h")), lambda z: (z["x"] >= z["l"] - 1e-9) & (z["x"] <= z["h"] + 1e-9))
+
+    def feasible(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("w", repaired(F.col("w"), low, high)).where("w is not null")
+        if step:
+            rows = rows.withColumn("q", quantised(F.col("w"), step)).withColumn("w", F.when(inside(F.col("q")) & within(F.col("q"), assets, groups), F.col("q")).otherwise(F.col("w"))).drop("q")
+        return evaluated(rows.where(inside(F.col("w")) & within(F.col("w"), assets, groups)), moments, assets, days)
+
+    points = feasible(seeds)
+    for k in range(rounds):
+        best = best_of_buckets(points, buckets).select("candidate", "w")
+        points = points.unionByName(feasible(walk(best, size / 2**k, tries, seed=42 + k)))
+    return points
+
+
 def envelope(points: DataFrame) -> DataFrame:
     """The frontier: of each risk, at four decimals, the greatest return, and of these only those above all of lower risk."""
     best = points.groupBy(round_even(F.col("risk"), 4).alias("risk")).agg(F.max("ret").alias("ret"))

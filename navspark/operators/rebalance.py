@@ -106,8 +106,7 @@ def paths(panel: DataFrame, weights: DataFrame, rebalances: DataFrame | None = N
 
     # The segments' starts are carried along the dates of each strategy.
     starts = level.select("strategy", F.col("start").alias("date"), F.struct("segment", "level").alias("s"))
-    days = names.join(starts.select("strategy").distinct(), "strategy", "left_semi").crossJoin(F.broadcast(dates))
-    at = days.join(starts, ["strategy", "date"], "left").withColumn("s", F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = names.crossJoin(F.broadcast(dates)).join(starts, ["strategy", "date"], "left").withColumn("s", F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.where("s is not null").select("strategy", "s.segment", "s.level", "date")
     rows = at.join(base.select("strategy", "segment", "asset", "w", "base"), ["strategy", "segment"]).join(panel.select("asset", "date", "nav"), ["asset", "date"], "left")
     share = F.when(F.col("w") > 0, F.coalesce(F.col("w") * F.try_divide("nav", "base"), F.lit(0.0))).otherwise(0.0)

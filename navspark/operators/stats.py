@@ -42,15 +42,23 @@ def tracking_error(series: DataFrame, days: int = DAYS) -> DataFrame:
 
 def tail(series: DataFrame, share: float = 0.01, value: str = "ret") -> DataFrame:
     """(asset, q, es): a quantile and the mean of the returns at or below it, signs as they are."""
-    q = series.groupBy("asset").agg(F.percentile(value, F.lit(share)).alias("q"))
-    return series.join(q, "asset").groupBy("asset").agg(F.first("q").alias("q"), F.avg(F.when(F.col(value) <= F.col("q"), F.col(value))).alias("es"))
+    return series.withColumn("q", _quantile(value, share)).groupBy("asset").agg(F.first("q").alias("q"), _beyond(value))
+
+
+def _quantile(value: str, share: float) -> Column:
+    """The quantile of the row's asset; a window, so that the series is read once."""
+    return F.percentile(value, F.lit(share)).over(Window.partitionBy("asset"))
+
+
+def _beyond(value: str) -> Column:
+    return F.avg(F.when(F.col(value) <= F.col("q"), F.col(value))).alias("es")
 
 
 def performance(nav: DataFrame, days: int = DAYS) -> DataFrame:
     """Annual return and volatility, Sharpe, VaR99, ES99, maximum drawdown and Calmar of each asset's nav."""
     rows = nav.withColumns({"ret": F.try_divide("nav", F.lag("nav").over(by_date())) - 1, "dd": drawdown(F.col("nav"))})
-    base = rows.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.min("dd").alias("mdd"), F.count("ret").alias("n"))
-    out = base.join(tail(rows), "asset")
+    rows = rows.withColumn("q", _quantile("ret", 0.01))
+    out = rows.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.min("dd").alias("mdd"), F.count("ret").alias("n"), F.first("q").alias("q"), _beyond("ret"))
     annual, vol = F.col("m") * days, F.col("s") * F.sqrt(F.lit(days))
     figures = {
         "annual_return": annual, "annual_vol": vol, "sharpe": F.try_divide(annual, vol), "var99": -F.col("q"), "es99": -F.col("es"), "max_drawdown": F.col("mdd"),

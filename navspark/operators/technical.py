@@ -33,6 +33,14 @@ def rolling_correlation(rows: DataFrame, target: str, n: int) -> DataFrame:
     return both.select("asset", "date", F.coalesce(F.when(F.count("*").over(w) == n, ratio), F.lit(0.0)).alias("corr"))
 
 
+def overall_correlation(rows: DataFrame, target: str) -> DataFrame:
+    """(asset, overall, n): correlation of each asset's returns with the target's over all dates that both have; 0 where it is not defined."""
+    other = rows.where(F.col("asset") == target).select("date", F.col("ret").alias("y"))
+    both = rows.where(F.col("asset") != target).join(other, "date").where("ret is not null and y is not null")
+    ratio = F.try_divide(F.covar_samp("ret", "y"), F.stddev_samp("ret") * F.stddev_samp("y"))
+    return both.groupBy("asset").agg(F.coalesce(ratio, F.lit(0.0)).alias("overall"), F.count("*").alias("n"))
+
+
 def rolling_volatility(n: int, column: str = "ret", days: int = DAYS) -> Column:
     """Annualised, in percent, from two returns on."""
     w = trailing(n)

@@ -111,6 +111,22 @@ def page(products: DataFrame, sort_by: str = "issue_amount", descending: bool =
     return ordered.offset((max(1, number) - 1) * size).limit(size)
 
 
+def search_page(products: DataFrame, keyword: str | None, sort_by: str = "issue_amount", descending: bool = True, top: int | None = None, number: int = 1, size: int = 20) -> DataFrame:
+    """One page of a search, with the column total.
+
+    ``total`` counts all that the search finds; of these the ``top`` first, if
+    it is given, are paged.  The count is one row beside the page's.
+    """
+    found = search(products, keyword)
+    if top is not None:
+        column = F.col(sort_by if sort_by in SORTABLE else "issue_amount")
+        ordered = found.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "pos")
+        paged = page(ordered.limit(max(0, top)), sort_by, descending, number, size)
+    else:
+        paged = page(found, sort_by, descending, number, size)
+    return paged.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+
+
 def fuzzy_top(products: DataFrame, text: str, k: int = 10) -> DataFrame:
     """The k products with the text earliest in ``code name``."""
     word = text.strip().lower()

@@ -181,6 +181,22 @@ def schedule(panel: DataFrame, strategies: list[Strategy], dates: DataFrame) ->
     return cut.groupBy("strategy", "at").applyInPandas(one, "strategy string, date date, asset string, weight double")
 
 
+def point_weights(panel: DataFrame, strategy: Strategy, leverage: float = 1.0) -> DataFrame:
+    """(strategy, date, asset, percent): one strategy's weights on the panel's last date, times ``leverage``, in percent with two decimals.
+
+    A risk budget needs three returns; on a shorter panel its weights are in
+    proportion to the budgets, or equal if there are none.
+    """
+    days = panel.agg(F.max("date").alias("date"), F.countDistinct("date").alias("days"))
+    found = schedule(panel, [strategy], days.where("date is not null").select(F.lit(strategy.name).alias("strategy"), "date"))
+    weight = F.col("weight")
+    total = sum(max(0.0, b) for b in strategy.budgets.values())
+    if strategy.kind == "risk_budget" and total > 0:
+        known = F.create_map(*(F.lit(x) for a, b in strategy.budgets.items() for x in (a, max(0.0, b) / total)))
+        weight = F.when(F.col("days") < 4, F.coalesce(F.try_element_at(known, F.col("asset")), F.lit(0.0))).otherwise(weight)
+    return found.crossJoin(F.broadcast(days.select("days"))).select("strategy", "date", "asset", F.round(weight * leverage * 100, 2).alias("percent"))
+
+
 def equal_percents(products: DataFrame, group: str, order: str) -> DataFrame:
     """Equal percents of each group that add up to 100: cents left over go to the first products."""
     from pyspark.sql import Window

@@ -48,8 +48,7 @@ def _dsl_sql(name: str, periods, value: str) -> str:
 
 
 def _evaluated(spark, folder, name):
-    found = dsl.evaluate(v.event_returns(spark, folder), dsl.profile(dsl.profiles(PROFILE)))
-    return v.rounded(found.where(F.col("indicator") == name))
+    return v.rounded(dsl.evaluate(v.event_returns(spark, folder), dsl.profile(dsl.profiles(PROFILE)), [name]))
 
 
 @query(f"WITH {_BASE} {_dsl_sql('cumulative', ['1W', '2W', '1M'], _CUM)}")

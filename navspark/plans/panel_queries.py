@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from navspark.operators import panel as p
 from navspark.operators import stats as s
+from navspark.operators import technical as t
 from navspark.plans import views as v
 from navspark.plans.registry import query
 from navspark.sources.tables import table
@@ -91,6 +92,18 @@ def class_nav(spark, folder):
     return _class_nav(spark, folder).select("asset", "date", F.round("ret", 6).alias("ret"), F.round(F.ln("nav"), 5).alias("log_nav"))
 
 
+_TWO = f"""{_CLASS_SQL}, two AS (SELECT x.date, x.ret AS x, y.ret AS y FROM c x JOIN c y ON x.date = y.date WHERE x.asset = 'growth' AND y.asset = 'steady')"""
+_W20 = "OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""WITH {_TWO}, o AS (SELECT covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) AS overall, count(*) AS n FROM two)
+SELECT 'growth' AS asset, date, round(coalesce(CASE WHEN count(*) {_W20} = 20 THEN covar_samp(x, y) {_W20} / nullif(stddev_samp(x) {_W20} * stddev_samp(y) {_W20}, 0) END, 0), 5) AS corr, round(coalesce(overall, 0), 5) AS overall, n FROM two CROSS JOIN o""")
+def class_rolling_corr(spark, folder):
+    rows = _class_returns(spark, folder).select("asset", "date", "ret")
+    found = t.rolling_correlation(rows, "steady", 20).join(t.overall_correlation(rows, "steady"), "asset")
+    return v.rounded(found, 5)
+
+
 def _performance_sql(source: str, value: str = "ret") -> str:
     return f"""pq AS (SELECT asset, quantile_cont({value}, 0.01) AS q FROM {source} GROUP BY asset), pd AS (SELECT *, nav / max(nav) {_SO_FAR} - 1 AS dd FROM {source}),
 pm AS (SELECT pd.asset, avg({value}) * {DAYS} AS a, stddev_samp({value}) * sqrt({DAYS}) AS s, -any_value(q) AS var99, -avg(CASE WHEN {value} <= q THEN {value} END) AS es99, min(dd) AS mdd FROM pd JOIN pq ON pd.asset = pq.asset GROUP BY pd.asset)

@@ -54,6 +54,34 @@ def frontier_group_limits(spark, folder):
     return f.lattice(spark, ASSETS).where(f.within(F.col("w"), ASSETS, groups)).select("candidate")
 
 
+_LIMITS = [(("click", "purchase"), 0.3, 0.7)]
+
+
+@query(f"WITH {_LATTICE}, f AS (SELECT * FROM pts WHERE w1 <= 0.6 + 1e-9 AND w2 <= 0.6 + 1e-9 AND w3 >= 0.1 - 1e-9 AND w1 + w2 BETWEEN 0.3 - 1e-9 AND 0.7 + 1e-9), e AS (SELECT round_even(risk, 4) AS risk, max(ret) AS ret FROM f GROUP BY 1), t AS (SELECT *, max(ret) OVER (ORDER BY risk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e) SELECT round(risk, 4) AS risk, round(ret, 5) AS ret FROM t WHERE top IS NULL OR ret > top")
+def frontier_exploration_lattice(spark, folder):
+    """The exploration without walks, whose seeds are the lattice points within the bounds."""
+    seeds = f.lattice(spark, ASSETS).where((F.col("w")[0] <= 0.6 + 1e-9) & (F.col("w")[1] <= 0.6 + 1e-9) & (F.col("w")[2] >= 0.1 - 1e-9))
+    points = f.explored(seeds, _moments(spark, folder), ASSETS, (0.0, 0.0, 0.1), (0.6, 0.6, 1.0), _LIMITS, rounds=0, step=0.1)
+    return f.envelope(points).select(F.round("risk", 4).alias("risk"), F.round("ret", 5).alias("ret"))
+
+
+@query()
+def frontier_exploration(spark, folder):
+    """The whole exploration: random seeds, repair, group limits and two rounds of walks."""
+    points = f.explored(f.random_weights(spark, 3, 2000), _moments(spark, folder), ASSETS, (0.0, 0.0, 0.1), (0.6, 0.6, 1.0), _LIMITS, rounds=2)
+    return v.rounded(f.envelope(points), 5)
+
+
+@query(f"WITH {v.EVENTS}, d AS (SELECT max(date) AS date FROM ev) SELECT 'fixed' AS strategy, d.date, asset, round(CASE asset WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0 END / 3 * 150, 2) AS percent FROM (SELECT DISTINCT asset FROM ev) CROSS JOIN d")
+def point_weights_fixed(spark, folder):
+    return weights.point_weights(v.events(spark, folder), weights.Strategy("fixed", weights={"click": 2, "view": 1}), leverage=1.5)
+
+
+@query()
+def point_weights_budget(spark, folder):
+    return weights.point_weights(v.events(spark, folder), weights.Strategy("budget", "risk_budget", budgets={"click": 0.4, "purchase": 0.3, "view": 0.3}))
+
+
 @query(f"WITH {_LATTICE}, h AS (SELECT min(ret) AS lo, max(ret) AS hi FROM pts), b AS (SELECT CAST(least(coalesce(floor((ret - lo) / nullif(hi - lo, 0) * 7), 0), 6) AS BIGINT) AS bucket, * FROM pts CROSS JOIN h), o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY risk, candidate) AS k FROM b) SELECT bucket, candidate FROM o WHERE k = 1")
 def frontier_buckets(spark, folder):
     return f.best_of_buckets(_points(spark, folder), 7).select(F.col("bucket").cast("bigint").alias("bucket"), "candidate")

@@ -94,6 +94,13 @@ def product_search(spark, folder):
     return u.search(universe(spark, folder), " 1.S ").select("pos", "ts_code", "name")
 
 
+@query(f"""WITH {UNIVERSE}, s AS (SELECT pos, ts_code, list_date FROM universe WHERE contains(lower(coalesce(code, '')), '1') OR contains(lower(coalesce(ts_code, '')), '1') OR contains(lower(coalesce(name, '')), '1') OR contains(lower(coalesce(management, '')), '1')),
+k AS (SELECT * FROM s ORDER BY list_date ASC NULLS LAST, pos LIMIT 50) SELECT pos, ts_code, (SELECT count(*) FROM s) AS total FROM k ORDER BY list_date ASC NULLS LAST, pos LIMIT 20 OFFSET 20""")
+def product_search_page(spark, folder):
+    rows = universe(spark, folder).select("pos", "code", "ts_code", "name", "management", "list_date")
+    return u.search_page(rows, "1", "list_date", descending=False, top=50, number=2, size=20).select("pos", "ts_code", "total")
+
+
 @query(f"WITH {UNIVERSE} SELECT pos, ts_code FROM universe WHERE contains(lower(code || ' ' || name || ' ' || coalesce(management, '')), 'brand#2')")
 def product_search_joined(spark, folder):
     return u.search_joined(universe(spark, folder), "Brand#2").select("pos", "ts_code")

@@ -208,3 +208,51 @@ def test_streamed_panel_equals_batch(spark, folder, tmp_path):
     # The days within the watermark are still open.
     assert got and all(want[key] == v for key, v in got.items())
     assert max(d for _, d in want) - max(d for _, d in got) <= dt.timedelta(4)
+
+
+def test_exploration_stays_feasible_and_gains(spark):
+    moments = spark.createDataFrame([(a, b, m, c) for (a, m), row in zip((("x", 0.001), ("y", 0.0005), ("z", 0.0002)), ((4e-4, 1e-5, 0.0), (1e-5, 1e-4, 2e-6), (0.0, 2e-6, 9e-6))) for b, c in zip("xyz", row)], "a string, b string, mean_a double, cov double")
+    low, high, groups = (0.0, 0.1, 0.0), (0.5, 0.8, 0.6), [(("x", "y"), 0.4, 0.9)]
+    seeds = frontier.random_weights(spark, 3, 300)
+    first = frontier.explored(seeds, moments, "xyz", low, high, groups, rounds=0)
+    points = frontier.explored(seeds, moments, "xyz", low, high, groups, rounds=2, buckets=8)
+    rows = points.collect()
+    assert len(rows) > first.count() > 0
+    for r in rows:
+        assert abs(sum(r.w) - 1) < 1e-9 and all(lo - 1e-9 <= x <= hi + 1e-9 for x, lo, hi in zip(r.w, low, high)) and 0.4 - 1e-9 <= r.w[0] + r.w[1] <= 0.9 + 1e-9
+        w = np.array(r.w)
+        assert r.ret == pytest.approx(w @ [0.001, 0.0005, 0.0002] * 252) and r.risk == pytest.approx((w @ [[4e-4, 1e-5, 0], [1e-5, 1e-4, 2e-6], [0, 2e-6, 9e-6]] @ w * 252) ** 0.5)
+    assert min(r.risk for r in rows) <= min(r.risk for r in first.collect())
+    stepped = frontier.explored(frontier.lattice(spark, "xyz"), moments, "xyz", low, high, groups, rounds=1, step=0.05).where(F.expr("exists(w, x -> abs(x * 20 - round(x * 20)) < 1e-6)"))
+    assert stepped.count() > 0
+
+
+def test_point_weights(spark):
+    rng = np.random.default_rng(2)
+    nav = np.cumprod(1 + rng.normal(0.001, [0.01, 0.02, 0.04], (200, 3)), axis=0)
+    rows = [(a, dt.date(2024, 1, 1) + dt.timedelta(d), float(nav[d, i])) for d in range(200) for i, a in enumerate("xyz")]
+    panel_rows = spark.createDataFrame(rows, "asset string, date date, nav double")
+    s = weights.Strategy("rp", "risk_budget", budgets={"x": 0.5, "y": 0.3, "z": 0.2})
+    found = {r.asset: r.percent for r in weights.point_weights(panel_rows, s, leverage=2.0).collect()}
+    w = np.array([found[a] for a in "xyz"]) / 200
+    cov = np.cov((nav[1:] / nav[:-1] - 1).T)
+    share = w * (cov @ w) / (w @ cov @ w)
+    assert sum(found.values()) == pytest.approx(200, abs=0.02) and np.allclose(share, [0.5, 0.3, 0.2], atol=2e-3)
+    short = weights.point_weights(panel_rows.where("date <= date'2024-01-03'"), s)
+    assert {r.asset: r.percent for r in short.collect()} == {"x": 50.0, "y": 30.0, "z": 20.0}
+    assert weights.point_weights(panel_rows.limit(0), s).count() == 0
+
+
+def test_leading_share_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (150, 4)) @ rng.normal(0, 1, (4, 4))
+    rows = spark.createDataFrame([(f"a{i}", dt.date(2024, 1, 1) + dt.timedelta(d), float(x[d, i])) for d in range(150) for i in range(4)], "asset string, date date, ret double")
+    values = np.linalg.eigvalsh(np.cov(x.T))
+    assert weights.leading_share(rows).first().share == pytest.approx(values[-1] / values.sum())
+
+
+def test_search_page(spark):
+    rows = spark.createDataFrame([(i, f"code{i}", f"name {i % 3}", float(i % 5)) for i in range(30)], "pos int, code string, name string, issue_amount double")
+    found = universe.search_page(rows, "name 1", top=7, number=2, size=5).collect()
+    best = sorted((i for i in range(30) if i % 3 == 1), key=lambda i: (-(i % 5), i))[:7][5:]
+    assert [r.pos for r in found] == best and {r.total for r in found} == {10}
