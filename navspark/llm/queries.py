@@ -150,9 +150,9 @@ _UNIT = r"trim(regexp_replace(lower({}), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
 OP9_SQL = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM conversations),
 s AS (SELECT r, conv_id, turn, string_split_regex(text, '\r?\n') AS ls FROM m WHERE text IS NOT NULL),
 l AS (SELECT r, conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM s),
-v AS (SELECT r, conv_id, turn, pos, line, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \t]*>)+', '') AS body FROM l),
-own AS (SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS cut, max(level) AS quoted FROM v GROUP BY r),
-clean AS (SELECT m.*, coalesce(own.quoted, 0) AS quoted, CASE WHEN own.quoted > 0 THEN coalesce(own.cut, '') ELSE m.text END AS said FROM m LEFT JOIN own ON m.r = own.r),
+v AS (SELECT * FROM (SELECT r, conv_id, turn, pos, line, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \t]*>)+', '') AS body FROM l) WHERE NOT regexp_matches(body, '{quotes.ATTRIBUTION}')),
+own AS (SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS cut FROM v GROUP BY r),
+clean AS (SELECT m.*, CASE WHEN regexp_matches(m.text, '(?m)^(?:[ \t]*>)+') THEN coalesce(own.cut, '') ELSE m.text END AS said FROM m LEFT JOIN own ON m.r = own.r),
 i AS (SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY r ORDER BY pos) AS before FROM v)),
 q AS (SELECT r, conv_id, turn, run, level, min(pos) AS pos, list(body ORDER BY pos) AS bodies FROM i WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 qu AS (SELECT r, conv_id, turn, run, level, pos, 0 AS rank, array_to_string(bodies, chr(10)) AS t FROM q
@@ -173,11 +173,13 @@ par AS (SELECT r, count(*) AS n_linked, min(row(level, pos, best[3], best[4])) A
 num AS (SELECT r, count(*) AS n_quotes FROM q GROUP BY r),
 step AS (SELECT m.conv_id, m.turn, min(row(par.up[3], par.up[4])) AS up FROM par JOIN m ON par.r = m.r GROUP BY ALL),
 walk AS (SELECT conv_id, turn, up, 1 AS depth FROM step UNION ALL SELECT walk.conv_id, walk.turn, step.up, walk.depth + 1 FROM walk JOIN step ON row(step.conv_id, step.turn) = walk.up),
-root AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(up, depth) AS up FROM walk GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.role, CAST(coalesce(num.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(par.n_linked, 0) AS BIGINT) AS n_linked,
+root AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(up, depth) AS up FROM walk GROUP BY ALL),
+done AS (SELECT c.conv_id, c.turn, c.role, CAST(coalesce(num.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(par.n_linked, 0) AS BIGINT) AS n_linked,
   par.up[3] AS parent_conv, par.up[4] AS parent_turn, coalesce(root.up[1], c.conv_id) AS thread_conv, coalesce(root.up[2], c.turn) AS thread_turn,
-  CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, md5(c.said) AS text_md5
-FROM clean c LEFT JOIN num ON c.r = num.r LEFT JOIN par ON c.r = par.r LEFT JOIN root ON c.conv_id = root.conv_id AND c.turn = root.turn"""
+  CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, c.said
+FROM clean c LEFT JOIN num ON c.r = num.r LEFT JOIN par ON c.r = par.r LEFT JOIN root ON c.conv_id = root.conv_id AND c.turn = root.turn)
+SELECT * EXCLUDE (said), md5(said) AS text_md5, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 0
+  ELSE row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, said NULLS FIRST) - 1 END AS position FROM done"""
 
 #: OP9_SQL on the conversations as mail.
 OP9_MAIL_SQL = OP9_SQL.replace("FROM conversations)", r"""FROM (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL THEN concat_ws(chr(10),

@@ -738,8 +738,21 @@ def test_quotes(spark):
     assert quotes.linked(df).count() == len(TALK) and quotes.linked(df.limit(0)).count() == 0
 
 
+def test_conversations(spark):
+    talk = [(1, 0, "a", "What is up?"), (1, 1, "b", "On Monday, a wrote:\n> What is up?\nNot much."), (7, 0, "c", "-----Original Message-----\n> Not much.\n>> On Monday, a wrote:\n>> What is up?\nSame here."), (8, 0, "d", "On Friday we wrote:"), (None, 0, "e", "x"), (None, 0, "e", "y")]
+    talk += [(9, 0, "a", "A start."), *((10, k, "b", "> A start.\nNumber %d." % k) for k in range(600))]
+    linked = quotes.linked(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string"))
+    found = {(r.thread_conv, r.thread_turn, r.part): [tuple(m) for m in r.messages] for r in quotes.conversations(linked).collect() if r.thread_conv is not None}
+    assert found[1, 0, 0] == [("a", "What is up?"), ("b", "Not much."), ("c", "Same here.")] and found[8, 0, 0] == [("d", "On Friday we wrote:")]
+    assert [len(found[9, 0, k]) for k in range(3)] == [256, 256, 89] and [m for k in range(3) for m in found[9, 0, k]][1:] == [("b", f"Number {k}.") for k in range(600)]
+    assert len(found) == 5 and quotes.conversations(linked).where("thread_conv is null and n_messages = 1").count() == 2
+    assert quotes.conversations(linked.limit(0)).count() == 0
+    long = quotes.linked(spark.createDataFrame([(1, 0, "a", "line of a text\n" * 50_000), (1, 1, "b", "> line of a text\n" * 50_000 + "Yes.")], "conv_id bigint, turn bigint, role string, text string"))
+    assert [(r.turn, r.parent_turn, r.position) for r in long.orderBy("turn").collect()] == [(0, None, 0), (1, 0, 1)]
+
+
 def test_quotes_equal_sql(spark):
-    df = spark.createDataFrame(TALK, "conv_id bigint, turn bigint, role string, text string")
+    df = spark.createDataFrame([*TALK, (4, 0, "user", "On Monday, x wrote:\n> We rest.\nYes."), (4, 1, "user", "> On Monday, y wrote:"), (4, 1, "user", None)], "conv_id bigint, turn bigint, role string, text string")
     con = duckdb.connect()
     con.register("given", df.toArrow())
     con.execute("create view conversations as select * from given")
