@@ -227,7 +227,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
     return sets.withColumn("element", F.explode("elements")).drop("elements")
 
 
-def _by_rare(here: DataFrame, members: DataFrame, sets: DataFrame, spread: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+def _by_rare(here: DataFrame, bands: DataFrame, sets: DataFrame, spread: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, n) pairs that may join classes which share a bucket.
 
     Of two texts of different classes in a bucket at least one is outside the
@@ -262,9 +262,9 @@ def _by_rare(here: DataFrame, members: DataFrame, sets: DataFrame, spread: DataF
     met = scratch.staged(met.select("a", "b").distinct(), "met")
     twice = met.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a > b")
     met = met.join(twice, ["a", "b"], "left_anti")
-    at = members.select("node", "key")
-    together = met.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["b", "key"], "left_semi")
-    return together.select("a", "b").distinct().withColumn("n", F.lit(16 * GROUP))
+    keys = [bands.select(F.col("node").alias(end), F.col("keys").alias(f"keys_{end}")) for end in ("a", "b")]
+    together = met.join(keys[0], "a").join(keys[1], "b").where(F.arrays_overlap("keys_a", "keys_b"))
+    return together.select("a", "b").withColumn("n", F.lit(16 * GROUP))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # What large buckets still hold apart is compared where its rarest shingles meet.
             here = _apart(many.drop("comp"), label, scratch)
             if not here.isEmpty():
-                found = put(_untested(_by_rare(here, members, sets, spread, own, scratch), tested), "pairs")
+                found = put(_untested(_by_rare(here, nodes.select("node", F.array(*keys).alias("keys")), sets, spread, own, scratch), tested), "pairs")
                 if not found.isEmpty():
                     new = put(verified(found, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
                     label, links = put(merged(label, new, "a", "b"), "label"), links.unionByName(new)
@@ -379,7 +379,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of rows of one id whose texts differ in case or white space only, one stays.
     """
     found = near_duplicates(docs, id_col, text_col).where("is_kept")
-    kept = found.where("not is_lone").groupBy("doc_id", "h1", "h2").agg(F.min("raw").alias("raw"), F.count("*").alias("n"))
+    # Grouped by a struct, so that the join before, by the hashes, stays one that adaptive execution can split.
+    kept = found.where("not is_lone").groupBy("doc_id", F.struct("h1", "h2").alias("node")).agg(F.min("raw").alias("raw"), F.count("*").alias("n"))
     lone = found.where("is_lone").select("doc_id", "raw").distinct().withColumn("n", F.lit(1))
     kept = staged(kept.select("doc_id", "raw", "n").unionByName(lone).toDF("id of kept", "raw of kept", "times"), "kept")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("id of kept")) & (_raw(text_col) == F.col("raw of kept"))
