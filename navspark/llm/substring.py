@@ -52,15 +52,15 @@ def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return starts, (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64), hashed
 
 
-def pieces(words: Words, window: int) -> Iterator[tuple[Words, int]]:
-    """(words, base) of pieces of under 2^24 words of a slice of texts.
+def pieces(words: Words, window: int, limit: int = 1 << 24) -> Iterator[tuple[Words, int]]:
+    """(words, base) of pieces of under ``limit`` words, 2^24, of a slice of texts.
 
     A text of more words is one slice; it comes in pieces that overlap by
     ``window - 1`` words, so each window is in exactly one.  ``base`` is the
     place of the piece's first word in the text.
     """
-    most = 1 << 23
-    if len(words.codes) < (1 << 24):
+    most = limit - window  # a piece has window - 1 more
+    if len(words.codes) < limit:
         yield words, 0
         return
     for text in range(len(words.lengths)):

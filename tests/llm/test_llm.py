@@ -408,8 +408,24 @@ def test_substring_equals_brute_force(spark, monkeypatch):
 
 
 def test_substring_pieces_of_long_texts():
-    w = Words(pa.array(["a b c d e f g h"]))
-    assert [base for _, base in substring.pieces(w, 3)] == [0]
+    """Pieces of 64 words: each window is in one of them, with the anchor that it has in the whole text."""
+    rng = random.Random(11)
+    texts = [prose(rng, 500), prose(rng, 20), "", prose(rng, 35), "q " * 200]
+    w = Words(pa.array(texts))
+    assert [base for _, base in substring.pieces(w, 35)] == [0]
+    starts, place, hashed = substring.anchors(w, 35, 18)
+    whole = {(int(np.searchsorted(w.starts, s, side="right")) - 1, int(s)): hashed[p] for s, p in zip(starts, place)}
+    # An empty text starts where the next one does.
+    whole = {int(s): h for (_, s), h in whole.items()}
+    found = {}
+    for piece, base in substring.pieces(w, 35, limit=64):
+        assert len(piece.codes) < 64
+        at, where, grams_of = substring.anchors(piece, 35, 18)
+        for s, p in zip(at, where):
+            key = int(w.starts[piece.text]) + base + int(s)
+            assert key not in found
+            found[key] = grams_of[p]
+    assert found == whole
 
 
 # 5. SentencePiece.
