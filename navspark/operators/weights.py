@@ -161,24 +161,28 @@ def schedule(panel: DataFrame, strategies: list[Strategy], dates: DataFrame) ->
 
     ``panel`` (asset, date, nav) has a nav for every asset on every date.  Each
     date's history is what ``window_mode`` and ``length`` leave of the rows up
-    to it; the pairs are spread over the cluster, and only a group's matrix of
-    histories is in one task.
+    to it.  Strategies with windows of one length share a date's history, which
+    is one group: the numbers of its dates are joined with the panel on
+    equality, and only its matrix is in one task.
     """
     spark = panel.sparkSession
     models = {s.name: s for s in strategies}
     numbered = panel.select("date").distinct().withColumn("k", F.expr("row_number() over (order by date)"))
     spans = spark.createDataFrame([(s.name, max(2, int(s.length or 0)) if (s.window_mode or "all").lower() == "rollingn" else 1 << 30) for s in strategies], "strategy string, span int")
     wanted = dates.join(numbered, "date").join(F.broadcast(spans), "strategy").select("strategy", F.col("date").alias("at"), F.col("k").alias("upto"), "span")
-    cut = wanted.join(panel.join(numbered, "date"), (F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("span")))
+    # As many names as strategies at most.
+    wanted = wanted.groupBy("span", "at", "upto").agg(F.array_sort(F.collect_set("strategy")).alias("names"))
+    first = F.greatest(F.lit(1), F.col("upto") - F.col("span") + 1)
+    cut = wanted.select("span", "at", "names", F.explode(F.sequence(first, "upto")).alias("k")).join(panel.join(numbered, "date"), "k")
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nav = rows.pivot(index="date", columns="asset", values="nav").sort_index().sort_index(axis=1)
         returns = nav.pct_change().iloc[1:].to_numpy(float)
         returns = returns[np.isfinite(returns).all(axis=1)]
-        w = solve(returns, list(nav.columns), models[key[0]])
-        return pd.DataFrame({"strategy": key[0], "date": key[1], "asset": list(nav.columns), "weight": w})
+        assets = list(nav.columns)
+        return pd.concat([pd.DataFrame({"strategy": name, "date": key[1], "asset": assets, "weight": solve(returns, assets, models[name])}) for name in rows["names"].iloc[0]])
 
-    return cut.groupBy("strategy", "at").applyInPandas(one, "strategy string, date date, asset string, weight double")
+    return cut.groupBy("span", "at").applyInPandas(one, "strategy string, date date, asset string, weight double")
 
 
 def point_weights(panel: DataFrame, strategy: Strategy, leverage: float = 1.0) -> DataFrame:
