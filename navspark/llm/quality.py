@@ -314,8 +314,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
         table = scratch.staged(_featured(rows), "features")
         sides = []
         for found in (_least(keys.join(trusted, "doc_id", "left_semi"), most), _least(keys, most)):
-            x = {r.key: r.x for r in table.where(F.col("key").isin(found)).dropDuplicates(["key"]).collect()} if found else {}
-            sides.append(np.array([x[k] for k in found], float).reshape(len(found), N_FEATURES))
+            if not found:
+                sides.append(np.zeros((0, N_FEATURES)))
+                continue
+            # As Arrow, which is a tenth of rows of Python numbers.
+            rows = table.where(F.col("key").isin(found)).dropDuplicates(["key"]).toArrow().combine_chunks()
+            order = np.argsort(rows.column("key").to_numpy())
+            sides.append(_matrix(rows.column("x").combine_chunks())[order])
         positive, unlabelled = sides
         if min(len(positive), len(unlabelled)) < 4:
             return fit(positive, unlabelled)
