@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm import decontaminate, html, labelled_pages, near, pieces, prints, quality, quotes, substring, urls, warc
+from navspark.llm import bpe, decontaminate, html, labelled_pages, near, pieces, prints, quality, quotes, resample, substring, urls, variants, warc
+from navspark.llm.oracles import OP12_SQL, OP13_SQL
 from navspark.llm.shared import staged
 
 #: The SentencePiece model of op5 and of the pipeline; NAVSPARK_PIECES overrides it.
 PIECES = os.environ.get("NAVSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: The word tokenizer of op11; NAVSPARK_WORD_BPE overrides it.
+WORD_BPE = os.environ.get("NAVSPARK_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,6 +112,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A null text is encoded as the empty one.
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = bpe.encoded(docs, bpe.model_bytes(WORD_BPE))
+    ids = F.array_join(F.col("bpe ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("bpe ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bpe text", 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -117,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [
     op1_html_extract, op2_warc_revisits, op3_decontaminate, op4_substring_dedup, op5_sentencepiece, op6_quality, op7_minhash_dedup, op8_url_filter,
-    op9_quote_links, op10_fingerprints, pipeline,
+    op9_quote_links, op10_fingerprints, op11_bpe, op12_spelling_variants, op13_resample, pipeline,
 ]
 
 _CANONICAL = r"""regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[.]', '') AS h0,
@@ -187,7 +207,7 @@ OP9_MAIL_SQL = OP9_SQL.replace("FROM conversations)", r"""FROM (SELECT c.conv_id
   LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY ALL) a ON c.conv_id = a.conv_id AND c.turn = a.turn
   LEFT JOIN (SELECT conv_id, turn + 2 AS turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY ALL) b ON c.conv_id = b.conv_id AND c.turn = b.turn))""", 1)
 
-_SQL = {"op2_warc_revisits": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_quote_links": OP9_MAIL_SQL}
+_SQL = {"op2_warc_revisits": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_quote_links": OP9_MAIL_SQL, "op12_spelling_variants": OP12_SQL, "op13_resample": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
