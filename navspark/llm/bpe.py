@@ -58,21 +58,23 @@ class Merges:
         self.made = [-1] * size
         self.rank: dict[int, int] = {}
         final = {vocabulary[c + suffix] for c in letters} if suffix else set()
+        whole = {vocabulary[c] for c in letters} | {vocabulary[c + suffix] for c in letters}
+        made = set(whole)
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            x, y, whole = vocabulary[a], vocabulary[b], vocabulary[a + b]
+            x, y, new = vocabulary[a], vocabulary[b], vocabulary[a + b]
+            if not {x, y} <= made:
+                raise ValueError(f"merge {rank} comes before those of its parts")
             self.rank.setdefault(x << 32 | y, rank)
-            if self.made[whole] >= 0:
+            if new in made:
                 continue  # made otherwise, by an earlier merge
-            if max(self.made[x], self.made[y]) >= rank:
-                raise ValueError(f"merge {rank} comes before those of its parts")
-            self.left[whole], self.right[whole], self.made[whole] = x, y, rank
+            made.add(new)
+            self.left[new], self.right[new], self.made[new] = x, y, rank
             if y in final:
-                final.add(whole)
+                final.add(new)
         #: Tokens by their letters, apart for those that end a word; only those that encode to themselves.
         self.inner: dict[str, int] = {}
         self.last: dict[str, int] = {}
-        whole = {vocabulary[c] for c in letters} | {vocabulary[c + suffix] for c in letters}
         by_rank = sorted(((self.made[i], text, i) for text, i in vocabulary.items() if i in whole or self.made[i] >= 0))
         for rank, text, i in by_rank:
             if rank >= 0:

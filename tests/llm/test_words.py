@@ -17,12 +17,16 @@ from navspark.llm import bpe, queries, resample, variants
 
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "one two"), (5, "one two"), (None, "one two three four five six seven"), (None, None), (6, "x" * 300_000), (7, "the " * 40_000), (8, "spelling spelling Spelling")]
 SCHEMA = "doc_id bigint, text string"
-CLASH = {"word": F.lit(1), "n": F.lit("n"), "key": F.lit(2), "bucket": F.lit(3), "rank": F.lit("r"), "row": F.lit(0.5), "id": F.lit(None).cast("string"), "words": F.lit(1)}
+
+
+def clashing(df):
+    """``df`` with columns named like those that the operators use inside."""
+    return df.selectExpr("*", "1 AS word", "'n' AS n", "2 AS key", "3 AS bucket", "'r' AS rank", "0.5D AS row", "cast(null AS string) AS id", "1 AS words")
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).withColumns(CLASH)
+    return clashing(spark.createDataFrame(ODD, SCHEMA))
 
 
 @pytest.fixture(scope="module")
@@ -226,7 +230,7 @@ def test_vocabulary(spark, odd, empty):
                 run = run[: h % len(run)] + run[h % len(run) + 1 :]
             if len(run) >= 7:
                 count[run] += 1
-    found = {r.word: r.n for r in variants.vocabulary(spark.createDataFrame(docs, SCHEMA).withColumns(CLASH)).collect()}
+    found = {r.word: r.n for r in variants.vocabulary(clashing(spark.createDataFrame(docs, SCHEMA))).collect()}
     assert found == {w: n for w, n in count.items() if n >= 2}
     assert {r.word: r.n for r in variants.variants(odd).collect()} == {"spelling": 3} and variants.variants(empty).count() == 0
 
@@ -262,7 +266,7 @@ def by_wording(docs, target):
 
 
 def check_resampled(spark, docs, target):
-    frame = spark.createDataFrame(docs, SCHEMA).withColumns(CLASH)
+    frame = clashing(spark.createDataFrame(docs, SCHEMA))
     found = resample.resampled(frame, spark.createDataFrame([(t,) for t in target], "text string")).collect()
     rows, drawn = by_wording(docs, target)
     assert sorted(((r.doc_id, r.n_features, r.weight, r.score) for r in found), key=repr) == rows
