@@ -185,11 +185,10 @@ def max_drawdown_rate_and_recovery_days(s: Column) -> Column:
     low = F.array_position(falls, worst).cast("int")
     peak = F.array_max(F.slice(s, 1, low))
     top = F.array_position(F.slice(s, 1, low), peak).cast("int")
-    # The last place of the peak before the fall.
-    last = low + 1 - F.array_position(F.reverse(F.slice(s, 1, low)), peak).cast("int")
     after = F.slice(s, low + 1, F.size(s))
     back = F.element_at(F.filter(F.transform(after, lambda x, i: F.when(x >= peak, i + 1)), lambda i: i.isNotNull()), 1)
-    steps = F.when(worst == 0, F.lit(0.0)).when(F.exists(after, lambda x: x >= peak), (low + back - last).cast("double"))
+    # Of equal peaks the first counts: only a higher value is a new peak.
+    steps = F.when(worst == 0, F.lit(0.0)).when(F.exists(after, lambda x: x >= peak), (low + back - top).cast("double"))
     return F.struct(F.when(worst == 0, F.lit(0.0)).otherwise(-worst).alias("rate"), F.when(top.isNotNull(), steps).alias("steps"))
 
 

@@ -185,11 +185,13 @@ def derived(panel: DataFrame, fees: DataFrame, start: str | None = None, end: st
 def recovery(nav: DataFrame) -> DataFrame:
     """(asset, max_drawdown, recovery): the deepest fall as a positive rate and the steps from its peak to the first nav as high again.
 
-    Never recovered is null; a path that never falls has 0 and 0.
+    Never recovered is null; a path that never falls has 0 and 0.  Of equal
+    peaks the first counts: only a higher nav is a new peak.
     """
     rows = nav.withColumns({"i": F.row_number().over(by_date()), "peak": F.max("nav").over(so_far())})
     rows = rows.withColumn("dd", F.when(F.col("peak") > 0, 1 - F.col("nav") / F.col("peak")))
-    rows = rows.withColumn("peak_i", F.max(F.when(F.col("nav") == F.col("peak"), F.col("i"))).over(so_far()))
+    before = F.max("nav").over(by_date().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", before.isNull() | (F.col("nav") > before)).withColumn("peak_i", F.max(F.when(F.col("new") & F.col("nav").isNotNull(), F.col("i"))).over(so_far()))
     worst = rows.groupBy("asset").agg(F.max(F.struct("dd", (-F.col("i")).alias("i"), "peak", "peak_i")).alias("w")).select("asset", F.col("w.dd").alias("max_drawdown"), (-F.col("w.i")).alias("low_i"), F.col("w.peak").alias("peak"), F.col("w.peak_i").alias("peak_i"))
     back = rows.select("asset", "i", "nav").join(worst, "asset").groupBy("asset").agg(F.first("max_drawdown").alias("max_drawdown"), F.min(F.when((F.col("i") > F.col("low_i")) & (F.col("nav") >= F.col("peak")), F.col("i") - F.col("peak_i"))).alias("steps"))
     return back.select("asset", "max_drawdown", F.when(F.col("max_drawdown") == 0, 0).otherwise(F.col("steps")).cast("bigint").alias("recovery"))

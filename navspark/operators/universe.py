@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.clean import INACTIVE, facet, strip_suffix
+from navspark.sources.shared import once
 
+# The columns that are searched, that pages sort by, and that searches sort by; the first of each is the default.
 SEARCHED = ("ts_code", "code", "name", "management")
-SORTABLE = ("issue_amount", "m_fee", "c_fee", "exp_return", "duration_year", "list_date", "name")
+SORTABLE = ("issue_amount", "m_fee", "c_fee", "exp_return", "duration_year", "list_date", "found_date", "issue_date", "name")
+SEARCH_SORTS = ("name", "code", "management", "found_date")
 
 
 def terms(values: str | Sequence[str] | None) -> list[str]:
@@ -105,26 +108,33 @@ def listings(products: DataFrame) -> DataFrame:
 
 
 def page(products: DataFrame, sort_by: str = "issue_amount", descending: bool = True, number: int = 1, size: int = 20) -> DataFrame:
-    """One page in the order of a sortable column, nulls last, ties in table order; Spark keeps only the rows up to its end."""
-    column = F.col(sort_by if sort_by in SORTABLE else "issue_amount")
-    ordered = products.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "pos")
-    return ordered.offset((max(1, number) - 1) * size).limit(size)
+    """One page in the order of a sortable column, nulls last, ties in table order; Spark keeps only the rows up to its end.
+
+    An unknown column sorts like the default; one that the table lacks leaves table order.
+    """
+    name = sort_by if sort_by in SORTABLE else SORTABLE[0]
+    order = [F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()] if name in products.columns else []
+    return products.orderBy(*order, "pos").offset((max(1, number) - 1) * size).limit(size)
 
 
-def search_page(products: DataFrame, keyword: str | None, sort_by: str = "issue_amount", descending: bool = True, top: int | None = None, number: int = 1, size: int = 20) -> DataFrame:
-    """One page of a search, with the column total.
+def search_page(products: DataFrame, keyword: str | None, sort_by: str = "name", descending: bool = False, top: int | None = None, number: int = 1, size: int = 10) -> DataFrame:
+    """One page of a search in ``code name management``, with the column total.
 
-    ``total`` counts all that the search finds; of these the ``top`` first, if
-    it is given, are paged.  The count is one row beside the page's.
+    Sorted as text, a missing value being the empty text; an unknown column
+    sorts by name, and ties keep table order either way.  ``total`` counts all
+    that the search finds; of these the ``top`` first, if given, are paged.  A
+    page beyond the end is one row with nothing but the total.
     """
-    found = search(products, keyword)
-    if top is not None:
-        column = F.col(sort_by if sort_by in SORTABLE else "issue_amount")
-        ordered = found.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "pos")
-        paged = page(ordered.limit(max(0, top)), sort_by, descending, number, size)
-    else:
-        paged = page(found, sort_by, descending, number, size)
-    return paged.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+    found = search_joined(products, keyword or "")
+    name = sort_by if sort_by in SEARCH_SORTS else SEARCH_SORTS[0]
+    key = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in products.columns else F.lit("")
+    ordered = found.orderBy(key.desc() if descending else key.asc(), "pos")
+    first, last = (max(1, number) - 1) * size, max(1, number) * size
+    if top is not None and top > 0:
+        last = min(last, top)
+    paged = ordered.offset(first).limit(max(0, last - first))
+    total = found.agg(F.count("*").alias("total"))  # one row, beside a page at most
+    return total.join(F.broadcast(paged), F.lit(True), "left").select(*products.columns, "total")
 
 
 def fuzzy_top(products: DataFrame, text: str, k: int = 10) -> DataFrame:
@@ -136,38 +146,57 @@ def fuzzy_top(products: DataFrame, text: str, k: int = 10) -> DataFrame:
     return products.where(at > 0).withColumn("score", (at - 1) + len(word) * 0.2).orderBy("score", "pos").limit(k)
 
 
-#: Length of the strings by which names that hold others are found.
+#: Longest strings of characters that codes are indexed by.
 GRAM = 6
 
 
-def _grams(name: str) -> Column:
-    """A row for each distinct string of GRAM characters; none for shorter names."""
-    starts = F.when(F.length(name) >= GRAM, F.sequence(F.lit(1), F.length(name) - GRAM + 1))
-    return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(GRAM)))))
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct strings of ``size`` characters in a text; none if it is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
 
 
 def resolve(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Requested (req_code, req_name) with the product they mean.
 
-    An exact code comes first, then a code without suffix, an exact name, a name
-    that holds the requested one; each time the first in table order.  The first
-    three are equality joins.  Names that hold a requested one hold all its
-    strings of GRAM characters, so what stays is met with the names that have
-    its rarest one; only requests shorter than that are compared with all.
+    An exact code comes first, then a code without suffix, an exact name, and
+    last a code that holds the requested one without its suffix; each time the
+    first in table order.  All are equality joins.
     """
-    p = products.select("pos", "ts_code", "name")
+    p = once(products.select("pos", "ts_code", "name"))
+    requests = once(requests.select("req_code", "req_name").distinct().withColumn("bare", strip_suffix(F.col("req_code"))))
     by = lambda key, other, rank: requests.join(p.withColumn("k", other), key == F.col("k")).drop("k").withColumn("match_rank", F.lit(rank))
-    exact = by(F.col("req_code"), F.col("ts_code"), 0).unionByName(by(strip_suffix(F.col("req_code")), strip_suffix(F.col("ts_code")), 1)).unionByName(by(F.col("req_name"), F.col("name"), 2))
+    exact = by(F.col("req_code"), F.col("ts_code"), 0).unionByName(by(F.col("bare"), strip_suffix(F.col("ts_code")), 1)).unionByName(by(F.col("req_name"), F.col("name"), 2))
     best = exact.groupBy("req_code", "req_name").agg(F.min(F.struct("match_rank", "pos", "ts_code", "name")).alias("m"))
-    rest = requests.join(best, ["req_code", "req_name"], "left_anti")
-    named = p.select("*", _grams("name").alias("gram"))
-    wanted = rest.distinct().select("req_code", "req_name", _grams("req_name").alias("gram"))
-    rarest = wanted.join(named.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("req_code", "req_name").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
-    near = rarest.join(named, "gram").where(F.contains("name", F.col("req_name"))).drop("gram")
-    short = rest.where(F.length("req_name") < GRAM).join(p, F.contains("name", F.col("req_name")))
-    part = near.unionByName(short).groupBy("req_code", "req_name").agg(F.min(F.struct(F.lit(3).alias("match_rank"), "pos", "ts_code", "name")).alias("m"))
-    part = rest.join(part, ["req_code", "req_name"], "left").select("req_code", "req_name", "m").distinct()
-    return best.unionByName(part).select("req_code", "req_name", "m.match_rank", F.col("m.ts_code").alias("ts_code"), F.col("m.name").alias("name"))
+    best = best.select(F.col("req_code").alias("code"), F.col("req_name").alias("asked"), "m")
+    known = once(requests.join(best, F.col("req_code").eqNullSafe(F.col("code")) & F.col("req_name").eqNullSafe(F.col("asked")), "left").drop("code", "asked"))
+    held = holding(known.where(F.col("m").isNull() & (F.col("bare") != "")).select(F.col("bare").alias("part")).distinct(), p)
+    last = F.when(held["held"].isNotNull(), F.struct(F.lit(3).alias("match_rank"), "held.pos", "held.ts_code", "held.name"))
+    found = known.join(held, F.col("m").isNull() & (F.col("bare") == F.col("part")), "left").withColumn("m", F.coalesce("m", last))
+    return found.select("req_code", "req_name", "m.match_rank", F.col("m.ts_code").alias("ts_code"), F.col("m.name").alias("name"))
+
+
+def holding(parts: DataFrame, products: DataFrame) -> DataFrame:
+    """(part, held): for each distinct text the first product whose code holds it, (pos, ts_code, name); none if there is none.
+
+    Codes are indexed by the strings of the lengths that are asked for, GRAM
+    characters at most.  For a part of such a length the index's first product
+    is the answer.  A longer part is met with the codes that hold the rarest of
+    its strings, and compared with those only.
+    """
+    parts = once(parts.select("part", F.least(F.length("part"), F.lit(GRAM)).alias("size")).where("size > 0"))
+    # One row, with GRAM numbers at most.
+    sizes = parts.agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    product = F.struct("pos", "ts_code", "name")
+    grams = F.flatten(F.transform("sizes", lambda n: F.coalesce(_grams(F.col("ts_code"), n), F.array().cast("array<string>"))))
+    indexed = products.where("ts_code is not null").crossJoin(F.broadcast(sizes)).select(F.explode(grams).alias("gram"), product.alias("held"))
+    index = once(indexed.groupBy("gram").agg(F.min("held").alias("held"), F.count("*").alias("n")))
+    short = parts.where(F.length("part") <= GRAM).join(index, F.col("part") == F.col("gram")).select("part", "held")
+    long = parts.where(F.length("part") > GRAM).select("part", F.explode(_grams(F.col("part"), F.lit(GRAM))).alias("gram"))
+    # A string that no code has ends the search: it is the rarest, and meets nothing.
+    rarest = long.join(index, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = rarest.join(indexed.where(F.length("gram") == GRAM), "gram").where(F.contains("held.ts_code", F.col("part")))
+    return short.unionByName(near.groupBy("part").agg(F.min("held").alias("held")))
 
 
 def lookup(products: DataFrame, identifier: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from navspark.operators import rebalance as r
 from navspark.plans import views as v
 from navspark.plans.registry import query
+from navspark.sources.shared import once
 
 _DATES = f"{v.ORDERS}, dt AS (SELECT DISTINCT date FROM od)"
 _CAL = "cal AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS day), td AS (SELECT day FROM cal WHERE isodow(day) <= 5)"
@@ -99,11 +100,11 @@ _FIXED = "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS k
 
 
 def _backtest(spark, folder, mode=None, **kw):
-    panel = _panel(spark, folder)
+    panel = once(_panel(spark, folder))
     weights = _weights(spark)
     chosen = None
-    if mode:
-        chosen = weights.select("strategy").distinct().crossJoin(r.rebalance_dates(panel, mode, **kw))
+    if mode:  # two strategies, which every date meets
+        chosen = r.rebalance_dates(panel, mode, **kw).crossJoin(F.broadcast(weights.select("strategy").distinct()))
     return r.paths(panel, weights, chosen)
 
 

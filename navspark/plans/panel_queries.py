@@ -220,7 +220,7 @@ def quadrant(spark, folder):
     return v.rounded(out)
 
 
-@query(f"""WITH {v.EVENTS}, p AS (SELECT *, row_number() {_W} AS i, max(nav) {_SO_FAR} AS peak FROM ev), d AS (SELECT *, 1 - nav / peak AS dd, max(CASE WHEN nav = peak THEN i END) {_SO_FAR} AS pi FROM p),
+@query(f"""WITH {v.EVENTS}, p AS (SELECT *, row_number() {_W} AS i, max(nav) {_SO_FAR} AS peak FROM ev), f AS (SELECT asset, peak, min(i) AS pi FROM p GROUP BY asset, peak), d AS (SELECT p.*, 1 - nav / peak AS dd, pi FROM p JOIN f USING (asset, peak)),
 w AS (SELECT asset, arg_max(i, row(dd, -i)) AS li, max(dd) AS mdd, arg_max(peak, row(dd, -i)) AS peak, arg_max(pi, row(dd, -i)) AS pi FROM d GROUP BY asset)
 SELECT w.asset, round(any_value(mdd), 6) AS max_drawdown, CAST(CASE WHEN any_value(mdd) = 0 THEN 0 ELSE min(CASE WHEN d.i > li AND d.nav >= w.peak THEN d.i - w.pi END) END AS BIGINT) AS recovery FROM w JOIN d ON w.asset = d.asset GROUP BY w.asset""")
 def mdd_recovery(spark, folder):

@@ -12,6 +12,7 @@ from navspark.plans import views as v
 from navspark.plans.registry import query
 from navspark.plans.universe_queries import UNIVERSE, universe
 from navspark.sources import ingest
+from navspark.sources.shared import once
 from navspark.sources.tables import table
 
 ASSETS = ("click", "purchase", "view")
@@ -186,7 +187,7 @@ def _strategies():
 
 
 def _schedule(spark, folder):
-    panel = v.events(spark, folder).where(F.col("asset").isin(*ASSETS))
+    panel = once(v.events(spark, folder).where(F.col("asset").isin(*ASSETS)))
     models = _strategies()
     dates = r.gated(panel, r.rebalance_dates(panel, "fixed", interval=6), "rollingN", 6)
     names = spark.createDataFrame([(m.name,) for m in models], "strategy string")

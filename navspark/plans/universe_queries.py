@@ -94,11 +94,20 @@ def product_search(spark, folder):
     return u.search(universe(spark, folder), " 1.S ").select("pos", "ts_code", "name")
 
 
-@query(f"""WITH {UNIVERSE}, s AS (SELECT pos, ts_code, list_date FROM universe WHERE contains(lower(coalesce(code, '')), '1') OR contains(lower(coalesce(ts_code, '')), '1') OR contains(lower(coalesce(name, '')), '1') OR contains(lower(coalesce(management, '')), '1')),
-k AS (SELECT * FROM s ORDER BY list_date ASC NULLS LAST, pos LIMIT 50) SELECT pos, ts_code, (SELECT count(*) FROM s) AS total FROM k ORDER BY list_date ASC NULLS LAST, pos LIMIT 20 OFFSET 20""")
+_FOUND = "s AS (SELECT pos, ts_code, management FROM universe WHERE contains(lower(code || ' ' || name || ' ' || coalesce(management, '')), '1'))"
+
+
+@query(f"""WITH {UNIVERSE}, {_FOUND}, k AS (SELECT * FROM s ORDER BY coalesce(management, '') DESC, pos LIMIT 50)
+SELECT pos, ts_code, (SELECT count(*) FROM s) AS total FROM k ORDER BY coalesce(management, '') DESC, pos LIMIT 20 OFFSET 40""")
 def product_search_page(spark, folder):
-    rows = universe(spark, folder).select("pos", "code", "ts_code", "name", "management", "list_date")
-    return u.search_page(rows, "1", "list_date", descending=False, top=50, number=2, size=20).select("pos", "ts_code", "total")
+    rows = universe(spark, folder).select("pos", "code", "ts_code", "name", "management")
+    return u.search_page(rows, "1", "management", descending=True, top=50, number=3, size=20).select("pos", "ts_code", "total")
+
+
+@query(f"WITH {UNIVERSE}, {_FOUND} SELECT CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS ts_code, count(*) AS total FROM s")
+def product_search_beyond(spark, folder):
+    """A page behind the last keeps the total."""
+    return u.search_page(universe(spark, folder), "1", number=10_000_000, size=200).select(F.col("pos").cast("bigint").alias("pos"), "ts_code", "total")
 
 
 @query(f"WITH {UNIVERSE} SELECT pos, ts_code FROM universe WHERE contains(lower(code || ' ' || name || ' ' || coalesce(management, '')), 'brand#2')")
@@ -137,17 +146,16 @@ def product_lookup(spark, folder):
     return u.lookup(universe(spark, folder), "15.XX").select("pos", "ts_code", "name")
 
 
-@query(f"""WITH {UNIVERSE}, q AS (SELECT CASE pos % 4 WHEN 0 THEN ts_code WHEN 1 THEN code || '.OF' WHEN 2 THEN 'none' || code ELSE 'other' || code END AS req_code,
-  CASE pos % 4 WHEN 2 THEN name WHEN 3 THEN substring(name, 2, 60) ELSE 'x' END AS req_name FROM universe),
+@query(f"""WITH {UNIVERSE}, q AS (SELECT DISTINCT CASE pos % 4 WHEN 0 THEN ts_code WHEN 1 THEN code || '.OF' WHEN 2 THEN 'none' || code ELSE substring(code, 2) || '.ZZ' END AS req_code,
+  CASE pos % 4 WHEN 2 THEN name ELSE 'x' END AS req_name FROM universe),
 m AS (SELECT q.*, u.pos, u.ts_code, u.name, CASE WHEN q.req_code = u.ts_code THEN 0 WHEN split_part(q.req_code, '.', 1) = split_part(u.ts_code, '.', 1) THEN 1 WHEN q.req_name = u.name THEN 2
-  WHEN contains(u.name, q.req_name) THEN 3 END AS match_rank FROM q LEFT JOIN universe u ON q.req_code = u.ts_code OR split_part(q.req_code, '.', 1) = split_part(u.ts_code, '.', 1) OR contains(u.name, q.req_name))
-SELECT req_code, req_name, match_rank, ts_code, name FROM (SELECT *, row_number() OVER (PARTITION BY req_code, req_name ORDER BY match_rank, pos) AS k FROM (SELECT DISTINCT * FROM m)) WHERE k = 1""")
+  WHEN u.pos IS NOT NULL THEN 3 END AS match_rank FROM q LEFT JOIN universe u ON q.req_code = u.ts_code OR split_part(q.req_code, '.', 1) = split_part(u.ts_code, '.', 1) OR q.req_name = u.name OR split_part(q.req_code, '.', 1) <> '' AND contains(u.ts_code, split_part(q.req_code, '.', 1)))
+SELECT req_code, req_name, match_rank, ts_code, name FROM (SELECT *, row_number() OVER (PARTITION BY req_code, req_name ORDER BY match_rank, pos) AS k FROM m) WHERE k = 1""")
 def code_resolution(spark, folder):
     p = universe(spark, folder)
     k = F.col("pos") % 4
-    code = F.when(k == 0, F.col("ts_code")).when(k == 1, F.concat("code", F.lit(".OF"))).when(k == 2, F.concat(F.lit("none"), "code")).otherwise(F.concat(F.lit("other"), "code"))
-    name = F.when(k == 2, F.col("name")).when(k == 3, F.substring("name", 2, 60)).otherwise("x")
-    asked = p.select(code.alias("req_code"), name.alias("req_name"))
+    code = F.when(k == 0, F.col("ts_code")).when(k == 1, F.concat("code", F.lit(".OF"))).when(k == 2, F.concat(F.lit("none"), "code")).otherwise(F.concat(F.substring("code", 2, 60), F.lit(".ZZ")))
+    asked = p.select(code.alias("req_code"), F.when(k == 2, F.col("name")).otherwise("x").alias("req_name"))
     return u.resolve(asked, p)
 
 

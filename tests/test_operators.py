@@ -252,7 +252,7 @@ def test_leading_share_equals_numpy(spark):
 
 
 def test_search_page(spark):
-    rows = spark.createDataFrame([(i, f"code{i}", f"name {i % 3}", float(i % 5)) for i in range(30)], "pos int, code string, name string, issue_amount double")
-    found = universe.search_page(rows, "name 1", top=7, number=2, size=5).collect()
+    rows = spark.createDataFrame([(i, f"code{i}", f"name {i % 3}", f"m{i % 5}") for i in range(30)], "pos int, code string, name string, management string")
+    found = universe.search_page(rows, "name 1", "management", descending=True, top=7, number=2, size=5).collect()
     best = sorted((i for i in range(30) if i % 3 == 1), key=lambda i: (-(i % 5), i))[:7][5:]
     assert [r.pos for r in found] == best and {r.total for r in found} == {10}
