@@ -25,7 +25,7 @@ from navspark.llm.words import slices
 # Every quantifier is possessive and every "<" with a letter behind it is a token, up to the page's end if need be: reading is linear, whatever is left open.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?)?""")
 _ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?)*+"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)", re.S)
 _XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -59,7 +59,7 @@ _NAMES = [re.compile(rf"(?:^|[\s_-])(?:{n})(?=$|[\s_-])") for n in NAMES]
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 N_TAGS, N_NAMES, N_LEAF = len(TAGS) + 1, len(NAMES), 5
-#: The last feature marks the root of a page of one or two blocks of text.
+#: The last feature marks the blocks of text of a page that has one or two, those in menus and the like not counted.
 N_FEATURES = N_TAGS + N_NAMES + 1 + N_LEAF + 1
 #: Parent-child potentials differ by the child: a text, a block, a block that is named or tagged as no content.
 KINDS = 3
@@ -139,6 +139,11 @@ class _Stack:
         return places[-1] if places else 0
 
 
+def _is_cdata(html: str, at: int) -> bool:
+    """Whether a section of plain characters begins here; only foreign elements hold such, elsewhere it is a comment up to the next ">"."""
+    return html.startswith("<![CDATA[", at)
+
+
 class _Ends:
     """Where the opaque elements of one page end; the page is scanned at most once for each kind of element."""
 
@@ -172,7 +177,10 @@ class _Ends:
             while m := _TOKEN.search(self.html, here):
                 here = m.end()
                 name = (m[2] or "").lower()
-                if m[1]:
+                if opened["svg"] and _is_cdata(self.html, m.start()):
+                    end = self.html.find("]]>", m.start())
+                    here = end + 3 if end >= 0 else len(self.html)
+                elif m[1]:
                     if opened.get(name):
                         self.nested[opened[name].pop()] = here
                 elif m[2] and not (name in FOREIGN and m[3].endswith("/")):
@@ -195,6 +203,7 @@ class Pages:
         self.texts: list[str] = []
         self.links: list[int] = []
         self.first: list[int] = []  # of each page, its first leaf
+        self.apart: list[bool] = []  # whether a node is, or stands in, a block that is named or tagged as no content
 
     def _node(self, parent: int, kind: int, active: tuple[int, ...]) -> int:
         if parent >= 0 and self.depth[parent] >= DEPTH:
@@ -203,6 +212,7 @@ class Pages:
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kind.append(kind)
         self.active.append(active)
+        self.apart.append(kind == 2 or parent >= 0 and self.apart[parent])
         return len(self.parent) - 1
 
     def add(self, html: str | None) -> None:
@@ -303,8 +313,10 @@ class Pages:
                 run.append(escape(html[at : end.start()], quote=False))
                 at = end.start()
         close_run()
-        if len(self.leaves) - self.first[-1] <= 2:
-            self.active[stack.nodes[0]] += (N_FEATURES - 1,)
+        lone = [leaf for leaf in self.leaves[self.first[-1] :] if not self.apart[leaf]]
+        if len(lone) <= 2:
+            for leaf in lone:
+                self.active[leaf] += (N_FEATURES - 1,)
 
     def arrays(self) -> Trees:
         n = len(self.parent)
@@ -405,7 +417,9 @@ def main_text(pages: DataFrame, model: Potentials, columns: list[str], html_col:
     """``columns`` of ``pages`` with text and n_chars (code points).
 
     A null, empty or textless page has the empty text.  Repeated rows give
-    repeated results; other columns are ignored.
+    repeated results; an empty table gives no rows.  Pages of any length are
+    read whole, in linear time.  Columns that are not asked for are ignored,
+    whatever their names; asked ones may have any name but text and n_chars.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -81,8 +81,10 @@ def _article(rng: random.Random) -> str:
             parts.append(f"<blockquote><p>{t()}</p></blockquote>")
         elif kind < 0.91:
             parts.append(f"<table><tr><td>{t(False)}</td><td>{t(False)}</td></tr></table>")
-        elif kind < 0.94:
+        elif kind < 0.93:
             parts.append(f"<div>{t()}</div>")
+        elif kind < 0.95:
+            parts.append(f'<p><a href="/x">{t(False)}</a></p>')
         else:
             parts.append(rng.choice([f'<div class="ad">{_text(rng, NO)}</div>', f"<aside><p>{_text(rng, NO)}</p></aside>", f'<div class="share"><a href="#">{_text(rng, NO, False)}</a></div>', f"<form><p>{_text(rng, NO)}</p></form>"]))
     return "".join(parts)
@@ -130,7 +132,21 @@ def _unnamed(rng: random.Random) -> str:
     ])()
 
 
-def labelled(n: int = 300, seed: int = 1) -> list[str]:
+def _short(rng: random.Random) -> str:
+    """A page of one to three paragraphs between blocks that are none of it."""
+    t = lambda: f"{YES} {_sentence(rng, 4, 14)}"
+    same = t()
+    body = "".join(f"<p>{same if rng.random() < 0.4 else t()}</p>" for _ in range(rng.choice([1, 1, 1, 2, 2, 3])))
+    if rng.random() < 0.2:
+        body = f"<h1>{_text(rng, YES, False)}</h1>{body}"
+    body = rng.choice(["{}", "{}", "<div>{}</div>", '<div class="content">{}</div>', '<div id="main">{}</div>', "<main>{}</main>", "<article>{}</article>"]).format(body)
+    link = f'<nav><a href="/">{_text(rng, NO, False)}</a></nav>'
+    before = rng.choice([link, link, link, f"<button>{_text(rng, NO, False)}</button>", "".join(_outer(rng)[:2]), ""])
+    after = rng.choice([f"<footer>{_text(rng, NO, False)}</footer>", f"<footer>{_text(rng, NO, False)}</footer>", f"<footer><p>{_text(rng, NO)}</p></footer>", "".join(_after(rng)[:1]), ""])
+    return before + body + after
+
+
+def labelled(n: int = 400, seed: int = 1) -> list[str]:
     """Pages whose blocks of text start with their label's mark."""
     rng, out = random.Random(seed), []
     wrappers = ["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article class="post">{}</article></div>', '<main><div class="entry-content">{}</div></main>', '<section class="story">{}</section>', '<div class="post-body">{}</div>', "<div>{}</div>", "{}", '<div id="x1"><div class="col">{}</div></div>', "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"]
@@ -140,6 +156,8 @@ def labelled(n: int = 300, seed: int = 1) -> list[str]:
             body = _bare(rng)
         elif kind < 0.35:
             body = _unnamed(rng)
+        elif kind < 0.55:
+            body = _short(rng)
         else:
             inner = rng.choice(wrappers).format(_article(rng))
             body = "".join(_outer(rng)) + inner + "".join(_after(rng))

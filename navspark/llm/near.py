@@ -366,6 +366,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with "similarity": that of the row's text to the text that its class keeps, exactly, from the whole shingle sets.
+
+    Membership and these links to one representative are the class's answer;
+    its pairs are not listed, nor counted, so n_links is left out.  A kept text
+    and its copies have 1, as have rows that are classes of their own.  Members
+    may lie below the threshold from the representative: a chain links them.
+    """
+    found = staged(near_duplicates(docs, id_col, text_col).drop("n_links"), "classes")
+    several = found.where("not is_lone and class_texts > 1")
+    kept = several.where("is_kept").groupBy("class_id").agg(F.min("h1").alias("top1"), F.min("h2").alias("top2"))
+    texts = staged(several.groupBy("class_id", "h1", "h2").agg(F.min("raw").alias("raw"), F.max("class_texts").alias("n")).withColumn("node", F.monotonically_increasing_id()), "texts")
+    source = docs.where(F.col(text_col).isNotNull()).groupBy(_raw(text_col).alias("raw")).agg(F.first(text_col).alias("text"))
+    sets = staged(shingle_sets(source.join(texts.select("raw", "node", "h1"), "raw")), "sets")
+    top = texts.join(kept, "class_id").where((F.col("h1") == F.col("top1")) & (F.col("h2") == F.col("top2"))).select("class_id", F.col("node").alias("a"))
+    pairs = texts.join(top, "class_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "n")
+    # Representatives of large classes are copied to groups, as centres of buckets are.
+    scored = verified(pairs, sets).join(texts.select(F.col("node").alias("b"), "h1", "h2", F.col("class_id").alias("of")), "b").select("h1", "h2", "of", "similarity")
+    same = (found["h1"] == scored["h1"]) & (found["h2"] == scored["h2"]) & (found["class_id"] == scored["of"])
+    joined = found.join(scored, same, "left")
+    return joined.select(*(found[c] for c in found.columns), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+
+
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs that were not tested yet, in either direction."""
     turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))

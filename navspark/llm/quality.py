@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navspark.llm.shared import Scratch
-from navspark.llm.words import Words, mix, slices
+from navspark.llm.words import Words, mix, release, slices
 
 #: Most rows of trusted positives that the model is fitted on, and of unlabelled ones that its first fit and its curvature come from.
 SAMPLE = 4000
@@ -113,16 +114,16 @@ def _adam(gradient, size: int, steps: int, rate: float = 0.03) -> np.ndarray:
     return w
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int] | None] | None = None) -> float:
+def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int]] | None = None) -> float:
     """Share of positives among the unlabelled rows.
 
     A region of the feature space that holds positives only has in the
     unlabelled rows ``prior`` times its share of the positives, any other region
     more.  So the prior is the least ratio of the two shares over regions above
     a threshold of a positive-against-unlabelled score; the score is fitted on
-    one half of the rows, the shares are taken on the other; those of the
-    unlabelled rows by ``above(scores' weights, thresholds)``, which gives the
-    shares of one split a row and the rows that they are of, where it can.
+    one half of the rows, the shares are taken on the other; to those of the
+    unlabelled rows ``above(scores' weights, thresholds)`` adds the shares among
+    rows that no score was fitted on, one split a row, and their number.
     The least of noisy ratios is no estimate on few rows, and a prior too high
     leaves too few negatives, so the upper bound of one share and the lower of
     the other are compared; on many rows they are the shares.  The median of a
@@ -143,7 +144,10 @@ def class_prior(p: np.ndarray, u: np.ndarray, above: Callable[[np.ndarray, np.nd
         weights.append(w)
         cuts.append([top[int((1 - s) * (len(top) - 1))] for s in shares])
         others.append(((d @ w)[:, None] >= cuts[-1]).mean(axis=0))
-    found, n = (above and above(np.array(weights), np.array(cuts))) or (np.array(others), len(u) // 2)
+    found, n = np.array(others), len(u) // 2
+    if above:
+        more, m = above(np.array(weights), np.array(cuts))
+        found, n = (found * n + more * m) / (n + m), n + m
     low = found - BOUND * np.sqrt(found * (1 - found) / n)
     high = np.minimum(1, shares + BOUND * np.sqrt(shares * (1 - shares) / (len(p) // 2)))
     return float(np.clip(np.median((low / high).min(axis=1)), 0.05, 0.99))
@@ -190,8 +194,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, every:
                 w = (best + w) / 2
                 continue
             best, least = w, total
-            if negative <= 0:
-                break
             share = _sigmoid(u @ w)
             curve = (u * (share * (1 - share))[:, None]).T @ u / len(u) + 10 * DECAY * np.eye(len(w))
             w = w - 0.5 * np.linalg.solve(curve, turned(w, risk, slope))
@@ -205,6 +207,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, every:
     return Model(mean, scale, carried_on(w) if every else w, prior)
 
 
+_SUM = "part int, n double, a array<double>, b array<double>"
+#: Tasks in which the sums of all tasks are merged.
+MERGES = 16
+
+
+def _row(part: int, total: tuple) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), pa.array(np.asarray(t, float))) for t in total[1:]]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(total[0])]), *lists], names=["part", "n", "a", "b"])
+
+
+def _merged(batches: Iterable[pa.RecordBatch], merge: Callable[[tuple, tuple], tuple]) -> tuple | None:
+    """Rows of sums as one, in the order they come."""
+    total = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = (batch.column("n")[i].as_py(), *(batch.column(c)[i].values.to_numpy(zero_copy_only=False).copy() for c in ("a", "b")))
+            total = one if total is None else merge(total, one)
+    return total
+
+
 class _Rows:
     """Features of all unlabelled rows as a written table (key, x); sums over it are made in the tasks."""
 
@@ -222,13 +244,17 @@ class _Rows:
                     one = of(_matrix(part.column("x")), part.column("key").to_numpy())
                     total = one if total is None else merge(total, one)
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([float(total[0])]), *(pa.array([list(t)], pa.list_(pa.float64())) for t in total[1:])], names=["n", "a", "b"])
+                yield _row(TaskContext.get().partitionId(), total)
 
-        total = None
-        for r in self.table.mapInArrow(rows, "n double, a array<double>, b array<double>").collect():
-            one = (r.n, np.array(r.a), np.array(r.b))
-            total = one if total is None else merge(total, one)
-        return total
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _merged(batches, merge)
+            if total is not None:
+                yield _row(0, total)
+
+        # Sums meet in a few tasks, in one order, before they come to the driver: it gets MERGES rows, however many tasks there were.
+        sums = self.table.mapInArrow(rows, _SUM)
+        found = sums.repartition(MERGES, "part").sortWithinPartitions("part").mapInArrow(merged, _SUM).toArrow()
+        return _merged(sorted(found.to_batches(), key=lambda b: repr(b.column("n").to_pylist())), merge)
 
     def moments(self) -> tuple[np.ndarray, np.ndarray]:
         def of(x: np.ndarray, keys: np.ndarray) -> tuple:
@@ -241,19 +267,19 @@ class _Rows:
         n, mean, squares = self._sums(of, merge)
         return mean, np.sqrt(squares / n)
 
-    def above(self, mean: np.ndarray, scale: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int] | None]:
-        """Shares of the rows above thresholds of scores, but for those that the scores were fitted on; None if few others are left."""
+    def above(self, mean: np.ndarray, scale: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int]]:
+        """Shares of the rows above thresholds of scores, but for those that the scores were fitted on, and how many they are."""
 
         fitted_on = self.fitted_on
 
-        def shares(weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int] | None:
+        def shares(weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int]:
             def count(x: np.ndarray, keys: np.ndarray) -> tuple:
                 over = (((x - mean) / scale) @ weights.T)[:, :, None] >= cuts[None]
                 fresh = ~np.isin(keys, fitted_on)
                 return fresh.sum(), over[fresh].sum(axis=0, dtype=float).ravel(), np.zeros(1)
 
             n, found, _ = self._sums(count, _added)
-            return ((found / n).reshape(cuts.shape), int(n)) if n >= len(fitted_on) else None
+            return (found / max(n, 1)).reshape(cuts.shape), int(n)
 
         return shares
 
@@ -318,13 +344,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
                 sides.append(np.zeros((0, N_FEATURES)))
                 continue
             # As Arrow, which is a tenth of rows of Python numbers.
-            rows = table.where(F.col("key").isin(found)).dropDuplicates(["key"]).toArrow().combine_chunks()
+            chosen = docs.sparkSession.createDataFrame(pa.table({"key": pa.array(found, pa.int64())}))  # ``most`` keys at most
+            rows = table.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).toArrow().combine_chunks()
             order = np.argsort(rows.column("key").to_numpy())
             sides.append(_matrix(rows.column("x").combine_chunks())[order])
         positive, unlabelled = sides
         if min(len(positive), len(unlabelled)) < 4:
             return fit(positive, unlabelled)
-        return fit(positive, unlabelled, every=_Rows(table, np.array(found)))
+        model = fit(positive, unlabelled, every=_Rows(table, np.array(found)))
+    del sides, positive, unlabelled, rows
+    release()  # the driver has other work to do
+    return model
 
 
 def held_out(id_col: str):

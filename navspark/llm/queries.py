@@ -80,8 +80,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near.near_duplicates(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_docs", "class_texts", "is_kept")
+    found = near.representatives(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_docs", "class_texts", "is_kept", F.round("similarity", 9).alias("similarity"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = min(stop, start + SLICE_ROWS)
         yield batch.slice(start, stop - start)
         start = stop
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system: workers live on, and their executor's memory is shared."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from navspark.llm import bpe, queries, resample, variants
+from navspark.llm import bpe, html, labelled_pages, near, queries, resample, variants
 
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "one two"), (5, "one two"), (None, "one two three four five six seven"), (None, None), (6, "x" * 300_000), (7, "the " * 40_000), (8, "spelling spelling Spelling")]
 SCHEMA = "doc_id bigint, text string"
@@ -149,7 +149,7 @@ def test_op11_contract(spark, folder, library):
 # Spelling variants.
 
 
-def near(a, b):
+def one_error(a, b):
     """Whether one error leads from a to b."""
     if len(a) > len(b):
         a, b = b, a
@@ -161,7 +161,7 @@ def near(a, b):
 def by_hand(words):
     out = {}
     for w, n in words.items():
-        all_near = [x for x in words if near(w, x)]
+        all_near = [x for x in words if one_error(w, x)]
         form = min(all_near, key=lambda x: (-words[x], x), default=None)
         if form is not None and words[form] < 10 * n:
             form = None
@@ -183,7 +183,7 @@ def test_automaton_numbers_and_errors(words):
     turned = sorted(w[::-1] for w in words)
     assert [forward.number(w) for w in words] == list(range(len(words))) and forward.number("zz") == -1
     for w in [*words[:6], "abab", "aaaa", ""]:
-        all_near = sorted(x for x in words if near(w, x))
+        all_near = sorted(x for x in words if one_error(w, x))
         assert sorted(words[i] for i in forward.near(w, 0, len(w), False)) == all_near  # each once
         half = len(w) // 2
         second = [words[i] for i in forward.near(w, half, len(w), False)]
@@ -292,3 +292,59 @@ def test_resampling_shuffles_no_features(spark, folder):
     assert not re.search("Exchange|Generate|Python|Arrow", plan)
     plan = resample.totals(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "partial_count" in plan
+
+
+# Later cases of earlier operators.
+
+
+@pytest.fixture(scope="module")
+def pages_model():
+    return labelled_pages.train()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("frame", ["{}", "<div>{}</div>", "<div class=content>{}</div>", "<main>{}</main>"])
+@pytest.mark.parametrize("before,after", [("<nav><a href=/>Home</a></nav>", "<footer>All rights reserved.</footer>"), ("<button>Click</button>", ""), ("", "<footer>Imprint</footer>")])
+def test_short_articles_stay(pages_model, n, frame, before, after):
+    line = "The old river ran under a stone bridge that morning."
+    page = f"<html><body>{before}{frame.format(f'<p>{line}</p>' * n)}{after}</body></html>"
+    assert html.extract([page], pages_model)[0] == "\n".join([line] * n)
+
+
+@pytest.mark.parametrize("gap", ["<!-->", "<!--->", "<!-- a --!>", "<!-- a > b -->", "<!---->", "<![CDATA[ a ]]>", "<![CDATA[ y ]>", "<!doctype x>", "<?php x ?>"])
+def test_comments_end_as_in_the_standard(pages_model, gap):
+    lines = ["A first line of the story that goes on for a while.", "And a second line of it, which is not much shorter."]
+    page = f"<body><article><p>{lines[0]}</p>{gap}<p>{lines[1]}</p></article></body>"
+    found = html.extract([page], pages_model)[0].split("\n")
+    assert found[0] == lines[0] and found[-1] == lines[1] and len(found) <= 3
+
+
+def test_cdata_in_svg_hides_end_tags(pages_model):
+    line = "A line of the story that goes on for a while, and then some."
+    page = f"<body><article><p>{line}</p><svg><style><![CDATA[ x ]]></style><![CDATA[ </svg> <p>no</p> ]]></svg><p>{line}</p></article></body>"
+    assert html.extract([page], pages_model)[0] == f"{line}\n{line}"
+
+
+def test_similarity_to_the_kept_text(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, docs[i][1].upper()) for i in range(5)] + [(200, "some other text of seven or more words here"), (201, None), (None, docs[0][1])]
+    found = near.representatives(clashing(spark.createDataFrame(docs, SCHEMA))).collect()
+    assert len(found) == len(docs) and "n_links" not in found[0].asDict()
+
+    def counts(text):
+        words = text.lower().split()
+        return collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    text = dict((i, t) for i, t in docs if i is not None)
+    for r in found:
+        if r.doc_id is None or text[r.doc_id] is None or r.class_id == r.doc_id:
+            assert r.similarity == 1.0
+        else:
+            assert r.class_id == 0
+            assert r.similarity == pytest.approx(near.weighted_jaccard(counts(text[r.doc_id]), counts(text[0])))
