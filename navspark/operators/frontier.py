@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.clean import round_even
+from navspark.operators.solvers import Frontier, Region
 from navspark.operators.stats import DAYS
 
 
@@ -79,6 +82,67 @@ def within(w: Column, assets: Sequence[str], groups: Sequence[tuple[Sequence[str
     return out
 
 
+def _one_row(moments: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """(m): the means and covariances (a, b, mean_a, cov) as one array, asset by asset; small by the number of assets."""
+    index = F.create_map(*(F.lit(x) for i, a in enumerate(assets) for x in (a, i)))
+    cells = moments.select(F.element_at(index, F.col("a")).alias("i"), F.element_at(index, F.col("b")).alias("j"), "mean_a", "cov")
+    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "mean_a", "cov"))), lambda c: F.struct(c["mean_a"].alias("mean"), c["cov"].alias("cov"))).alias("m"))
+
+
+def _solved(asked: DataFrame, moments: DataFrame, assets: Sequence[str], region: Region, days: int, exact: bool = False) -> DataFrame:
+    """(candidate, w, ret, risk) of least risk for each (candidate, least) of a least, or ``exact``, annual return; nothing where that is out of reach."""
+    n = len(assets)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                mean = np.array([r.m[i * n]["mean"] for i in range(n)], float) * days
+                cov = np.array([c["cov"] for c in r.m], float).reshape(n, n) * days
+                line = Frontier(region, cov, mean, region.low)
+                w = line.exactly(r.least) if exact else line.above(r.least)
+                if w is not None:
+                    w = region.clean(w)
+                    out.append((r.candidate, w.tolist(), float(mean @ w), float(np.sqrt(max(w @ cov @ w, 0.0)))))
+            yield pd.DataFrame(out, columns=["candidate", "w", "ret", "risk"])
+
+    return asked.crossJoin(F.broadcast(_one_row(moments, assets))).select("candidate", "least", "m").mapInPandas(rows, "candidate string, w array<double>, ret double, risk double")
+
+
+def _region(assets: Sequence[str], low: Sequence[float] | None, high: Sequence[float] | None, groups: Sequence[tuple[Sequence[str], float, float]]) -> Region:
+    n = len(assets)
+    masks = tuple((np.array([a in names for a in assets]), float(lo), float(hi)) for names, lo, hi in groups)
+    return Region(np.array(low or [0.0] * n, float), np.array(high or [1.0] * n, float), masks)
+
+
+def refined(
+    points: DataFrame, moments: DataFrame, assets: Sequence[str], low: Sequence[float] | None = None, high: Sequence[float] | None = None, groups: Sequence[tuple[Sequence[str], float, float]] = (),
+    buckets: int = 20, days: int = DAYS,
+) -> DataFrame:
+    """``points`` and, for the least risky of each of ``buckets`` return ranges, the point of least risk that returns as much.
+
+    Solved exactly within the bounds and limits, one row a bucket; names of the
+    new candidates end on ``+``.
+    """
+    best = best_of_buckets(points, buckets).select(F.concat("candidate", F.lit("+")).alias("candidate"), F.col("ret").alias("least"))
+    return points.select("candidate", "w", "ret", "risk").unionByName(_solved(best.repartition("candidate"), moments, assets, _region(assets, low, high, groups), days))
+
+
+def target_frontier(
+    moments: DataFrame, assets: Sequence[str], n: int = 100, low: Sequence[float] | None = None, high: Sequence[float] | None = None, groups: Sequence[tuple[Sequence[str], float, float]] = (), days: int = DAYS,
+) -> DataFrame:
+    """(candidate, w, ret, risk): least risk for ``n`` target returns from the least to the greatest mean of an asset.
+
+    Targets are rows, solved in as many tasks as there are partitions, and are
+    met exactly, also below the return of the least risky portfolio; a target
+    that the bounds rule out gives no row.
+    """
+    ends = moments.agg((F.min("mean_a") * days).alias("lo"), (F.max("mean_a") * days).alias("hi"))
+    share = F.col("id") / max(n - 1, 1)
+    asked = moments.sparkSession.range(n).crossJoin(F.broadcast(ends)).select(F.col("id").cast("string").alias("candidate"), (F.col("lo") + share * (F.col("hi") - F.col("lo"))).alias("least"))
+    return _solved(asked, moments, assets, _region(assets, low, high, groups), days, exact=True)
+
+
 def evaluated(candidates: DataFrame, moments: DataFrame, assets: Sequence[str], days: int = DAYS) -> DataFrame:
     """Candidates with annual ret and risk from the assets' means and covariances (a, b, mean_a, cov).
 
@@ -86,10 +150,7 @@ def evaluated(candidates: DataFrame, moments: DataFrame, assets: Sequence[str],
     candidate is a row expression and no path of returns is built.
     """
     n = len(assets)
-    index = F.create_map(*(F.lit(x) for i, a in enumerate(assets) for x in (a, i)))
-    cells = moments.select(F.element_at(index, F.col("a")).alias("i"), F.element_at(index, F.col("b")).alias("j"), "mean_a", "cov")
-    row = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "mean_a", "cov"))), lambda c: F.struct(c["mean_a"].alias("mean"), c["cov"].alias("cov"))).alias("m"))
-    joined = candidates.crossJoin(F.broadcast(row))
+    joined = candidates.crossJoin(F.broadcast(_one_row(moments, assets)))
     ret = sum((F.col("w")[i] * F.col("m")[i * n]["mean"] for i in range(n)), F.lit(0.0)) * days
     var = sum((F.col("w")[i] * F.col("w")[j] * F.col("m")[i * n + j]["cov"] for i in range(n) for j in range(n)), F.lit(0.0))
     return joined.select("candidate", "w", ret.alias("ret"), (F.sqrt(F.greatest(var, F.lit(0.0))) * F.sqrt(F.lit(days))).alias("risk"))

@@ -152,6 +152,13 @@ class Frontier:
         size = self.size
         return quadratic(self.v, np.zeros(len(self.c)), np.vstack([rows, self.c[None] / size]), np.append(least, aim / size), 1)
 
+    def exactly(self, aim: float, slack: float = 1e-10) -> np.ndarray | None:
+        """Least variance with a return of ``aim``, to ``slack`` of the returns' spread; None if that is out of reach."""
+        rows, least = self.bounds
+        c = self.c / self.size
+        both = np.append(least, [aim / self.size - slack, -aim / self.size - slack])
+        return quadratic(self.v, np.zeros(len(c)), np.vstack([rows, c[None], -c[None]]), both, 1)
+
     def best(self, goal: Callable[[np.ndarray], float]) -> np.ndarray:
         """The point of the least ``goal``, which falls and then rises along the frontier."""
         points = [self.least(), *(self.at(t) for t in np.geomspace(1e-4, 1e4, 33)), self.greatest()]

@@ -16,11 +16,20 @@ def correlation(a: str, b: str) -> Column:
     return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
-def pairs(series: DataFrame, value: str = "ret") -> DataFrame:
-    """(a, b, x, y) of every two assets on their common dates."""
-    left = series.select("date", F.col("asset").alias("a"), F.col(value).alias("x"))
-    right = series.select("date", F.col("asset").alias("b"), F.col(value).alias("y"))
-    return left.join(right, "date")
+def pairs(series: DataFrame, value: str = "ret", upper: bool = False) -> DataFrame:
+    """(date, a, b, x, y) of every two assets on their common dates; with ``upper`` those with a < b only.
+
+    A date's rows meet once, as one array as long as the assets are many, and
+    every two of it are made within that row: there is no self join, and an
+    aggregate by assets combines them before anything else moves.
+    """
+    day = series.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("asset", F.col(value).alias("x")))).alias("all"))
+    two = lambda p, q: F.struct(p["asset"].alias("a"), q["asset"].alias("b"), p["x"].alias("x"), q["x"].alias("y"))
+    if upper:
+        every = F.transform("all", lambda p, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda q: two(p, q)))
+    else:
+        every = F.transform("all", lambda p: F.transform("all", lambda q: two(p, q)))
+    return day.select("date", F.explode(F.flatten(every)).alias("p")).select("date", "p.*")
 
 
 def matrix(series: DataFrame, value: str = "ret") -> DataFrame:
@@ -29,7 +38,7 @@ def matrix(series: DataFrame, value: str = "ret") -> DataFrame:
 
 
 def mean_correlation(series: DataFrame) -> DataFrame:
-    found = pairs(series).where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("c"))
+    found = pairs(series, upper=True).where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("c"))
     return found.agg(F.avg("c").alias("mean_corr"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +54,41 @@ def rolling_volatility(n: int, column: str = "ret", days: int = DAYS) -> Column:
 def kdj(ohlc: DataFrame, n: int = 9, k_smooth: int = 3, d_smooth: int = 3) -> DataFrame:
     """(asset, date, k, d, j): stochastic oscillator whose smoothed state is carried on as rounded.
 
-    The rolling high and low are windows.  The recursion needs an asset's rows
-    in order: they are gathered per asset as an array of two numbers a day and
-    folded, inside the JVM.
+    The rolling high and low are windows.  Rounding at every step keeps the
+    recursion from being cut anywhere but between assets, so an asset's rows
+    stream by in order, and only two numbers are carried from row to row: a
+    series of any length takes one pass and no memory.
     """
     w = trailing(n)
     high, low = F.max("high").over(w), F.min("low").over(w)
     rsv = F.when(high == low, 50.0).otherwise(F.try_divide(F.col("close") - low, high - low) * 100)
-    series = ohlc.withColumn("rsv", rsv).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "rsv"))).alias("s"))
-
-    def step(state: Column, row: Column) -> Column:
-        k0 = ((k_smooth - 1) * state["k"] + row["rsv"]) / k_smooth
-        d0 = ((d_smooth - 1) * state["d"] + k0) / d_smooth
-        new = F.struct(row["date"].alias("date"), F.round(k0, 2).alias("k"), F.round(d0, 2).alias("d"), F.round(3 * k0 - 2 * d0, 2).alias("j"))
-        return F.struct(new["k"].alias("k"), new["d"].alias("d"), F.concat(state["out"], F.array(new)).alias("out"))
-
-    empty = F.array().cast("array<struct<date:date,k:double,d:double,j:double>>")
-    start = F.struct(F.lit(50.0).alias("k"), F.lit(50.0).alias("d"), empty.alias("out"))
-    return series.select("asset", F.explode(F.aggregate("s", start, step)["out"]).alias("o")).select("asset", "o.date", "o.k", "o.d", "o.j")
+    rows = ohlc.select("asset", "date", rsv.alias("rsv")).repartition("asset").sortWithinPartitions("asset", "date")
+    cent = Decimal("0.01")
+
+    def rounded(x: float) -> float:
+        return float(Decimal(repr(x)).quantize(cent, ROUND_HALF_UP))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asset, k, d = None, 50.0, 50.0
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for name, x in zip(batch.column("asset").to_pylist(), batch.column("rsv").to_pylist()):
+                if name != asset:
+                    asset, k, d = name, 50.0, 50.0
+                if x is None or k is None:  # what is not known stays unknown
+                    k = d = None
+                    new = (None, None, None)
+                else:
+                    k = ((k_smooth - 1) * k + x) / k_smooth
+                    d = ((d_smooth - 1) * d + k) / d_smooth
+                    new = (rounded(k), rounded(d), rounded(3 * k - 2 * d))
+                    k, d = new[:2]
+                for column, value in zip(out, new):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("asset"), batch.column("date"), *(pa.array(c, pa.float64()) for c in out)], names=["asset", "date", "k", "d", "j"])
+
+    kinds = dict(ohlc.dtypes)
+    return rows.mapInArrow(steps, f"asset {kinds['asset']}, date {kinds['date']}, k double, d double, j double")
 
 
 def percent_change(column: str) -> Column:

@@ -73,6 +73,22 @@ def frontier_exploration(spark, folder):
     return v.rounded(f.envelope(points), 5)
 
 
+@query()
+def frontier_refined(spark, folder):
+    """The lattice points within the bounds and the exact points of least risk beside the best of their return ranges."""
+    moments = once(_moments(spark, folder))
+    return v.rounded(f.envelope(f.refined(f.evaluated(f.lattice(spark, ASSETS), moments, ASSETS), moments, ASSETS)), 5)
+
+
+@query()
+def frontier_targets(spark, folder):
+    """Least risk for 40 target returns over all assets of the panel."""
+    rows = v.event_returns(spark, folder).where("ret is not null")
+    moments = once(s.pairs(rows).groupBy("a", "b").agg(F.avg("x").alias("mean_a"), F.covar_samp("x", "y").alias("cov")))
+    names = [r.a for r in moments.select("a").distinct().orderBy("a").collect()]  # assets are few
+    return v.rounded(f.target_frontier(moments, names, 40).select("candidate", "ret", "risk"), 6)
+
+
 @query(f"WITH {v.EVENTS}, d AS (SELECT max(date) AS date FROM ev) SELECT 'fixed' AS strategy, d.date, asset, round(CASE asset WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0 END / 3 * 150, 2) AS percent FROM (SELECT DISTINCT asset FROM ev) CROSS JOIN d")
 def point_weights_fixed(spark, folder):
     return weights.point_weights(v.events(spark, folder), weights.Strategy("fixed", weights={"click": 2, "view": 1}), leverage=1.5)
