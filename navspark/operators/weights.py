@@ -49,27 +49,41 @@ class Strategy:
 def risk_budget(cov: np.ndarray, budgets: np.ndarray) -> np.ndarray:
     """Weights whose shares of the variance are the budgets, by a damped fixed point from the budgets on.
 
-    Where the usual damping swings without end, smaller steps are taken.
+    Where that ends elsewhere or swings without end, which it may with negative
+    covariances, the same point is found by coordinates: each weight in turn
+    solves its own equation, which always converges.
     """
     n = len(budgets)
     if n == 1:
         return np.ones(1)
     b = np.maximum(budgets, 0)
     b = b / b.sum() if b.sum() > 0 else np.full(n, 1 / n)
-    for damp in (DAMP, DAMP / 2, DAMP / 8):
-        w = np.maximum(b, 1e-12)
-        w = w / w.sum()
-        for _ in range(MOST_STEPS):
-            load = cov @ w
-            aim = np.maximum(b / np.where(np.abs(load) < 1e-12, 1e-12, load), 0)
-            if not aim.sum() > 0:
-                return w
-            new = (1 - damp) * w + damp * aim / aim.sum()
-            new /= new.sum()
-            if np.abs(new - w).sum() < TOLERANCE * damp:
-                return new
-            w = new
-    return w
+    w = np.maximum(b, 1e-12)
+    w = w / w.sum()
+    for _ in range(MOST_STEPS):
+        load = cov @ w
+        aim = np.maximum(b / np.where(np.abs(load) < 1e-12, 1e-12, load), 0)
+        if not aim.sum() > 0:
+            break
+        new = (1 - DAMP) * w + DAMP * aim / aim.sum()
+        new /= new.sum()
+        moved = np.abs(new - w).sum()
+        w = new
+        if moved < TOLERANCE:
+            break
+    own = np.diag(cov)
+    share = w * (cov @ w)
+    if share.sum() > 0 and np.abs(share / share.sum() - b).max() < 1e-5 or not (own > 1e-18).all():
+        return w
+    x = np.sqrt(np.maximum(b, 1e-12) / own)
+    for _ in range(MOST_STEPS):
+        before = x.copy()
+        for i in range(n):
+            rest = float(cov[i] @ x) - own[i] * x[i]
+            x[i] = (-rest + np.sqrt(rest * rest + 4 * own[i] * b[i])) / (2 * own[i])
+        if np.abs(x - before).sum() < 1e-10 * np.abs(x).sum():
+            break
+    return x / x.sum() if x.sum() > 0 else w
 
 
 def _return(x: np.ndarray, s: Strategy) -> float:
