@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import inspect
+import itertools
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark.functions import kernels as k
+from navspark.operators.panel import so_far
 
 #: Names of the expression language and the kernels behind them.
 FUNCTIONS = {
@@ -260,29 +263,222 @@ def profile(found: dict[str, Profile], name: str | None = None) -> Profile:
     return found[name]
 
 
-def _since(start: Column) -> Column:
-    return F.transform(F.filter("rows", lambda r: r["date"] > start), lambda r: r["ret"])
+@dataclass(frozen=True)
+class _Series:
+    """A series held by rows: the values ahead of the first row, and the value of each row."""
+
+    heads: tuple[Column, ...]
+    each: Column
+
+    def mapped(self, f: Callable[[Column], Column]) -> _Series:
+        return _Series(tuple(f(h) for h in self.heads), f(self.each))
+
+
+def _reduces(n: Node) -> bool:
+    return n.kind == "call" and n.value not in SERIES_RESULT and n.value != "sqrt"
+
+
+def _scans(n: Node) -> bool:
+    return n.kind == "call" and n.value in SERIES_RESULT
+
+
+def _level(n: Node) -> int:
+    """How many aggregations lie below a node, its own included."""
+    return max((_level(i) for i in n.inputs), default=0) + _reduces(n)
+
+
+def _numbers(n: Node) -> list[float]:
+    for i in n.inputs[1:]:
+        if i.kind != "number":
+            raise ExpressionError(f"{n.value} takes numbers after its first argument")
+    return [i.value for i in n.inputs[1:]]
+
+
+def _scanned(n: Node, s: _Series, inside: Column) -> _Series:
+    """A cumulative series as window expressions over the asset's rows of the period."""
+    w, x = so_far(), F.when(inside, s.each)
+    heads: list[Column] = []
+    if n.value == "drawdown":
+        for h in s.heads:
+            heads.append(F.greatest(heads[-1], h) if heads else h)
+        peak = F.greatest(F.max(x).over(w), heads[-1]) if heads else F.max(x).over(w)
+        fall = lambda v, top: F.when(top > 0, F.try_divide(v - top, top))
+        return _Series(tuple(fall(h, top) for h, top in zip(s.heads, heads)), fall(s.each, peak))
+    step = {"cumsum": lambda a, v: a + v, "cumprod": lambda a, v: a * v}.get(n.value, lambda a, v: a * (1 + v))
+    carry = F.lit({"cumsum": 0.0, "cumprod": 1.0, "cumret": 1.0}.get(n.value, (_numbers(n) or [1.0])[0]))
+    if n.value == "net":
+        heads.append(carry)
+    for h in s.heads:
+        carry = step(carry, h)
+        heads.append(carry)
+    here = {"cumsum": F.sum(x), "cumprod": F.product(x)}.get(n.value, F.product(1 + x)).over(w)
+    # What follows a missing value is missing.
+    broken = F.max(F.when(inside & s.each.isNull(), 1)).over(w)
+    out = _Series(tuple(heads), F.when(broken.isNull(), carry + here if n.value == "cumsum" else carry * here))
+    return out.mapped(lambda v: v - 1) if n.value == "cumret" else out
+
+
+def _reduced(n: Node, s: _Series, inside: Column) -> Column:
+    """A figure of a series as an aggregate over the asset's rows of the period, combined within partitions before the shuffle."""
+    heads, x, extra = [F.max(h) for h in s.heads], F.when(inside, s.each), _numbers(n)
+    if n.value in ("min", "max"):
+        low = (F.min if n.value == "min" else F.max)(x)
+        return (F.least if n.value == "min" else F.greatest)(low, *heads) if heads else low
+    if n.value == "MDD":  # of the series' drawdowns
+        worst = F.least(F.min(x), *heads) if heads else F.min(x)
+        return F.when(worst == 0, 0.0).otherwise(-worst)
+    rows = F.count(F.when(inside, 1))
+    whole, size = F.count(x) == rows, rows + len(heads)
+    if n.value in ("sum", "mean"):
+        total = F.coalesce(F.sum(x), F.lit(0.0))
+        for h in heads:
+            total = total + h
+        return F.when(whole, total if n.value == "sum" else F.try_divide(total, size))
+    if n.value in ("prod", "gmean", "CAGR"):
+        grown = n.value == "CAGR"
+        product = F.coalesce(F.product(1 + x if grown else x), F.lit(1.0))
+        for h in heads:
+            product = product * (1 + h if grown else h)
+        if n.value == "prod":
+            return F.when(whole, product)
+        if grown:
+            return F.when(whole & (size > 0) & (product > 0), F.pow(product, F.try_divide(F.lit(float(extra[0])), size)) - 1)
+        least = F.least(F.min(x), *heads) if heads else F.min(x)
+        return F.when(whole & (size > 0) & (least > 0), F.pow(product, F.try_divide(F.lit(1.0), size)))
+    # Variances: rows by the aggregate, heads one by one.
+    count, mean, squares = rows.cast("double"), F.coalesce(F.avg(x), F.lit(0.0)), F.coalesce(F.var_pop(x), F.lit(0.0)) * rows
+    for h in heads:
+        gap = h - mean
+        squares = squares + gap * gap * count / (count + 1)
+        mean, count = mean + gap / (count + 1), count + 1
+    ddof = int(extra[0]) if extra else 1
+    variance = F.when(whole & (size > ddof), F.try_divide(squares, size - ddof))
+    return F.sqrt(variance) if n.value == "std" else variance
+
+
+class _Plan:
+    """Expressions over rows (asset, date, ret, last): scans become window columns, reductions one aggregation per level."""
+
+    def __init__(self, rows: DataFrame, figures: DataFrame, chosen: Profile, inside: dict[str, Column]):
+        self.rows, self.figures, self.chosen, self.inside = rows, figures, chosen, inside
+        self.done: dict[tuple[str, Node], Column | _Series] = {}
+
+    def value(self, period: str, n: Node) -> Column | _Series:
+        if n.kind == "number":
+            return F.lit(n.value)
+        if n.kind == "variable":
+            known = {"returns": _Series((), F.col("ret")), "logreturns": _Series((), F.ln(1 + F.col("ret"))), "free": F.lit(self.chosen.free), "annual_free": F.lit(self.chosen.annual_free)}
+            return known[n.value]
+        if _reduces(n) or _scans(n):
+            return self.done[period, n]
+        found = [self.value(period, i) for i in n.inputs]
+        if n.kind == "binary":
+            return _both(_BINARY[n.value], *found)
+        one = k.negate if n.kind == "negative" else k.root
+        return found[0].mapped(one) if isinstance(found[0], _Series) else one(found[0])
+
+    def build(self, every: Sequence[tuple[str, Node]]) -> None:
+        names = itertools.count()
+        for level in range(max((_level(n) for _, n in every), default=0) + 1):
+            wanted: dict[str, Column] = {}
+            for period, n in every:  # inputs first
+                if _scans(n) and _level(n) == level:
+                    found = _scanned(n, self._series(period, n), self.inside[period])
+                    name = f"scan {next(names)}"
+                    self.rows = self.rows.withColumn(name, found.each)
+                    self.done[period, n] = _Series(found.heads, F.col(f"`{name}`"))
+                elif _reduces(n) and _level(n) == level + 1:
+                    name = f"figure {next(names)}"
+                    wanted[name] = _reduced(n, self._series(period, n), self.inside[period])
+                    self.done[period, n] = F.col(f"`{name}`")
+            if wanted:
+                found = self.rows.groupBy("asset").agg(*(c.alias(name) for name, c in wanted.items()))
+                self.figures = self.figures.join(found, "asset")
+                if any(_level(n) > level + 1 for _, n in every):
+                    self.rows = self.rows.join(found, "asset")
+
+    def _series(self, period: str, n: Node) -> _Series:
+        found = self.value(period, n.inputs[0])
+        if not isinstance(found, _Series):
+            raise ExpressionError(f"{n.value} takes a series")
+        return found
+
+
+def _both(f: Callable[[Column, Column], Column], a: Column | _Series, b: Column | _Series) -> Column | _Series:
+    if isinstance(a, _Series) and isinstance(b, _Series):
+        if len(a.heads) != len(b.heads):
+            raise ExpressionError("series differ in length")
+        return _Series(tuple(f(x, y) for x, y in zip(a.heads, b.heads)), f(a.each, b.each))
+    if isinstance(a, _Series):
+        return a.mapped(lambda x: f(x, b))
+    return b.mapped(lambda x: f(a, x)) if isinstance(b, _Series) else f(a, b)
+
+
+def _with_falls(n: Node) -> Node:
+    """The tree where a deepest fall is one of a series of falls."""
+    inputs = tuple(_with_falls(i) for i in n.inputs)
+    return Node(n.kind, n.value, (Node("call", "drawdown", inputs[:1]), *inputs[1:]) if n.value == "MDD" and n.kind == "call" else inputs)
 
 
 def evaluate(returns: DataFrame, chosen: Profile, names: Sequence[str] | None = None) -> DataFrame:
     """(asset, indicator, period, value) of returns (asset, date, ret), each over the period up to the asset's last date.
 
-    Only indicators of ``names`` are computed, if they are given.
+    Only indicators of ``names`` are computed, if they are given.  A period is a
+    condition on rows: figures are conditional aggregates, cumulative series are
+    windows, so no asset's series is ever one value.  All periods and indicators
+    share one aggregation, or one per level where an expression takes figures
+    back into a series.  Rows without a return are left out; an asset without
+    any has no rows in the result.
     """
-    rows = returns.where("ret is not null").groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "ret"))).alias("rows"))
-    rows = rows.withColumn("last", F.element_at("rows", -1)["date"])
-    items = []
-    for i in chosen.indicators:
-        if names is not None and i.name not in names:
-            continue
-        tree = parse(i.expression)
-        for period in i.periods:
-            start = _start(F.col("last"), period)
-            part = _since(start)
-            variables = {"returns": part, "logreturns": F.transform(part, lambda x: F.ln(1 + x)), "free": F.lit(chosen.free), "annual_free": F.lit(chosen.annual_free)}
-            value = compiled(tree, variables)
-            items.append(F.struct(F.lit(i.name).alias("indicator"), F.lit(period).alias("period"), value.alias("value")))
-    return rows.select("asset", F.explode(F.array(*items)).alias("i")).select("asset", "i.indicator", "i.period", "i.value")
+    rows = returns.where("ret is not null").select("asset", "date", "ret")
+    ends = rows.groupBy("asset").agg(F.max("date").alias("last"))
+    rows = rows.join(ends, "asset")
+    trees = [(i.name, period, _with_falls(parse(i.expression))) for i in chosen.indicators if names is None or i.name in names for period in i.periods]
+    for name, _, tree in trees:
+        if is_series(tree):
+            raise ExpressionError(f"{name} is a series, not a figure")
+    inside = {period: F.col("date") > _start(F.col("last"), period) for _, period, _ in trees}
+    plan = _Plan(rows, ends, chosen, inside)
+    plan.build(list(dict.fromkeys((period, n) for _, period, tree in trees for n in nodes(tree))))
+    items = [F.struct(F.lit(name).alias("indicator"), F.lit(period).alias("period"), plan.value(period, tree).cast("double").alias("value")) for name, period, tree in trees]
+    found = F.array(*items) if items else F.array().cast("array<struct<indicator:string,period:string,value:double>>")
+    return plan.figures.select("asset", F.explode(found).alias("i")).select("asset", "i.indicator", "i.period", "i.value")
+
+
+#: How calls are written in the expression language; others are operators by name.
+LATEX = {"prod": r"\prod", "sum": r"\sum", "sqrt": r"\sqrt", "mean": r"\overline"}
+_VARIABLES = {"returns": r"\mathbf{r}", "logreturns": r"\mathbf{\ell}", "free": "r_{f}", "annual_free": "r_{f}^{annual}"}
+
+
+def latex(n: Node) -> str:
+    """The tree as text of the language; parsing it gives the same tree."""
+    if n.kind == "number":
+        return f"{n.value:.17g}"
+    if n.kind == "variable":
+        return _VARIABLES[n.value]
+    inputs = [latex(i) for i in n.inputs]
+    if n.kind == "negative":
+        return f"(-{inputs[0]})"
+    if n.kind == "call":
+        if n.value in ("sqrt", "mean"):
+            return f"{LATEX[n.value]}{{{inputs[0]}}}"
+        return f"{LATEX.get(n.value, rf'\operatorname{{{n.value}}}')}({', '.join(inputs)})"
+    a, b = inputs
+    if n.value == "/":
+        return rf"\frac{{{a}}}{{{b}}}"
+    return f"({{{a}}}^{{{b}}})" if n.value == "^" else rf"({a} \times {b})" if n.value == "*" else f"({a} {n.value} {b})"
+
+
+def catalogue() -> list[dict[str, object]]:
+    """The language's functions: name, kernel, arguments, whether the result is a series, what it does, and how it is written."""
+    out = []
+    for name, kernel in FUNCTIONS.items():
+        arguments = list(inspect.signature(kernel).parameters)
+        shown = ", ".join([r"\mathbf{r}", *arguments[1:]])
+        written = f"{LATEX[name]}{{\\mathbf{{r}}}}" if name in ("sqrt", "mean") else f"{LATEX.get(name, rf'\operatorname{{{name}}}')}({shown})"
+        doc = (inspect.getdoc(kernel) or "").split("\n")[0]
+        out.append({"name": name, "kernel": kernel.__name__, "arguments": arguments, "series": name in SERIES_RESULT, "description": doc, "latex": written})
+    return out
 
 
 def to_dot(root: Node) -> str:
