@@ -73,9 +73,42 @@ def round_even(value: Column, places: int = 4) -> Column:
 
 
 def issue_text(amount: Column) -> Column:
-    """An amount in 万, from 10 000 on in 亿, with two decimals; missing is ``--``."""
-    large = F.concat(F.format_number(amount / 10000, 2), F.lit("亿"))
-    return F.when(amount.isNull(), "--").when(amount >= 10000, large).otherwise(F.concat(F.format_number(amount, 2), F.lit("万")))
+    """An amount in 万, from 10 000 on either side in 亿, with two decimals at most; missing is ``--``."""
+    large = F.concat(_plain(amount / 10000), F.lit(" 亿"))
+    return F.when(_unknown(amount), "--").when(F.abs(amount) >= 10000, large).otherwise(F.concat(_plain(amount), F.lit(" 万")))
+
+
+def _unknown(value: Column) -> Column:
+    return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+
+
+def _plain(value: Column) -> Column:
+    """Grouped digits and no trailing zeros, two decimals at most."""
+    return F.regexp_replace(F.regexp_replace(F.format_number(F.round(value, 2), 2), "0+$", ""), r"\.$", "")
+
+
+def decimal_text(value: Column, digits: int = 2, signed: bool = False) -> Column:
+    """Grouped digits with so many decimals, with its sign always if ``signed``; missing or not finite is ``--``."""
+    text = F.format_number(F.round(value, digits), digits)
+    if signed:
+        text = F.when(value >= 0, F.concat(F.lit("+"), text)).otherwise(text)
+    return F.when(_unknown(value), "--").otherwise(text)
+
+
+def percent_text(value: Column, digits: int = 2, signed: bool = True) -> Column:
+    """A figure that is in percent already, with its sign and ``%``."""
+    return F.when(_unknown(value), "--").otherwise(F.concat(decimal_text(value, digits, signed), F.lit("%")))
+
+
+def ratio_text(value: Column) -> Column:
+    """A share as percent with one decimal."""
+    return percent_text(value * 100, 1, False)
+
+
+def known_text(value: Column) -> Column:
+    """Trimmed text; missing or empty is 未知."""
+    text = F.trim(value)
+    return F.when(F.coalesce(text, F.lit("")) == "", "未知").otherwise(text)
 
 
 def share(value: Column, low: Column, high: Column, smaller_is_better: bool = False) -> Column:

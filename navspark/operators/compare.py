@@ -47,6 +47,22 @@ def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("date", F.col("nav").alias("a")).join(right.select("date", F.col("nav").alias("b")), "date", "full")
 
 
+def aligned_all(panel: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(date, one column a name) of any number of series of a panel (asset, date, nav), on the union of their dates.
+
+    One aggregate by date holds them all, so series are not joined one by one.
+    The names are given: they are the result's columns.
+    """
+    chosen = panel.where(F.col("asset").isin(*names))
+    return chosen.groupBy("date").agg(*(F.max(F.when(F.col("asset") == n, F.col("nav"))).alias(n) for n in names))
+
+
+def business_days(rows: DataFrame, key: str, date: str) -> DataFrame:
+    """(key, date): Mondays to Fridays from each key's first to its last date."""
+    ends = rows.groupBy(key).agg(F.min(F.to_date(date)).alias("lo"), F.max(F.to_date(date)).alias("hi")).where("lo is not null")
+    return ends.select(key, F.explode(F.sequence("lo", "hi")).alias("date")).where(F.weekday("date") < 5)
+
+
 def positions(values: DataFrame, smaller_is_better: Sequence[str] = ()) -> DataFrame:
     """``values`` (id, indicator, value) with each value's place between the indicator's least and greatest."""
     w = Window.partitionBy("indicator")

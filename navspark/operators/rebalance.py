@@ -83,6 +83,7 @@ def paths(panel: DataFrame, weights: DataFrame, rebalances: DataFrame | None = N
     """
     dates = panel.select("date").distinct()
     names = weights.select("strategy").distinct()
+    worthless = 0.0 if rebalances is None else 1.0  # held weights without any usable asset are worth nothing
     if rebalances is None:
         rebalances = names.crossJoin(dates.agg(F.min("date").alias("date")))
     rebalances = rebalances.join(dates, "date", "left_semi").select("strategy", "date").distinct()
@@ -110,7 +111,7 @@ def paths(panel: DataFrame, weights: DataFrame, rebalances: DataFrame | None = N
     at = at.where("s is not null").select("strategy", "s.segment", "s.level", "date")
     rows = at.join(base.select("strategy", "segment", "asset", "w", "base"), ["strategy", "segment"]).join(panel.select("asset", "date", "nav"), ["asset", "date"], "left")
     share = F.when(F.col("w") > 0, F.coalesce(F.col("w") * F.try_divide("nav", "base"), F.lit(0.0))).otherwise(0.0)
-    path = rows.groupBy("strategy", "date").agg((F.first("level") * F.when(F.sum("w") > 0, F.sum(share)).otherwise(1.0)).alias("value"))
+    path = rows.groupBy("strategy", "date").agg((F.first("level") * F.when(F.sum("w") > 0, F.sum(share)).otherwise(worthless)).alias("value"))
     markers = base.select("strategy", "segment", "asset", F.col("start").alias("date"), F.col("w").alias("weight")).join(level.select("strategy", "segment", F.col("level").alias("value")), ["strategy", "segment"]).drop("segment")
     return path, markers.select("strategy", "date", "asset", "weight", "value")
 

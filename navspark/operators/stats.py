@@ -139,6 +139,48 @@ def box_plot(series: DataFrame, value: str = "ret") -> DataFrame:
     )
 
 
+def outliers(series: DataFrame, value: str = "ret") -> DataFrame:
+    """(asset, date, value) of the rows beyond a box plot's whiskers; none for assets of fewer than five values."""
+    rows = series.where(F.col(value).isNotNull())
+    q = rows.groupBy("asset").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).where("n >= 5")
+    reach = 1.5 * (F.col("q")[1] - F.col("q")[0])
+    beyond = (F.col(value) < F.col("q")[0] - reach) | (F.col(value) > F.col("q")[1] + reach)
+    return rows.join(q, "asset").where(beyond).select("asset", "date", F.col(value).alias("value"))
+
+
+def statistics_range(series: DataFrame, value: str = "ret") -> DataFrame:
+    """(asset, first, last, n): the dates between which an asset's values lie, and how many there are."""
+    return series.where(F.col(value).isNotNull()).groupBy("asset").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
+
+
+def quadrant(points: DataFrame, x: str, y: str, pad: float = 0.1) -> DataFrame:
+    """(mean_x, mean_y, low_x, high_x, low_y, high_y) of points: the lines between the quadrants, and the bounds with some room."""
+    ends = {"x": x, "y": y}
+    out = points.agg(*(f(c).alias(f"{name}_{k}") for k, c in ends.items() for name, f in (("mean", F.avg), ("low", F.min), ("high", F.max))))
+    room = lambda k: pad * (F.col(f"high_{k}") - F.col(f"low_{k}"))
+    return out.select("mean_x", "mean_y", *((F.col(f"low_{k}") - room(k)).alias(f"low_{k}") for k in ends), *((F.col(f"high_{k}") + room(k)).alias(f"high_{k}") for k in ends))
+
+
+def axis_range(series: DataFrame, markers: DataFrame | None = None, start: str | None = None, end: str | None = None, value: str = "value", pad: float = 0.05) -> DataFrame:
+    """(low, high) of an axis that shows all values of ``series`` (date, value), and of markers on its dates, from ``start`` to ``end``.
+
+    Both ends get a twentieth of the range as room; equal ends a twentieth of
+    their value, or 1 about zero.  No row if there is no finite value.
+    """
+    rows = series.select("date", F.col(value).alias("v"))
+    if markers is not None:
+        rows = rows.unionByName(markers.join(series.select("date").distinct(), "date", "left_semi").select("date", F.col(value).alias("v")))
+    if start is not None:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
+    ends = rows.where(finite).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo is not null")
+    equal = F.when(F.col("lo") == 0, 1.0).otherwise(F.abs("lo") * pad)
+    room = F.when(F.col("lo") == F.col("hi"), equal).otherwise((F.col("hi") - F.col("lo")) * pad)
+    return ends.select((F.col("lo") - room).alias("low"), (F.col("hi") + room).alias("high"))
+
+
 def annual(panel: DataFrame, days: int = DAYS) -> DataFrame:
     """Figures of each asset and calendar year, from the year's own rows alone; years without rows between others are kept."""
     year = Window.partitionBy("asset", "year").orderBy("date")

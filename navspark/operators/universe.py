@@ -43,6 +43,13 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def options(products: DataFrame, column: str, text: str | None = None) -> DataFrame:
+    """(label): a facet's values that hold the text, in any case; all of them without one."""
+    labels = products.select(F.col(column).alias("label")).where("label is not null").distinct()
+    wanted = (text or "").strip().lower()
+    return labels.where(F.contains(F.lower("label"), F.lit(wanted))) if wanted else labels
+
+
 def search_joined(products: DataFrame, keyword: str) -> DataFrame:
     """Products with the keyword in ``code name management`` written together."""
     text = F.lower(F.concat_ws(" ", "code", "name", F.coalesce("management", F.lit(""))))

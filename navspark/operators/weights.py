@@ -387,6 +387,16 @@ def equal_percents(products: DataFrame, group: str, order: str) -> DataFrame:
     return products.withColumn("percent", (cents + F.when(extra, 1).otherwise(0)) / 100)
 
 
+def equal_percents_first(products: DataFrame, group: str, order: str) -> DataFrame:
+    """Equal percents of each group, cut to cents, that add up to 100: the first product takes all that is left over."""
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy(group))
+    cents = F.floor(F.lit(10000) / n)
+    first = F.row_number().over(Window.partitionBy(group).orderBy(order)) == 1
+    return products.withColumn("percent", (cents + F.when(first, 10000 - cents * n).otherwise(0)) / 100)
+
+
 def leading_share(returns: DataFrame) -> DataFrame:
     """(share): the part of the variance on the first principal component, of a long panel (asset, date, ret).
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from navspark.operators import rebalance as r
+from navspark.operators.running import held_path
 from navspark.plans import views as v
 from navspark.plans.registry import query
 from navspark.sources.shared import once
+from navspark.sources.tables import table
 
 _DATES = f"{v.ORDERS}, dt AS (SELECT DISTINCT date FROM od)"
-_CAL = "cal AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS day), td AS (SELECT day FROM cal WHERE isodow(day) <= 5)"
+_CAL = "cal AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM dt), (SELECT max(date) FROM dt), INTERVAL 1 DAY)) AS DATE) AS day), td AS (SELECT day FROM cal WHERE isodow(day) <= 5)"
 
 
-def calendar(spark):
-    days = spark.sql("select explode(sequence(date'1992-01-01', date'1999-12-31')) as d")
+def calendar(spark, folder):
+    """The days from the first to the last order, Mondays to Fridays open."""
+    days = table(spark, folder, "orders").agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi")).select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("d"))
     return days.select(F.lit("sse").alias("exchange"), F.date_format("d", "yyyyMMdd").alias("cal_date"), (F.weekday("d") < 5).cast("int").alias("is_open"))
 
 
@@ -24,7 +27,7 @@ def _dates(spark, folder):
 
 @query(f"WITH {_DATES}, {_CAL} SELECT day AS date FROM td WHERE day BETWEEN DATE '1994-01-01' AND DATE '1995-06-30'")
 def trading_calendar(spark, folder):
-    return r.trading_days(calendar(spark), "1994-01-01", "1995-06-30")
+    return r.trading_days(calendar(spark, folder), "1994-01-01", "1995-06-30")
 
 
 @query(f"WITH {_DATES} SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS k FROM dt) WHERE (k - 1) % 20 = 0")
@@ -46,7 +49,7 @@ def _add(mode: str, unit: str) -> None:
     query(f"WITH {_DATES}, g AS ({group}) SELECT coalesce(min(dt.date), any_value(l)) AS date FROM g LEFT JOIN dt ON date_trunc('{unit}', dt.date) = g.period AND dt.date >= g.f + 2 GROUP BY g.period", f"rebalance_{mode}_nth_natural")(natural)
 
     def trading(spark, folder):
-        return r.rebalance_dates(_dates(spark, folder), mode, n=3, trading=r.trading_days(calendar(spark), "1992-01-01", "1999-12-31"))
+        return r.rebalance_dates(_dates(spark, folder), mode, n=3, trading=r.trading_days(calendar(spark, folder), "1900-01-01", "2100-12-31"))
 
     sql = f"""WITH {_DATES}, {_CAL}, g AS ({group}), d AS (SELECT g.period, list(day ORDER BY day) AS days FROM g JOIN td ON day BETWEEN f AND l GROUP BY g.period),
 a AS (SELECT CAST(date_trunc('{unit}', date) AS DATE) AS period, list(date ORDER BY date) AS days FROM dt GROUP BY ALL), h AS (SELECT g.period, g.l, coalesce(d.days, a.days) AS days FROM g JOIN a ON g.period = a.period LEFT JOIN d ON g.period = d.period),
@@ -99,6 +102,10 @@ _MONTHS = "SELECT min(date) AS date FROM pn GROUP BY date_trunc('month', date)"
 _FIXED = "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM pn)) WHERE (k - 1) % 20 = 0"
 
 
+#: Held weights of no usable asset are worth nothing, where rebalanced ones keep their value.
+_HELD = f"WITH {_segment_sql(_FIRST)} SELECT strategy, date, round(value, 6) AS value FROM path".replace("ELSE 1 END AS value", "ELSE 0 END AS value")
+
+
 def _backtest(spark, folder, mode=None, **kw):
     panel = once(_panel(spark, folder))
     weights = _weights(spark)
@@ -108,11 +115,17 @@ def _backtest(spark, folder, mode=None, **kw):
     return r.paths(panel, weights, chosen)
 
 
-@query(f"WITH {_segment_sql(_FIRST)} SELECT strategy, date, round(value, 6) AS value FROM path")
+@query(_HELD)
 def backtest_static(spark, folder):
     return v.rounded(_backtest(spark, folder)[0])
 
 
+@query(_HELD)
+def backtest_held(spark, folder):
+    """Bought once, without windows over a series."""
+    return v.rounded(held_path(once(_panel(spark, folder)), _weights(spark)))
+
+
 @query(f"WITH {_segment_sql(_MONTHS)} SELECT strategy, date, round(value, 6) AS value FROM path")
 def backtest_monthly(spark, folder):
     return v.rounded(_backtest(spark, folder, "monthly", which="first")[0])

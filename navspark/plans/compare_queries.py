@@ -67,6 +67,14 @@ def period_lists(spark, folder):
     return rows.select("id", F.aggregate("p", F.lit(0), lambda a, x: a + x).alias("total"), F.size("p").alias("n"))
 
 
-@query("SELECT CAST(d AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-04-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5")
+@query("SELECT l_returnflag, CAST(d AS DATE) AS date FROM (SELECT l_returnflag, unnest(generate_series(min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE)), INTERVAL 1 DAY)) AS d FROM lineitem GROUP BY l_returnflag) WHERE isodow(d) <= 5")
 def business_days(spark, folder):
-    return spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-03-31").cast("date"))).alias("date")).where(F.weekday("date") < 5)
+    return c.business_days(table(spark, folder, "lineitem"), "l_returnflag", "l_shipdate")
+
+
+_NAMES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query(f"WITH {v.ORDERS} SELECT date, " + ", ".join(f"round(max(nav) FILTER (WHERE asset = '{n}'), 6) AS {n}" for n in _NAMES) + " FROM od GROUP BY date")
+def series_aligned_all(spark, folder):
+    return v.rounded(c.aligned_all(v.orders(spark, folder), _NAMES))

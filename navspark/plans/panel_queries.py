@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from navspark.operators import panel as p
 from navspark.operators import stats as s
 from navspark.operators import technical as t
+from navspark.operators.running import long_drawdown, long_net_value, running
 from navspark.plans import views as v
 from navspark.plans.registry import query
 from navspark.sources.tables import table
@@ -215,9 +216,47 @@ def derived_metrics(spark, folder):
 
 @query(f"WITH {_ANNUAL}, q AS (SELECT annual_vol AS x, annual_return AS y FROM an) SELECT round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(min(x) - 0.1 * (max(x) - min(x)), 6) AS low_x, round(max(x) + 0.1 * (max(x) - min(x)), 6) AS high_x FROM q")
 def quadrant(spark, folder):
-    pad = 0.1 * (F.max("annual_vol") - F.min("annual_vol"))
-    out = s.annual(v.orders(spark, folder)).agg(F.avg("annual_vol").alias("mean_x"), F.avg("annual_return").alias("mean_y"), (F.min("annual_vol") - pad).alias("low_x"), (F.max("annual_vol") + pad).alias("high_x"))
-    return v.rounded(out)
+    return v.rounded(s.quadrant(s.annual(v.orders(spark, folder)), "annual_vol", "annual_return").drop("low_y", "high_y"))
+
+
+@query(f"""WITH {v.PADDED}, q AS (SELECT asset, quantile_cont(ret, 0.25) AS q1, quantile_cont(ret, 0.75) AS q3 FROM re GROUP BY asset HAVING count(ret) >= 5)
+SELECT re.asset, date, round(ret, 6) AS value FROM re JOIN q ON re.asset = q.asset WHERE ret IS NOT NULL AND NOT ret BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
+def box_outliers(spark, folder):
+    return v.rounded(s.outliers(v.padded_returns(spark, folder)))
+
+
+@query(f"WITH {v.PADDED} SELECT asset, min(date) AS first, max(date) AS last, count(*) AS n FROM re WHERE ret IS NOT NULL GROUP BY asset")
+def statistics_range(spark, folder):
+    return s.statistics_range(v.padded_returns(spark, folder))
+
+
+@query(f"""WITH {v.ORDERS}, x AS (SELECT date, nav AS v FROM od WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' UNION ALL SELECT date, max(nav) * 1.1 FROM od WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' GROUP BY date)
+SELECT round(min(v) - 0.05 * (max(v) - min(v)), 6) AS low, round(max(v) + 0.05 * (max(v) - min(v)), 6) AS high FROM x""")
+def axis_range(spark, folder):
+    series = v.orders(spark, folder).select("date", F.col("nav").alias("value"))
+    markers = series.groupBy("date").agg((F.max("value") * 1.1).alias("value"))
+    return v.rounded(s.axis_range(series, markers, "1993-01-01", "1997-12-31"))
+
+
+_EACH = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"SELECT event_id, round(max(value) {_EACH}, 6) AS peak, round(sum(value) {_EACH}, 4) AS total, round(product(1 + value / 1e9) {_EACH}, 6) AS grown, round(value / nullif(max(value) {_EACH}, 0) - 1, 6) AS fall FROM events")
+def running_events(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").alias("nav"))
+    x = F.col("nav")
+    out = running(rows, {"peak": ("max", x), "total": ("sum", x), "grown": ("product", 1 + x / 1e9)}, ("ts", "event_id"), 2)
+    return out.select("event_id", F.round("peak", 6).alias("peak"), F.round("total", 4).alias("total"), F.round("grown", 6).alias("grown"), F.round(F.try_divide("nav", "peak") - 1, 6).alias("fall"))
+
+
+@query(f"WITH {v.EVENTS} SELECT asset, date, round(nav / greatest(max(nav) {_SO_FAR}, 1) - 1, 6) AS drawdown FROM ev")
+def drawdown_ranges(spark, folder):
+    return v.rounded(long_drawdown(v.events(spark, folder), 1.0, span=7).select("asset", "date", "drawdown"))
+
+
+@query(f"WITH {v.EVENT_RETURNS} SELECT asset, date, round(CASE WHEN row_number() {_W} = 1 THEN 1 ELSE product(1 + coalesce(ret, 0)) {_SO_FAR} END, 6) AS nav FROM er")
+def net_value_ranges(spark, folder):
+    return v.rounded(long_net_value(v.event_returns(spark, folder).drop("nav"), span=7).select("asset", "date", "nav"))
 
 
 @query(f"""WITH {v.EVENTS}, p AS (SELECT *, row_number() {_W} AS i, max(nav) {_SO_FAR} AS peak FROM ev), f AS (SELECT asset, peak, min(i) AS pi FROM p GROUP BY asset, peak), d AS (SELECT p.*, 1 - nav / peak AS dd, pi FROM p JOIN f USING (asset, peak)),

@@ -49,10 +49,22 @@ def frontier_special(spark, folder):
     return v.rounded(f.special(f.finite_points(_points(spark, folder))), 5)
 
 
-@query(f"WITH {_LATTICE} SELECT candidate FROM pts WHERE w1 + w2 BETWEEN 0.3 - 1e-9 AND 0.6 + 1e-9 AND w3 <= 0.5 + 1e-9")
+#: Candidate weights of the panel itself: each day's shares of the event types.
+_SHARES = f"""{v.EVENTS}, k AS (SELECT date, coalesce(sum(nav) FILTER (WHERE asset = 'click'), 0) AS a, coalesce(sum(nav) FILTER (WHERE asset = 'purchase'), 0) AS b, coalesce(sum(nav) FILTER (WHERE asset = 'view'), 0) AS c FROM ev GROUP BY date),
+sh AS (SELECT CAST(date AS VARCHAR) AS candidate, a / (a + b + c) AS x, b / (a + b + c) AS y, c / (a + b + c) AS z FROM k WHERE a + b + c > 0)"""
+
+
+def _shares(spark, folder):
+    sums = [F.coalesce(F.sum(F.when(F.col("asset") == a, F.col("nav"))), F.lit(0.0)) for a in ASSETS]
+    total = F.col("k")[0] + F.col("k")[1] + F.col("k")[2]
+    days = v.events(spark, folder).groupBy("date").agg(F.array(*sums).alias("k")).where(total > 0)
+    return days.select(F.col("date").cast("string").alias("candidate"), F.transform("k", lambda x: x / total).alias("w"))
+
+
+@query(f"WITH {_SHARES} SELECT candidate FROM sh WHERE x + y BETWEEN 0.3 - 1e-9 AND 0.6 + 1e-9 AND z <= 0.5 + 1e-9")
 def frontier_group_limits(spark, folder):
     groups = [(("click", "purchase"), 0.3, 0.6), (("view",), 0.0, 0.5)]
-    return f.lattice(spark, ASSETS).where(f.within(F.col("w"), ASSETS, groups)).select("candidate")
+    return _shares(spark, folder).where(f.within(F.col("w"), ASSETS, groups)).select("candidate")
 
 
 _LIMITS = [(("click", "purchase"), 0.3, 0.7)]
@@ -104,30 +116,29 @@ def frontier_buckets(spark, folder):
     return f.best_of_buckets(_points(spark, folder), 7).select(F.col("bucket").cast("bigint").alias("bucket"), "candidate")
 
 
-@query("""WITH k AS (SELECT a || '-' || b || '-' || (10 - a - b) AS candidate, a / 10.0 AS x, b / 10.0 AS y, (10 - a - b) / 10.0 AS z FROM range(0, 11) x(a), range(0, 11) y(b) WHERE a + b <= 10), q AS (SELECT candidate, round_even(x / 0.25, 0) * 0.25 AS x, round_even(y / 0.25, 0) * 0.25 AS y, round_even(z / 0.25, 0) * 0.25 AS z FROM k)
+@query(f"""WITH {_SHARES}, q AS (SELECT candidate, round_even(x / 0.05, 0) * 0.05 AS x, round_even(y / 0.05, 0) * 0.05 AS y, round_even(z / 0.05, 0) * 0.05 AS z FROM sh)
 SELECT candidate, round(x / (x + y + z), 6) AS w1, round(y / (x + y + z), 6) AS w2, round(z / (x + y + z), 6) AS w3 FROM q""")
 def weights_quantised(spark, folder):
-    return f.lattice(spark, ASSETS).withColumn("q", f.quantised(F.col("w"), 0.25)).select("candidate", *(F.round(F.col("q")[i], 6).alias(f"w{i + 1}") for i in range(3)))
+    return _shares(spark, folder).withColumn("q", f.quantised(F.col("w"), 0.05)).select("candidate", *(F.round(F.col("q")[i], 6).alias(f"w{i + 1}") for i in range(3)))
 
 
-@query("SELECT a || '-' || b || '-' || (10 - a - b) AS candidate, true AS ok FROM range(0, 11) x(a), range(0, 11) y(b) WHERE a + b <= 10")
+@query(f"""WITH {_SHARES}, c AS (SELECT candidate, least(greatest(x, 0.1), 0.6) AS x, least(greatest(y, 0.2), 0.5) AS y, least(greatest(z, 0), 0.45) AS z FROM sh), g AS (SELECT *, 1 - x - y - z AS gap FROM c),
+r AS (SELECT *, CASE WHEN gap > 0 THEN 0.6 - x ELSE x - 0.1 END AS rx, CASE WHEN gap > 0 THEN 0.5 - y ELSE y - 0.2 END AS ry, CASE WHEN gap > 0 THEN 0.45 - z ELSE z END AS rz FROM g)
+SELECT candidate, round(x + CASE WHEN abs(gap) < 1e-12 THEN 0 ELSE gap * rx / (rx + ry + rz) END, 6) AS w1, round(y + CASE WHEN abs(gap) < 1e-12 THEN 0 ELSE gap * ry / (rx + ry + rz) END, 6) AS w2, round(z + CASE WHEN abs(gap) < 1e-12 THEN 0 ELSE gap * rz / (rx + ry + rz) END, 6) AS w3 FROM r""")
 def weights_repaired(spark, folder):
-    low, high = (0.1, 0.2, 0.0), (0.6, 0.5, 0.45)
-    w = f.repaired(F.col("w"), low, high)
-    total = F.aggregate("r", F.lit(0.0), lambda a, x: a + x)
-    inside = F.lit(True)
-    for i in range(3):
-        inside = inside & F.col("r")[i].between(low[i] - 1e-9, high[i] + 1e-9)
-    return f.lattice(spark, ASSETS).withColumn("r", w).select("candidate", (inside & (F.abs(total - 1) < 1e-9)).alias("ok"))
+    rows = _shares(spark, folder).withColumn("r", f.repaired(F.col("w"), (0.1, 0.2, 0.0), (0.6, 0.5, 0.45)))
+    return rows.select("candidate", *(F.round(F.col("r")[i], 6).alias(f"w{i + 1}") for i in range(3)))
 
 
-@query("SELECT CAST(6000 AS BIGINT) AS n, CAST(6000 AS BIGINT) AS on_simplex, true AS near_uniform")
+@query(f"WITH {_SHARES}, t AS (SELECT candidate, unnest([1, 2]) AS turn FROM sh) SELECT candidate, CAST(turn AS INTEGER) AS turn, true AS on_simplex, true AS near FROM t")
 def frontier_random(spark, folder):
-    rows = f.random_weights(spark, 3, 2000)
-    rows = rows.unionByName(f.walk(rows, tries=2))
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    good = (F.abs(total - 1) < 1e-9) & F.forall("w", lambda x: x >= 0)
-    return rows.agg(F.count("*").alias("n"), F.sum(good.cast("bigint")).alias("on_simplex"), (F.abs(F.avg(F.col("w")[0]) - 1 / 3) < 0.02).alias("near_uniform"))
+    """Walks from each day's shares: every step stays on the simplex and no weight moves by more than its size."""
+    days = _shares(spark, folder)
+    steps = f.walk(days, 0.1, 2).select(F.substring_index("candidate", "/", 1).alias("day"), F.substring_index("candidate", "/", -1).cast("int").alias("turn"), F.col("w").alias("to"))
+    joined = steps.join(days.select(F.col("candidate").alias("day"), "w"), "day")
+    total = F.aggregate("to", F.lit(0.0), lambda a, x: a + x)
+    near = F.forall(F.zip_with("to", "w", lambda a, b: F.abs(a - b)), lambda d: d <= 0.1 + 1e-9)
+    return joined.select(F.col("day").alias("candidate"), "turn", ((F.abs(total - 1) < 1e-9) & F.forall("to", lambda x: x >= 0)).alias("on_simplex"), near.alias("near"))
 
 
 _SCORE = f"""{UNIVERSE}, iv AS (SELECT pos AS id, 'issue' AS k, issue_amount AS x, 0.5 AS w, true AS up FROM universe UNION ALL SELECT pos, 'fee', m_fee, 0.3, false FROM universe UNION ALL SELECT pos, 'return', exp_return, 0.2, true FROM universe),
@@ -155,6 +166,12 @@ def equal_weights(spark, folder):
     return weights.equal_percents(universe(spark, folder), "market", "pos").select("pos", "market", "percent")
 
 
+@query(f"""WITH {UNIVERSE}, g AS (SELECT pos, market, row_number() OVER (PARTITION BY market ORDER BY pos) AS k, count(*) OVER (PARTITION BY market) AS n FROM universe)
+SELECT pos, market, (10000 // n + CASE WHEN k = 1 THEN 10000 - (10000 // n) * n ELSE 0 END) / 100.0 AS percent FROM g""")
+def equal_weights_first(spark, folder):
+    return weights.equal_percents_first(universe(spark, folder), "market", "pos").select("pos", "market", "percent")
+
+
 @query(f"WITH {UNIVERSE} SELECT market AS asset_name, code AS etf_code, name AS etf_name, m_fee AS etf_weight, pos FROM universe")
 def alloc_nested_roundtrip(spark, folder):
     rows = universe(spark, folder).select(F.col("market").alias("asset_name"), F.col("code").alias("etf_code"), F.col("name").alias("etf_name"), F.col("m_fee").alias("etf_weight"), "pos")

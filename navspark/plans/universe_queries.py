@@ -84,9 +84,9 @@ def list_trend_filtered(spark, folder):
     return u.listings(u.with_facet_exact(u.with_facet_exact(universe(spark, folder), "market", ["E"]), "no_such_dimension", ["x"]))
 
 
-@query(f"WITH {UNIVERSE} SELECT pos, ts_code FROM universe WHERE market IN ('e')")
+@query(f"WITH {UNIVERSE} SELECT pos, ts_code FROM universe WHERE market IN ('e', 'O')")
 def facet_case_sensitive(spark, folder):
-    return u.present(u.with_facet_exact(universe(spark, folder), "market", ["e"]), ["pos", "ts_code", "no_such_column"])
+    return u.present(u.with_facet_exact(universe(spark, folder), "market", ["e", "O"]), ["pos", "ts_code", "no_such_column"])
 
 
 @query(f"WITH {UNIVERSE} SELECT pos, ts_code, name FROM universe WHERE contains(lower(ts_code), '1.s') OR contains(lower(code), '1.s') OR contains(lower(name), '1.s') OR contains(lower(management), '1.s')")
@@ -210,3 +210,17 @@ def first_of_each(spark, folder):
 @query(f"WITH {UNIVERSE}, r AS (SELECT market, ts_code, row_number() OVER (PARTITION BY market ORDER BY pos) AS rank FROM universe) SELECT market, ts_code, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def first_in_market(spark, folder):
     return u.rank_within(universe(spark, folder), "market", "pos", 3).select("market", "ts_code", "rank")
+
+
+@query("SELECT DISTINCT p_brand AS label FROM part WHERE contains(lower(p_brand), 'brand#1')")
+def option_search(spark, folder):
+    return u.options(table(spark, folder, "part"), "p_brand", " BRAND#1 ")
+
+
+@query(f"""WITH {UNIVERSE}, t AS (SELECT pos, pos * 1000.0 AS amount, (pos % 9 - 4) * 1234.5 AS move, pos % 7 = 0 AS gone, management FROM universe)
+SELECT pos, CASE WHEN gone THEN '--' WHEN amount >= 10000 THEN regexp_replace(regexp_replace(format('{{:,.2f}}', round(amount / 10000, 2)), '0+$', ''), '\\.$', '') || ' 亿' ELSE format('{{:,d}}', CAST(amount AS BIGINT)) || ' 万' END AS issue,
+  CASE WHEN gone THEN '--' ELSE CASE WHEN move >= 0 THEN '+' ELSE '' END || format('{{:,.2f}}', move) || '%' END AS change, format('{{:,.1f}}', move * 100) || '%' AS ratio, coalesce(nullif(trim(management), ''), '未知') AS company FROM t""")
+def display_texts(spark, folder):
+    k = F.col("pos")
+    amount, move = F.when(k % 7 != 0, k * 1000.0), (k % 9 - 4) * 1234.5
+    return universe(spark, folder).select("pos", clean.issue_text(amount).alias("issue"), clean.percent_text(F.when(k % 7 != 0, move)).alias("change"), clean.ratio_text(move).alias("ratio"), clean.known_text(F.col("management")).alias("company"))

@@ -14,6 +14,11 @@ from navspark.operators.universe import first_rows
 ALIASES = {"code": ("code", "ts_code"), "name": ("name", "fund_name"), "management": ("management", "manager"), "found_date": ("found_date", "foundation_date")}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def nav_of(spark: SparkSession, path: str, codes: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Net asset values of products by code or name; both lists reach the Parquet scan as filters."""
     rows = spark.read.parquet(path).select("ts_code", "name", "date", "adj_nav")
@@ -40,6 +45,21 @@ def universe_file(spark: SparkSession, path: str) -> DataFrame:
     return universe(spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.parquet(path))
 
 
+def table_or_seed(spark: SparkSession, paths: Sequence[str], seed: DataFrame) -> DataFrame:
+    """The Parquet tables that are there, as one; if none is, the seed rows, which are written to the first path.
+
+    A path that someone else writes meanwhile is left as it is.
+    """
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        seed.write.mode("ignore").parquet(paths[0])
+        return spark.read.parquet(paths[0])
+    out = spark.read.parquet(there[0])
+    for p in there[1:]:
+        out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    return out
+
+
 def save_allocation(classes: DataFrame, nav: DataFrame, folder: str, name: str) -> None:
     """Append an allocation: its nav first, then its list of members, which makes it visible.
 
@@ -55,8 +75,7 @@ def save_allocation(classes: DataFrame, nav: DataFrame, folder: str, name: str)
 
 def allocations(spark: SparkSession, folder: str) -> DataFrame:
     """Names of saved allocations, in order; none where nothing was saved."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/asset_alloc_info")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{folder}/asset_alloc_info"):
         return spark.createDataFrame([], "asset_alloc_name string")
     return spark.read.parquet(f"{folder}/asset_alloc_info").select("asset_alloc_name").distinct().orderBy("asset_alloc_name")
 
