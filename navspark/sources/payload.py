@@ -79,11 +79,11 @@ def stored_nav(spark: SparkSession, folder: str, alloc_name: str) -> DataFrame:
 def backtest(panel: DataFrame, specs: list[dict], start: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(path, markers, figures) of strategies' documents over a panel.
 
-    A strategy without ``rebalance.enabled`` is bought once and held, and has no
-    markers; ``recalc`` solves its model anew on each rebalancing date from the
+    A strategy without ``rebalance.enabled``, or whose calendar has no date, is
+    bought once and held, and has no markers; ``recalc`` solves its model anew on each rebalancing date from the
     panel's history up to it, other ones return to their weights.  Without
-    weights the classes count the same.  Repeated names and calendars without any
-    date are errors.
+    weights the classes count the same.  Repeated names, and panels too short for
+    any window of a model, are errors.
     """
     spark = panel.sparkSession
     names = [name_of(s) for s in specs]
@@ -98,14 +98,14 @@ def backtest(panel: DataFrame, specs: list[dict], start: str | None = None) -> t
         listed = spec.get("classes")
         given = {c["name"]: float(c.get("weight") or 0.0) for c in listed} if listed else dict(zip(assets, spec.get("weights") or [1.0] * len(assets)))
         fixed = spark.createDataFrame([(name, a, given.get(a, 0.0)) for a in assets], "strategy string, asset string, weight double")
-        if not rb.get("enabled"):
+        dates = None
+        if rb.get("enabled"):
+            dates = once(r.rebalance_dates(panel, str(rb.get("mode", "monthly")), str(rb.get("which", "nth")), str(rb.get("unit", "trading")), int(rb.get("N", 1)), int(rb.get("fixedInterval", 20))))
+        if dates is None or dates.isEmpty():
             found_paths.append(held_path(panel, fixed))
             continue
-        dates = r.rebalance_dates(panel, str(rb.get("mode", "monthly")), str(rb.get("which", "nth")), str(rb.get("unit", "trading")), int(rb.get("N", 1)), int(rb.get("fixedInterval", 20)))
         model = spec.get("model") or {}
         dates = once(r.gated(panel, dates, model.get("window_mode"), model.get("data_len")))
-        if dates.isEmpty():
-            raise ValueError(f"{name} has no rebalancing date")
         at = dates.select(F.lit(name).alias("strategy"), "date")
         solved = schedule(full, [strategy_of(spec)], at) if rb.get("recalc") and spec.get("type") in ("risk_budget", "target") else fixed
         path, markers = r.paths(panel, solved, at)

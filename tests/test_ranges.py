@@ -114,8 +114,11 @@ def test_payload_run(spark, tmp_path):
     assert {x.strategy for x in spark.read.json(f"{at}/out/metrics").collect()} == {"held", "monthly", "budget", "equal"}
     with pytest.raises(ValueError):
         payload.backtest(payload.stored_nav(spark, at, "demo"), [{"type": "x"}, {"type": "x"}])
+    never = payload.backtest(payload.stored_nav(spark, at, "demo"), [{"type": "x", "rebalance": {"enabled": True, "mode": "never"}}])
+    assert never[0].count() == 90 and never[1].count() == 0
     with pytest.raises(ValueError):
-        payload.backtest(payload.stored_nav(spark, at, "demo"), [{"type": "x", "rebalance": {"enabled": True, "mode": "never"}}])
+        model = {"window_mode": "rollingN", "data_len": 91}
+        payload.backtest(payload.stored_nav(spark, at, "demo"), [{"type": "x", "rebalance": {"enabled": True}, "model": model}])
 
 
 def test_table_or_seed(spark, tmp_path):
