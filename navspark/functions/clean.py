@@ -73,6 +73,12 @@ def round_even(value: Column, places: int = 4) -> Column:
 
 
 def issue_text(amount: Column) -> Column:
+    """An amount in 万, from 10 000 on in 亿, with two decimals; missing is ``--``."""
+    large = F.concat(F.format_number(amount / 10000, 2), F.lit("亿"))
+    return F.when(amount.isNull(), "--").when(amount >= 10000, large).otherwise(F.concat(F.format_number(amount, 2), F.lit("万")))
+
+
+def amount_text(amount: Column) -> Column:
     """An amount in 万, from 10 000 on either side in 亿, with two decimals at most; missing is ``--``."""
     large = F.concat(_plain(amount / 10000), F.lit(" 亿"))
     return F.when(_unknown(amount), "--").when(F.abs(amount) >= 10000, large).otherwise(F.concat(_plain(amount), F.lit(" 万")))

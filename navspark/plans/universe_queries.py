@@ -223,4 +223,4 @@ SELECT pos, CASE WHEN gone THEN '--' WHEN amount >= 10000 THEN regexp_replace(re
 def display_texts(spark, folder):
     k = F.col("pos")
     amount, move = F.when(k % 7 != 0, k * 1000.0), (k % 9 - 4) * 1234.5
-    return universe(spark, folder).select("pos", clean.issue_text(amount).alias("issue"), clean.percent_text(F.when(k % 7 != 0, move)).alias("change"), clean.ratio_text(move).alias("ratio"), clean.known_text(F.col("management")).alias("company"))
+    return universe(spark, folder).select("pos", clean.amount_text(amount).alias("issue"), clean.percent_text(F.when(k % 7 != 0, move)).alias("change"), clean.ratio_text(move).alias("ratio"), clean.known_text(F.col("management")).alias("company"))

@@ -150,5 +150,5 @@ def test_small_operators(spark):
     labels = spark.createDataFrame([("Ab",), ("b",), (None,), ("c",)], "x string")
     assert {x.label for x in universe.options(labels, "x", " B ").collect()} == {"Ab", "b"} and universe.options(labels, "x", " ").count() == 3
     amounts = spark.createDataFrame([(12345678.0,), (-20000.0,), (1234.5,), (float("nan"),), (None,)], "x double")
-    assert [x[0] for x in amounts.select(clean.issue_text(F.col("x"))).collect()] == ["1,234.57 亿", "-2 亿", "1,234.5 万", "--", "--"]
+    assert [x[0] for x in amounts.select(clean.amount_text(F.col("x"))).collect()] == ["1,234.57 亿", "-2 亿", "1,234.5 万", "--", "--"]
     assert [x[0] for x in amounts.select(clean.percent_text(F.col("x"))).collect()] == ["+12,345,678.00%", "-20,000.00%", "+1,234.50%", "--", "--"]
