@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from navspark.llm.shared import staged
+
 #: Headers that a 304 response may update (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: A URL's time line is cut into at most so many pieces.
 PIECES = 4096
+#: Revisits of one response that are joined in one group.
+GROUP = 16_384
 
 
 def canonical_url(url: Column) -> Column:
@@ -59,12 +63,15 @@ def resolved(
     of the revisit that a 304 may update; the others have their own headers and
     no payload.  ``ts`` is a number of any unit, a timestamp, a date, or a text
     that casts to a timestamp, as WARC dates do; other texts are no time.
-    Payloads of any length are moved whole.  Repeated revisits are resolved alike; ids and payloads may be
-    null; an empty table gives an empty result.  Other columns are ignored.
+    Payloads of any length are moved whole.  Repeated revisits are resolved
+    alike; ids and payloads may be null; an empty table gives an empty result.
+    Other columns are ignored.
 
     A URL's time line is cut into pieces of time, so a URL that holds a third
     of all rows is many groups: the last response of each earlier piece is
-    carried over by a second window over at most ``PIECES`` rows a URL.
+    carried over by a second window over at most ``PIECES`` rows a URL.  A
+    response that many revisits stand for is copied to groups of about GROUP of
+    them before its payload is joined.
     """
     rows = records.select(
         F.col(id_col).alias("record_id"), canonical_url(F.col(url_col)).alias("canonical"), F.col(ts_col).alias("ts"), moment(records, ts_col).alias("tick"), F.col(kind_col).alias("kind"),
@@ -75,19 +82,28 @@ def resolved(
     piece = F.expr(f"(tick - {low or 0}L) div {width}L").cast("int")
     timed = rows.where("canonical is not null and tick is not null").withColumn("piece", piece)
 
-    moments = timed.where("kind in ('response', 'revisit')").select("canonical", "piece", "tick", F.when(F.col("kind") == "response", F.col("tick")).alias("at"))
-    moments = moments.groupBy("canonical", "piece", "tick").agg(F.max("at").alias("at"))
+    moments = timed.where("kind in ('response', 'revisit')").select("canonical", "piece", "tick", F.when(F.col("kind") == "response", F.col("tick")).alias("at"), (F.col("kind") == "revisit").alias("asked"))
+    moments = moments.groupBy("canonical", "piece", "tick").agg(F.max("at").alias("at"), F.max("asked").alias("asked"))
     before = Window.partitionBy("canonical", "piece").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
     inside = moments.withColumn("found", F.last("at", ignorenulls=True).over(before))
     earlier = Window.partitionBy("canonical").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = moments.groupBy("canonical", "piece").agg(F.max("at").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).drop("last")
-    matched = inside.join(carried, ["canonical", "piece"]).select("canonical", "tick", F.coalesce("found", "carried").alias("at"))
+    matched = inside.where("asked").join(carried, ["canonical", "piece"]).select("canonical", "tick", F.coalesce("found", "carried").alias("at"))
+    matched = staged(matched, "moments")
 
-    revisits = rows.where("kind = 'revisit'").withColumnRenamed("headers", "own").drop("kind", "payload")
+    # Numbered as they are read, so that repeated rows are dealt apart too.
+    revisits = rows.where("kind = 'revisit'").withColumnRenamed("headers", "own").drop("kind", "payload").withColumn("nth", F.monotonically_increasing_id())
     revisits = revisits.join(matched, ["canonical", "tick"], "left")
+    # One row per response with more revisits than GROUP; being a written table, it is broadcast only if its files are small.
+    busy = revisits.where("at is not null").groupBy("canonical", "at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    busy = staged(busy.where("groups > 1"), "busy")
+    groups = F.coalesce("groups", F.lit(1))
+    dealt = revisits.join(busy, ["canonical", "at"], "left").withColumn("group", F.pmod(F.xxhash64("nth"), groups).cast("int"))
+    responses = timed.where("kind = 'response'").withColumnRenamed("tick", "at").join(busy, ["canonical", "at"], "left")
+    copied = responses.withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1)))
     answer = F.struct(F.col("record_id").alias("response_id"), "headers", "payload")
-    best = timed.where("kind = 'response'").groupBy("canonical", F.col("tick").alias("at")).agg(F.max_by(answer, F.coalesce(F.col("record_id"), F.lit(-1))).alias("answer"))
-    joined = revisits.join(best, ["canonical", "at"], "left")
+    best = copied.groupBy("canonical", "at", "group").agg(F.max_by(answer, F.coalesce(F.col("record_id"), F.lit(-1))).alias("answer"))
+    joined = dealt.join(best, ["canonical", "at", "group"], "left")
     stored = F.col("answer.headers")
     tag, other = _strong(F.col("own")["etag"]), _strong(stored["etag"])
     date, since = F.trim(F.col("own")["last-modified"]), F.trim(stored["last-modified"])
