@@ -91,7 +91,9 @@ class PrefixHash:
 
     def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
         """62-bit hashes of the spans of ``length`` from each start."""
-        high, low = (_mod((h[starts + length] - h[starts] + P) * inverse[starts]) for h, inverse in zip(self.prefix, self.powers[2:]))
+        # A negative difference is lifted by P, so that every product is below 2^62, as _mod needs.
+        sums = (h[starts + length] - h[starts] for h in self.prefix)
+        high, low = (_mod((d + (P & (d >> 63))) * inverse[starts]) for d, inverse in zip(sums, self.powers[2:]))
         return (high << 31) | low
 
     def span(self, start: int, stop: int) -> int:

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import os
 import random
 import re
 import time
@@ -305,6 +306,20 @@ def test_warc_cases(spark):
     assert warc.resolved(hot).where("response_id = record_id - record_id % 3 and outcome = 'unverified'").count() == 4000
 
 
+def test_warc_hot_response(spark, monkeypatch):
+    """A response with many revisits, repeated rows and rows without id among them, in groups of 8."""
+    none = None
+    data = [(0, "http://hot.test/", 0, "response", none, "old"), (1, "http://hot.test/", 0, "response", none, "body"), (2, "http://hot.test/", 500, "response", none, "late"), (3, "http://cold.test/", 5, "response", none, "cold")]
+    data += [(10 + i, "http://hot.test/", 1 + i % 499, "revisit", none, none) for i in range(400)]
+    data += [(7, "http://hot.test/", 9, "revisit", none, none)] * 60 + [(none, "http://hot.test/", 501, "revisit", none, none)] * 60 + [(8, "http://cold.test/", 6, "revisit", none, none)] * 3
+    df = spark.createDataFrame(data, "record_id bigint, url string, ts bigint, kind string, headers map<string,string>, payload string").withColumn("group", F.lit("clash"))
+    shown = lambda: collections.Counter((r.record_id, r.outcome, r.response_id, r.payload) for r in warc.resolved(df).collect())
+    plain = shown()
+    monkeypatch.setattr(warc, "GROUP", 8)
+    want = collections.Counter({(10 + i, "unverified", 1, "body"): 1 for i in range(400)} | {(7, "unverified", 1, "body"): 60, (none, "unverified", 2, "late"): 60, (8, "unverified", 3, "cold"): 3})
+    assert shown() == plain == want
+
+
 # 3. Decontamination.
 
 
@@ -814,9 +829,39 @@ def test_prefix_hashes():
     assert a.span(0, 8) == a.span(9, 17) and a.span(0, 9) != a.span(1, 10) and a.span(0, 3) == b.span(2, 5)
     assert a.common_extension(a, 0, 3) == 5 and a.common_extension(b, 0, 2) == 7 and a.common_extension(b) == 0 and a.common_extension(a, 17, 0) == 0
     assert a.replaced(4, prints.code_points("XY")).span(0, 6) == prints.PrefixHash.of("abcaXY").span(0, 6)
+    # Equal spans have one hash wherever they stand, alone or in arrays.
+    text = prints.PrefixHash.of("the same words " * 400)
+    found = text.spans(np.arange(15 * 390), 60).reshape(390, 15)
+    assert (found == found[0]).all() and found[0].tolist() == [text.span(i, i + 60) for i in range(15)]
     assert prints.PrefixHash.of("").fingerprint() == prints.PrefixHash.of("").fingerprint()
 
 
+def slow_print(text):
+    """The fingerprint by its definition: every span hashed from its own code points."""
+    p, n = (1 << 31) - 1, len(text)
+
+    def of(span):
+        high, low = (sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(span)) % p for base in (911382323, 972663749))
+        return high << 31 | low
+
+    span, short = min(16, n), min(4, n)
+    found = [of(text[i : i + span]) for i in range(n - span + 1)] + [of(text[i : i + short]) for i in range(max(0, min(n - short + 1, 256 - n)))] if n else []
+    least = [None] * 64
+    for h in found:
+        h = h * 0x9E3779B97F4A7C15 % (1 << 64)
+        h = (h ^ h >> 29) % (1 << 62)
+        if least[h % 64] is None or h // 64 < least[h % 64]:
+            least[h % 64] = h // 64
+    return f"{n:x}-{of(text):016x}-" + "".join("00" if x is None else f"{x % 255 + 1:02x}" for x in least)
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    pairs = [(x, y) for x, y in zip(bytes.fromhex(a.split("-")[2]), bytes.fromhex(b.split("-")[2])) if x or y]
+    return max(0.0, (sum(x == y for x, y in pairs) / len(pairs) * 255 - 1) / 254) if pairs else 0.0
+
+
 def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(8)
     docs = [(i * 3, prose(rng, rng.randrange(0, 60))) for i in range(80)] + [(1, None), (4, "é🙂日本語"), (7, "x"), (10, prose(random.Random(8), 40)), (13, prose(random.Random(8), 40)), (13, "another text of thirteen"), (13, "another text of thirteen"), (None, "no id here")]
@@ -829,6 +874,8 @@ def test_fingerprints_equal_brute_force(spark):
     for d, t in docs:
         by_id[d].append(t or "")
     one = {d: by_id[d][0] for d in order if len(set(by_id[d])) == 1}
+    checked = 0
+    assert all(r.fingerprint in {slow_print(t) for t in by_id[d]} for d in got for r in got[d])
     for k, d in enumerate(order):
         following = order[(k + 1) % len(order)]
         if following not in one:
@@ -837,9 +884,12 @@ def test_fingerprints_equal_brute_force(spark):
             for t in set(by_id[d]):
                 cut = len(t) // 3
                 edit = t[: len(t) - cut] + one[following][:cut]
-                if r.n_chars == len(t) and r.fingerprint == prints.PrefixHash.of(t).fingerprint():
-                    assert r.edited_sha256 == hashlib.sha256(edit.encode()).hexdigest() and r.edited_fingerprint == prints.PrefixHash.of(edit).fingerprint()
-                    assert r.near_next == prints.likeness(r.fingerprint, prints.PrefixHash.of(one[following]).fingerprint()) and 0 <= r.near_edited <= 1
+                if r.n_chars == len(t) and r.fingerprint == slow_print(t):
+                    checked += 1
+                    assert r.edited_sha256 == hashlib.sha256(edit.encode()).hexdigest() and r.edited_fingerprint == slow_print(edit)
+                    assert r.near_edited == pytest.approx(slow_likeness(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(slow_likeness(r.fingerprint, slow_print(one[following])))
+                    assert (r.common_prefix, r.common_with_next) == (len(os.path.commonprefix([t, edit])), len(os.path.commonprefix([t, one[following]])))
+    assert checked >= len(order) - 2
     assert got[10][0].fingerprint in {r.fingerprint for r in got[13]} and len({r.fingerprint for r in got[13]}) == 2
     alone = prints.fingerprints(spark.createDataFrame([(5, "abcdef")], SCHEMA)).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
