@@ -163,43 +163,62 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
 
 
+def _first_by(products: DataFrame, key: Column) -> DataFrame:
+    """(k, first): of each value of ``key`` the first product, (pos, ts_code, name)."""
+    return products.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.min(F.struct("pos", "ts_code", "name")).alias("first"))
+
+
 def resolve(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Requested (req_code, req_name) with the product they mean.
 
     An exact code comes first, then a code without suffix, an exact name, and
     last a code that holds the requested one without its suffix; each time the
-    first in table order.  All are equality joins.
+    first in table order.  All are equality joins with one product a key, so a
+    name that many products have is met once by a request.  Only what a step
+    leaves open goes to the next.
     """
     p = once(products.select("pos", "ts_code", "name"))
-    requests = once(requests.select("req_code", "req_name").distinct().withColumn("bare", strip_suffix(F.col("req_code"))))
-    by = lambda key, other, rank: requests.join(p.withColumn("k", other), key == F.col("k")).drop("k").withColumn("match_rank", F.lit(rank))
-    exact = by(F.col("req_code"), F.col("ts_code"), 0).unionByName(by(F.col("bare"), strip_suffix(F.col("ts_code")), 1)).unionByName(by(F.col("req_name"), F.col("name"), 2))
-    best = exact.groupBy("req_code", "req_name").agg(F.min(F.struct("match_rank", "pos", "ts_code", "name")).alias("m"))
-    best = best.select(F.col("req_code").alias("code"), F.col("req_name").alias("asked"), "m")
-    known = once(requests.join(best, F.col("req_code").eqNullSafe(F.col("code")) & F.col("req_name").eqNullSafe(F.col("asked")), "left").drop("code", "asked"))
-    held = holding(known.where(F.col("m").isNull() & (F.col("bare") != "")).select(F.col("bare").alias("part")).distinct(), p)
-    last = F.when(held["held"].isNotNull(), F.struct(F.lit(3).alias("match_rank"), "held.pos", "held.ts_code", "held.name"))
-    found = known.join(held, F.col("m").isNull() & (F.col("bare") == F.col("part")), "left").withColumn("m", F.coalesce("m", last))
+    asked = requests.select("req_code", "req_name").distinct().withColumn("bare", strip_suffix(F.col("req_code")))
+    hit = lambda of, rank: F.when(F.col(of).isNotNull(), F.struct(F.lit(rank).alias("match_rank"), f"{of}.pos", f"{of}.ts_code", f"{of}.name"))
+
+    def step(rows: DataFrame, wanted: str, key: Column, rank: int) -> DataFrame:
+        joined = rows.join(_first_by(p, key), F.col(wanted) == F.col("k"), "left").withColumn("found", hit("first", rank))
+        return joined.withColumn("m", F.coalesce("m", "found") if "m" in rows.columns else F.col("found")).drop("k", "first", "found")
+
+    coded = once(step(step(asked, "req_code", F.col("ts_code"), 0), "bare", strip_suffix(F.col("ts_code")), 1))
+    named = once(step(coded.where("m is null"), "req_name", F.col("name"), 2))
+    open_ = named.where("m is null").drop("m")
+    held = holding(open_.where("bare <> ''").select(F.col("bare").alias("part")).distinct(), p)
+    last = open_.join(held, F.col("bare") == F.col("part"), "left").withColumn("m", hit("held", 3)).select(coded.columns)
+    found = coded.where("m is not null").unionByName(named.where("m is not null")).unionByName(last)
     return found.select("req_code", "req_name", "m.match_rank", F.col("m.ts_code").alias("ts_code"), F.col("m.name").alias("name"))
 
 
 def holding(parts: DataFrame, products: DataFrame) -> DataFrame:
     """(part, held): for each distinct text the first product whose code holds it, (pos, ts_code, name); none if there is none.
 
-    Codes are indexed by the strings of the lengths that are asked for, GRAM
-    characters at most.  For a part of such a length the index's first product
-    is the answer.  A longer part is met with the codes that hold the rarest of
-    its strings, and compared with those only.
+    Codes are indexed by the strings that are asked for: parts of GRAM
+    characters at most, and the strings of GRAM characters of longer ones.  For
+    a short part the index's first product is the answer.  A longer part is met
+    with the codes that hold the rarest of its strings, and compared with those
+    only.
     """
     parts = once(parts.select("part", F.least(F.length("part"), F.lit(GRAM)).alias("size")).where("size > 0"))
     # One row, with GRAM numbers at most.
     sizes = parts.agg(F.array_sort(F.collect_set("size")).alias("sizes"))
     product = F.struct("pos", "ts_code", "name")
-    grams = F.flatten(F.transform("sizes", lambda n: F.coalesce(_grams(F.col("ts_code"), n), F.array().cast("array<string>"))))
-    indexed = products.where("ts_code is not null").crossJoin(F.broadcast(sizes)).select(F.explode(grams).alias("gram"), product.alias("held"))
+    long = parts.where(F.length("part") > GRAM).select("part", F.explode(_grams(F.col("part"), F.lit(GRAM))).alias("gram"))
+    wanted = once(parts.where(F.length("part") <= GRAM).select(F.col("part").alias("gram")).unionByName(long.select("gram")).distinct())
+    # The table is small beside its strings, so they are cut by all cores.
+    spread = products.where("ts_code is not null").repartition(products.sparkSession.sparkContext.defaultParallelism)
+    sized = spread.crossJoin(F.broadcast(sizes)).withColumn("size", F.explode("sizes")).where(F.length("ts_code") >= F.col("size"))
+    starts = sized.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("ts_code") - F.col("size") + 1)))
+    strings = starts.select(F.substring("ts_code", F.col("at"), F.col("size")).alias("gram"), "pos", "ts_code", "name")
+    indexed = strings.join(wanted, "gram", "left_semi").select("gram", product.alias("held"))
     index = once(indexed.groupBy("gram").agg(F.min("held").alias("held"), F.count("*").alias("n")))
     short = parts.where(F.length("part") <= GRAM).join(index, F.col("part") == F.col("gram")).select("part", "held")
-    long = parts.where(F.length("part") > GRAM).select("part", F.explode(_grams(F.col("part"), F.lit(GRAM))).alias("gram"))
+    if long.isEmpty():
+        return short
     # A string that no code has ends the search: it is the rarest, and meets nothing.
     rarest = long.join(index, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     near = rarest.join(indexed.where(F.length("gram") == GRAM), "gram").where(F.contains("held.ts_code", F.col("part")))

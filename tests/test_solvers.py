@@ -137,6 +137,25 @@ def test_resolution_equals_brute_force(spark):
     assert len(found) == len(expected) and got == expected
 
 
+def test_resolution_meets_a_common_name_once(spark):
+    """Joins and generators make rows in proportion to requests and products, however many share a name."""
+    n = 3000
+    products = spark.range(n).selectExpr("id as pos", "concat(id, '.SH') as ts_code", "'common' as name")
+    requests = spark.range(n).selectExpr("concat('none', id) as req_code", "'common' as req_name")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    found = universe.resolve(requests, products).collect()
+    assert len(found) == n and {(r.match_rank, r.ts_code) for r in found} == {(2, "0.SH")}
+    made, runs = 0, store.executionsList()
+    for run in (runs.apply(i) for i in range(before, runs.size())):
+        metrics, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                    made = max(made, int(metrics.apply(metric.accumulatorId()).replace(",", "")))
+    assert n <= made <= 2 * n
+
+
 @pytest.mark.parametrize("path,rate,steps", [([1, 1.2, 1.2, 0.8, 1.3], 0.4 / 1.2, 3), ([2, 1, 2, 1, 2], 0.5, 2), ([1, 1, 1], 0.0, 0), ([1, 0.5], 0.5, None)])
 def test_recovery_counts_from_the_first_of_equal_peaks(spark, path, rate, steps):
     rows = spark.createDataFrame([("a", dt.date(2024, 1, 1 + i), float(x)) for i, x in enumerate(path)], "asset string, date date, nav double")
