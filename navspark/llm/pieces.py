@@ -12,7 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ from navspark.llm.words import slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Characters and texts that both libraries get at once; they bound a worker's memory, not its result.
+BATCH, BATCH_TEXTS = 1 << 18, 8192
+#: Text bytes of a slice.
+SLICE = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -156,7 +160,7 @@ class Codec:
     """
 
     #: Characters of remembered words; beyond them a worker starts anew.
-    MEMORY = 3 << 20
+    MEMORY = 1 << 20
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -179,9 +183,18 @@ class Codec:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.equal, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), 0
 
-    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return ids, [a == b for a, b in zip(ids, self.theirs.encode(texts, num_threads=self.threads))]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, the number of each text's, whether SentencePiece agrees).
+
+        Texts go to the libraries a batch at a time, as their encodings take many times the texts' memory.
+        """
+        flat, lengths, equal = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for batch in _batches(texts):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+            equal.append(np.array([a == b for a, b in zip(ids, self.theirs.encode(batch, num_threads=self.threads))], bool))
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lengths), np.concatenate(equal)
 
     def _learn(self, words: list[str]) -> np.ndarray:
         """The places of the words in the memory."""
@@ -189,12 +202,11 @@ class Codec:
             self.forget()
         new = [w for w in words if w not in self.known]
         if new:
-            ids, equal = self._whole(new)
+            flat, lengths, equal = self._whole(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
+            self.flat = np.concatenate((self.flat, flat))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
-            self.equal = np.concatenate((self.equal, np.array(equal, bool)))
+            self.equal = np.concatenate((self.equal, equal))
             self.held += sum(map(len, new))
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
@@ -222,9 +234,10 @@ class Codec:
             for k, text in enumerate(easy):
                 ids[text], parity[text] = tokens[cut[k] : cut[k + 1]], bool(good[k + 1] == good[k])
         if len(hard):
-            found, same = self._whole(plain.take(pa.array(hard)).to_pylist())
-            for text, x, e in zip(hard, found, same):
-                ids[text], parity[text] = np.array(x, np.int32), e
+            flat, size, same = self._whole(plain.take(pa.array(hard)).to_pylist())
+            stop = np.cumsum(size)
+            for text, low, high, e in zip(hard, stop - size, stop, same):
+                ids[text], parity[text] = flat[low:high], bool(e)
         return pa.array(ids, pa.list_(pa.int32())), pa.array(parity, pa.bool_())
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
@@ -264,6 +277,19 @@ class Codec:
         return "".join(out)
 
 
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in batches of BATCH characters or BATCH_TEXTS texts; a longer text is a batch of its own."""
+    batch, held = [], 0
+    for text in texts:
+        if batch and (held + len(text) > BATCH or len(batch) == BATCH_TEXTS):
+            yield batch
+            batch, held = [], 0
+        batch.append(text)
+        held += len(text)
+    if batch:
+        yield batch
+
+
 def _text(data: bytes) -> str | None:
     try:
         return data.decode()
@@ -299,7 +325,7 @@ def encoded(docs: DataFrame, model: bytes, text_col: str = "text", threads: int
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(shared.value, threads)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 ids, parity = tool.encode(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, tool.decode(ids), parity], names=[*part.schema.names, "piece ids", "piece text", "piece parity"])
         tool.forget()  # the worker may serve other stages next

@@ -475,6 +475,25 @@ def test_pieces_parity_and_round_trip(spark, odd, model):
     assert [r["piece text"] for r in pieces.decoded(ids, model).collect()] == [theirs.decode([0, 5, 6]), None, "", theirs.decode([230, 131, 5000])]
 
 
+def test_pieces_reach_the_libraries_in_batches(model):
+    """Encodings take many times their texts' memory, so no slice is encoded at once; ids stay SentencePiece's."""
+    tool = pieces.Codec(model)
+    real, seen = tool.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            seen.append((len(texts), sum(map(len, texts))))
+            return real.encode_batch_fast(texts, **more)
+
+    tool.tokenizer = Spy()
+    words = " ".join(f"w{i:x}é" for i in range(40_000))
+    texts = [words, None, f"a  {words}", "", "a  b", "b a"] + [f"  {i} c" for i in range(9000)]
+    ids, parity = tool.encode(pa.array(texts))
+    assert ids.to_pylist() == [None if t is None else tool.theirs.encode(t) for t in texts]
+    assert parity.to_pylist() == [None if t is None else True for t in texts]
+    assert len(seen) > 4 and all(n == 1 or n <= 8192 and chars <= 1 << 18 for n, chars in seen)
+
+
 def test_pieces_unigram(tmp_path):
     """A unigram model written by hand, in the wire format."""
     import struct
