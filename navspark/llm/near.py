@@ -227,18 +227,33 @@ def _tokens(sets: DataFrame) -> DataFrame:
     return sets.withColumn("element", F.explode("elements")).drop("elements")
 
 
-def _by_rare(here: DataFrame, bands: DataFrame, sets: DataFrame, spread: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+def _prefixes(here: DataFrame, tokens: DataFrame, spread: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, element, before): the elements (node, element) that a similar text of a bucket may share first, in the order of rarity.
+
+    Of two similar texts the rarest element that they share has, in either,
+    all that they share at or behind it; so no more than the size without what
+    must be shared stand ``before``.
+    """
+    texts = here.groupBy("node").agg(F.max("size").alias("size"), F.min("least").alias("least")).join(own, "node", "left")
+    bounds = texts.select("node", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6).alias("spare"))
+    before = F.col("own") + F.row_number().over(Window.partitionBy("node").orderBy("df", "element")) - 1
+    mine = tokens.join(spread.select("element", "df"), "element").join(bounds.where("own <= spare"), "node")
+    return mine.withColumn("before", before).where("before <= spare").select("node", "element", "before")
+
+
+def _by_rare(here: DataFrame, bands: DataFrame, prefixes: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, n) pairs that may join classes which share a bucket.
 
     Of two texts of different classes in a bucket at least one is outside the
     bucket's largest class.  If such a text x is similar to a text y of the
-    bucket, what x does not share with y are at most size(x) - SHARED *
-    (size(x) + size(y)) elements.  So y has one of x's elements that stand, in
-    the order of rarity, behind no more than these: an equality join on rare
-    elements finds every such pair, and the further back an element stands, the
-    smaller y must be.  A text with more elements of its own, on either side,
-    drops out of the bucket, which may leave it with one class, or a greater
-    least size.  Of the pairs that meet, those that share no bucket go.
+    bucket, what either does not share with the other are at most its size less
+    SHARED * (size(x) + size(y)) elements.  So the rarest element that they
+    share stands, in the order of rarity, behind no more than these in either:
+    an equality join on such prefixes finds every such pair, and the further
+    back an element stands, the closer the sizes must be.  A text with more
+    elements of its own, on either side, drops out of the bucket, which may
+    leave it with one class, or a greater least size.  Of the pairs that meet,
+    those that share no bucket go.
     """
     here = here.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     for _ in range(2):
@@ -247,17 +262,14 @@ def _by_rare(here: DataFrame, bands: DataFrame, sets: DataFrame, spread: DataFra
     sizes = scratch.staged(here.groupBy("key", "comp").agg(F.count("*").alias("k")), "sizes")
     largest = sizes.join(sizes.groupBy("key").agg(F.max("k").alias("k")), ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main"))
     largest = scratch.staged(largest, "largest")
-    rest = here.join(largest, "key").where(F.col("comp") != F.col("main")).groupBy("node").agg(F.min("least").alias("least"))
-    every = scratch.staged(here.groupBy("node").agg(*(F.max(c).alias(c) for c in ("comp", "size", "own"))), "every")
-    rest = rest.join(every, "node").withColumn("spare", F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6).where("own <= spare")
-    mine = _tokens(sets.join(rest, "node")).join(spread.select("element", "df"), "element")
-    before = F.row_number().over(Window.partitionBy("node").orderBy("df", "element")) - 1
-    rare = mine.withColumn("before", F.col("own") + before).where("before <= spare")
-    rare = rare.select(F.col("node").alias("a"), F.col("comp").alias("in"), F.col("size").alias("size_a"), "before", "element")
-    others = _tokens(sets.join(every, "node")).select(F.col("node").alias("b"), "comp", "size", "own", "element")
+    rest = here.join(largest, "key").where(F.col("comp") != F.col("main")).select("node").distinct()
+    every = scratch.staged(here.groupBy("node").agg(*(F.max(c).alias(c) for c in ("comp", "size")), F.min("least").alias("least")), "every")
+    spare = F.col("size") - SHARED * (F.col("size") + F.col("least")) + 1e-6
+    rare = scratch.staged(prefixes.join(every, "node").where(F.col("before") <= spare).drop("least"), "rare")
+    mine = rare.join(rest, "node", "left_semi").select(F.col("node").alias("a"), F.col("comp").alias("in"), F.col("size").alias("size_a"), F.col("before").alias("before_a"), "element")
     need = SHARED * (F.col("size") + F.col("size_a")) - 1e-6
-    can = (F.col("size_a") - F.col("before") >= need) & (F.col("size") - F.col("own") >= need) & (F.least("size", "size_a") >= need)
-    met = rare.join(others, "element").where((F.col("comp") != F.col("in")) & can)
+    can = (F.col("size_a") - F.col("before_a") >= need) & (F.col("size") - F.col("before") >= need)
+    met = mine.join(rare.withColumnRenamed("node", "b"), "element").where((F.col("comp") != F.col("in")) & can)
     # Both ends of a pair may have found it.
     met = scratch.staged(met.select("a", "b").distinct(), "met")
     twice = met.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a > b")
@@ -316,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = _apart(members, label, scratch)
         if not here.isEmpty():
             many = here.where(F.col("n") > SMALL)
-            tokens = _tokens(sets.join(many.select("node").distinct(), "node", "left_semi"))
+            tokens = put(_tokens(sets.join(many.select("node").distinct(), "node", "left_semi")), "tokens")
             counted = put(tokens.groupBy("element").agg(F.count("*").alias("df"), F.min("node").alias("node")), "spread")
             own = put(counted.where("df = 1").groupBy("node").agg(F.count("*").alias("own")), "own")
             spread = counted.where("df > 1")
@@ -338,7 +350,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # What large buckets still hold apart is compared where its rarest shingles meet.
             here = _apart(many.drop("comp"), label, scratch)
             if not here.isEmpty():
-                found = put(_untested(_by_rare(here, nodes.select("node", F.array(*keys).alias("keys")), sets, spread, own, scratch), tested), "pairs")
+                prefixes = put(_prefixes(here, tokens, spread, own), "prefixes")
+                found = put(_untested(_by_rare(here, nodes.select("node", F.array(*keys).alias("keys")), prefixes, own, scratch), tested), "pairs")
                 if not found.isEmpty():
                     new = put(verified(found, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
                     label, links = put(merged(label, new, "a", "b"), "label"), links.unionByName(new)

@@ -654,6 +654,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert set(firsts) == {r.class_id for r in got if r.class_id is not None}
 
 
+def test_near_sets_are_cut_into_rows_once(spark, monkeypatch):
+    """The comparison by rare shingles reads the rows that rarity was counted from, and classes stay brute force's."""
+    cuts, rare, tokens, by_rare = [], [], near._tokens, near._by_rare
+    monkeypatch.setattr(near, "_tokens", lambda sets: cuts.append(1) or tokens(sets))
+    monkeypatch.setattr(near, "_by_rare", lambda *given: rare.append(1) or by_rare(*given))
+    rng = random.Random(7)
+    base = prose(rng, 150, 60)
+    texts = [edited(rng, base, rng.randrange(0, 12)) for _ in range(160)] + [prose(rng, 80) for _ in range(20)]
+    docs = list(enumerate(texts))
+    got = near.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == brute_classes(docs)
+    assert len(rare) == 1 and len(cuts) == 1
+
+
 def test_near_keep_one(spark, odd, empty):
     kept = near.keep_one(odd)
     assert kept.columns == odd.columns
