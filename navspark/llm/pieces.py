@@ -160,7 +160,7 @@ class Codec:
     """
 
     #: Characters of remembered words; beyond them a worker starts anew.
-    MEMORY = 1 << 20
+    MEMORY = 3 << 20
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
